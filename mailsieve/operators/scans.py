@@ -13,7 +13,7 @@ Design notes for scale
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailsieve.functions.signals import excel_safe, iso_timestamp, parse_rfc2822, reason_string, recipients
@@ -41,11 +41,12 @@ def with_email_id(df: DataFrame) -> DataFrame:
                                               _col_or(df, "date_hdr", F.lit("")), _col_or(df, "sender", F.lit(""))))
 
 
-def email_rows(parsed: DataFrame, source: str = "upload") -> DataFrame:
+def email_rows(parsed: DataFrame, source: str = "upload", *extra: Column) -> DataFrame:
     """EMAILS projection of parsed messages (one row per input row, keyed by ``email_id``)."""
     p = parsed
     arr = F.array().cast("array<string>")
     return p.select(
+        *extra,
         F.col("email_id").alias("id"),
         F.lit(source).alias("source"),
         _col_or(p, "message_id", F.lit("")).alias("message_id"),
@@ -133,7 +134,7 @@ def scan_emails(parsed: DataFrame, scorer=None, existing_emails: DataFrame | Non
     """
     scorer = scorer or rules_scorer
     p = with_header_flags(with_email_id(parsed))
-    emails = email_rows(p, source).withColumn("__ord", F.col(order))
+    emails = email_rows(p, source, F.col(order).alias("__ord"))
     new_emails, current = insert_if_absent(emails, existing_emails, "__ord")
     scored = scorer(current.select(F.col("id").alias("email_id"), "body_text"))
     em = current.select(F.col("id").alias("email_id"), F.col("subject").alias("e_subject"),
@@ -194,8 +195,7 @@ def page_by_rank(scans: DataFrame, page: int, page_size: int) -> DataFrame:
     # A top-(page*size) sort is a bounded TakeOrdered per task; the page is
     # then cut from that bounded set, never from a global window.
     top = scans.orderBy(F.desc("id")).limit(page * page_size)
-    ranked = top.withColumn("__rn", F.row_number().over(
-        __import__("pyspark.sql.window", fromlist=["Window"]).Window.orderBy(F.desc("id"))))
+    ranked = top.withColumn("__rn", F.row_number().over(Window.orderBy(F.desc("id"))))
     return (ranked.crossJoin(F.broadcast(eff))
             .where((F.col("__rn") > (F.col("page") - 1) * page_size) & (F.col("__rn") <= F.col("page") * page_size))
             .drop("__rn", "page"))
