@@ -117,3 +117,27 @@ def sql_normalize(expr: str, lower: bool = True) -> str:
 def sql_iso(ts: str) -> str:
     return (f"coalesce(CASE WHEN strftime({ts}, '%f') = '000000' THEN strftime({ts}, '%Y-%m-%dT%H:%M:%S') "
             f"ELSE strftime({ts}, '%Y-%m-%dT%H:%M:%S.%f') END, '')")
+
+CORPUS_VIEW = r"""
+corpus AS (
+SELECT d.doc_id, d.text AS body_text,
+  CASE WHEN l.doc_id IS NULL THEN NULL WHEN l.toxic = 1 THEN ' Phish ' WHEN l.quality = 0 THEN 'SPAM' ELSE 'ham' END AS label,
+  d.source, d.source || '/' || CAST(d.doc_id AS VARCHAR) AS relpath, CAST(length(d.text) AS INTEGER) AS len_chars
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+)"""
+
+
+def sql_canonical(col: str) -> str:
+    k = f"lower(regexp_replace({col}, '^\\s+|\\s+$', '', 'g'))"
+    return (f"CASE WHEN {col} IS NULL THEN NULL ELSE CASE {k} WHEN 'ham' THEN 'safe' WHEN 'ok' THEN 'safe' "
+            f"WHEN 'legit' THEN 'safe' WHEN 'safe' THEN 'safe' WHEN 'spam' THEN 'spam' WHEN 'phish' THEN 'phishing' "
+            f"WHEN 'phishing' THEN 'phishing' WHEN 'fraud' THEN 'phishing' ELSE {k} END END")
+
+
+TRAIN_VIEW = r"""
+train AS (
+SELECT doc_id, regexp_replace(body_text, '^\s+|\s+$', '', 'g') AS body_text, canon AS label, source
+FROM (SELECT *, """ + sql_canonical("label") + r""" AS canon FROM corpus)
+WHERE body_text IS NOT NULL AND regexp_replace(body_text, '^\s+|\s+$', '', 'g') <> ''
+  AND canon IN ('phishing', 'safe', 'spam')
+)"""

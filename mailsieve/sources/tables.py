@@ -81,18 +81,37 @@ def email_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def corpus_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled-corpus rows (body_text, label, source, relpath, len_chars) from documents+labels.
+    """Labelled-corpus rows (doc_id, body_text, label, source, relpath, len_chars).
 
-    Only labelled documents carry a label; unlabelled ones keep a null label.
+    ``body_text`` is the raw document text (it has exact and near copies);
+    ``label`` is the raw label string (null when the document is unlabelled).
     """
-    v = email_view(spark, sf_dir)
-    return v.select(
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    lab = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic", F.lit(True).alias("_labelled"))
+    raw_label = (
+        F.when(F.col("_labelled").isNull(), F.lit(None).cast("string"))
+        .when(F.col("toxic") == 1, F.lit(" Phish "))
+        .when(F.col("quality") == 0, F.lit("SPAM"))
+        .otherwise(F.lit("ham"))
+    )
+    return d.join(lab, "doc_id", "left").select(
         "doc_id",
-        F.col("body_text"),
-        F.col("raw_label").alias("label"),
+        F.col("text").alias("body_text"),
+        raw_label.alias("label"),
         F.col("source"),
         F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string")).alias("relpath"),
-        F.length("body_text").cast("int").alias("len_chars"),
+        F.length("text").cast("int").alias("len_chars"),
+    )
+
+
+def chat_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second corpus from ``conversations`` (no label, no len_chars column)."""
+    c = read_table(spark, sf_dir, "conversations")
+    return c.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"),
+        F.col("text").alias("body_text"),
+        F.lit("chat").alias("source"),
+        F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")).alias("relpath"),
     )
 
 
