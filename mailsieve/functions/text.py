@@ -151,27 +151,28 @@ def word_tokens(x, stop_words=ENGLISH_STOP_WORDS) -> Column:
     """H23 unigrams: lower-case runs of >= 2 word characters, stop words removed."""
     toks = F.regexp_extract_all(F.lower(F.coalesce(_c(x), F.lit(""))), F.lit(WORD_TOKEN), 0)
     if stop_words:
-        stop = F.array(*[F.lit(w) for w in stop_words])
-        toks = F.filter(toks, lambda t: ~F.array_contains(stop, t))
+        # a long literal IN list becomes a hash-set lookup (InSet)
+        toks = F.filter(toks, lambda t: ~t.isin(*stop_words))
     return toks
 
 
 def word_ngrams(tokens, n_min: int = 1, n_max: int = 2) -> Column:
-    """1..n-grams over the stop-filtered token list, joined by a space."""
-    out = None
+    """1..n-grams over the stop-filtered token list, joined by a space.
+
+    n-grams are built by zipping shifted slices, so the token array is
+    evaluated a fixed number of times per row (a lambda that indexes into an
+    array *expression* would re-evaluate it once per element).
+    """
     toks = _c(tokens)
+    out = None
     for n in range(n_min, n_max + 1):
         if n == 1:
             grams = toks
         else:
-            last = F.size(toks) - n + 1
-            grams = F.when(
-                last >= 1,
-                F.transform(
-                    F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
-                    lambda i: F.array_join(F.slice(toks, i, n), " "),
-                ),
-            ).otherwise(F.array().cast("array<string>"))
+            shifted = [F.slice(toks, k + 1, F.greatest(F.size(toks) - k, F.lit(0))) for k in range(n)]
+            z = F.arrays_zip(*[s.alias(f"g{k}") for k, s in enumerate(shifted)])
+            full = F.filter(z, lambda e: e[f"g{n - 1}"].isNotNull())
+            grams = F.transform(full, lambda e: F.concat_ws(" ", *[e[f"g{k}"] for k in range(n)]))
         out = grams if out is None else F.concat(out, grams)
     return out
 
