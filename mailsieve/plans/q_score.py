@@ -1 +1,153 @@
-"""Plans (filled in below)."""
+"""Plans for model fit and scoring.
+
+Model: multinomial NB over word TF-IDF, fit on the training split; scored on
+the validation split.  Its fit is exact aggregation, so every step has a SQL
+restatement.  The Spark-ML logistic regression trainer is rows-only.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from mailsieve.functions.constants import CLASSES
+from mailsieve.operators import score as SC
+from mailsieve.operators.train import logistic_regression, naive_bayes, train_job, weighted_resample
+from mailsieve.plans.q_features import FEAT_WORD_SQL, SMALL_CAPS, split_rows
+from mailsieve.plans.q_metrics import THRESHOLDS
+from mailsieve.plans.registry import register
+from mailsieve.sources.tables import corpus_view
+
+del logistic_regression
+
+
+def _nb(spark, sf):
+    from mailsieve.operators import features as FE
+
+    s = split_rows(spark, sf)
+    tr = s.where(F.col("split") == "train")
+    va = s.where(F.col("split") == "val")
+    vocab, f_tr, f_va = FE.fit_transform(tr, va, max_features={"word": SMALL_CAPS["word"]})
+    weights, intercepts = naive_bayes(f_tr, tr, vocab, CLASSES)
+    return va, f_va, weights, intercepts
+
+
+NB_SQL = FEAT_WORD_SQL + """,
+cls AS (SELECT unnest(['phishing', 'safe', 'spam']) AS label),
+ft AS (SELECT f.ns, f.term, f.value, s.label FROM feat f JOIN split s ON f.doc_id = s.doc_id WHERE f.split = 'train'),
+sums AS (SELECT ns, term, label, sum(value) AS s FROM ft GROUP BY ns, term, label),
+tot AS (SELECT label, sum(value) AS t FROM ft GROUP BY label),
+vs AS (SELECT count(*) AS V FROM vocab),
+lp AS (SELECT v.ns, v.term, c.label, ln((coalesce(s.s, 0.0) + 1.0) / (coalesce(t.t, 0.0) + 1.0 * vs.V)) AS lp
+  FROM vocab v CROSS JOIN cls c CROSS JOIN vs
+  LEFT JOIN sums s ON s.ns = v.ns AND s.term = v.term AND s.label = c.label LEFT JOIN tot t ON t.label = c.label),
+wt AS (SELECT ns, term, label, lp - avg(lp) OVER (PARTITION BY ns, term) AS weight FROM lp),
+ntr AS (SELECT count(*) AS n FROM split WHERE split = 'train'),
+prior AS (SELECT s.label, ln(count(*) / max(ntr.n)) AS intercept FROM split s, ntr WHERE s.split = 'train' GROUP BY s.label),
+dots AS (SELECT f.doc_id, w.label, sum(f.value * w.weight) AS dot FROM feat f JOIN wt w ON f.ns = w.ns AND f.term = w.term
+  WHERE f.split = 'val' GROUP BY f.doc_id, w.label),
+vd AS (SELECT doc_id FROM split WHERE split = 'val'),
+lg AS (SELECT vd.doc_id, [
+    coalesce((SELECT dot FROM dots d WHERE d.doc_id = vd.doc_id AND d.label = 'phishing'), 0.0) + (SELECT intercept FROM prior WHERE label = 'phishing'),
+    coalesce((SELECT dot FROM dots d WHERE d.doc_id = vd.doc_id AND d.label = 'safe'), 0.0) + (SELECT intercept FROM prior WHERE label = 'safe'),
+    coalesce((SELECT dot FROM dots d WHERE d.doc_id = vd.doc_id AND d.label = 'spam'), 0.0) + (SELECT intercept FROM prior WHERE label = 'spam')] AS z
+  FROM vd),
+sm AS (SELECT doc_id, z, list_transform(z, lambda v: exp(v - list_max(z))) AS e FROM lg),
+pr3 AS (SELECT doc_id, list_transform(e, lambda v: v / list_sum(e)) AS p FROM sm)"""
+
+DECIDE_SQL = """, d AS (
+  SELECT doc_id, p, list_position(p, list_max(p)) AS top_i,
+    list_filter([{'label': 'phishing', 'prob': p[1], 'ok': p[1] >= 0.72},
+                 {'label': 'safe', 'prob': p[2], 'ok': p[2] >= 0.0},
+                 {'label': 'spam', 'prob': p[3], 'ok': p[3] >= 0.91}], lambda s: s.ok) AS passed
+  FROM pr3
+), d2 AS (
+  SELECT doc_id, p, top_i, list_sort(list_transform(passed, lambda s: {'neg': -s.prob, 'label': s.label, 'prob': s.prob})) AS ps FROM d
+), dec AS (
+  SELECT doc_id, ['phishing', 'safe', 'spam'][top_i] AS raw_label, p[top_i] AS raw_prob,
+    CASE WHEN len(ps) > 0 THEN ps[1].label ELSE ['phishing', 'safe', 'spam'][top_i] END AS label,
+    CASE WHEN len(ps) > 0 THEN ps[1].prob ELSE p[top_i] END AS prob,
+    CASE WHEN len(ps) > 0 THEN 'passed_threshold' ELSE 'no_class_met_threshold' END AS fallback_reason
+  FROM d2)"""
+
+
+@register("m09_naive_bayes_weights", NB_SQL + """ SELECT label, count(*) AS n_terms, round(sum(weight), 6) AS sum_weight,
+  round(max(weight), 6) AS max_weight FROM wt GROUP BY label""")
+def m09_naive_bayes_weights(spark, sf):
+    _, _, w, _ = _nb(spark, sf)
+    return w.groupBy("label").agg(F.count(F.lit(1)).alias("n_terms"), F.round(F.sum("weight"), 6).alias("sum_weight"),
+                                  F.round(F.max("weight"), 6).alias("max_weight"))
+
+
+@register("c06_feature_weight_product", NB_SQL + " SELECT doc_id, label, round(dot, 6) AS dot FROM dots")
+def c06_feature_weight_product(spark, sf):
+    _, f_va, w, _ = _nb(spark, sf)
+    return SC.class_scores(f_va, w).select("doc_id", "label", F.round("dot", 6).alias("dot"))
+
+
+@register("m10_score_linear", NB_SQL + DECIDE_SQL + """ SELECT doc_id, raw_label, round(raw_prob, 6) AS raw_prob, label,
+  round(prob, 6) AS confidence, fallback_reason FROM dec""", bench=True)
+def m10_score_linear(spark, sf):
+    va, f_va, w, ic = _nb(spark, sf)
+    p = SC.predict(va.select("doc_id"), f_va, w, ic, CLASSES, thresholds=THRESHOLDS)
+    return p.select("doc_id", F.col("decision.raw_top.label").alias("raw_label"),
+                    F.round("decision.raw_top.prob", 6).alias("raw_prob"), "label",
+                    F.round("confidence", 6).alias("confidence"), F.col("decision.fallback_reason").alias("fallback_reason"))
+
+
+@register("c08_attach_thresholds", NB_SQL + """ SELECT doc_id, c.label, round(p[c.i], 6) AS prob, c.tau,
+  CAST(p[c.i] >= c.tau AS INTEGER) AS passed FROM pr3,
+  (SELECT * FROM (VALUES ('phishing', 1, 0.72), ('safe', 2, 0.0), ('spam', 3, 0.91)) t(label, i, tau)) c""")
+def c08_attach_thresholds(spark, sf):
+    va, f_va, w, ic = _nb(spark, sf)
+    p = SC.predict(va.select("doc_id"), f_va, w, ic, CLASSES, thresholds=THRESHOLDS)
+    x = p.select("doc_id", F.explode("decision.thresholds_used").alias("label", "tau"), "prob_map")
+    return x.select("doc_id", "label", F.round(F.col("prob_map")[F.col("label")], 6).alias("prob"),
+                    F.col("tau").cast("decimal(3,2)").alias("tau"),
+                    (F.col("prob_map")[F.col("label")] >= F.col("tau")).cast("int").alias("passed"))
+
+
+@register("m16_top_reasons", NB_SQL + """, top AS (
+  SELECT doc_id, ['phishing', 'safe', 'spam'][list_position(p, list_max(p))] AS label FROM pr3),
+con AS (SELECT f.doc_id, f.ns, f.term, f.value * w.weight AS c FROM feat f JOIN top t ON f.doc_id = t.doc_id
+  JOIN wt w ON w.ns = f.ns AND w.term = f.term AND w.label = t.label WHERE f.split = 'val' AND f.value * w.weight > 0),
+rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(c, 9) DESC, ns ASC, term ASC) AS rn FROM con)
+SELECT vd.doc_id, coalesce(string_agg(term, ', ' ORDER BY rn), '') AS reasons, count(rn) AS n_reasons
+FROM vd LEFT JOIN (SELECT * FROM rk WHERE rn <= 6) r ON r.doc_id = vd.doc_id GROUP BY vd.doc_id""")
+def m16_top_reasons(spark, sf):
+    va, f_va, w, ic = _nb(spark, sf)
+    p = SC.predict(va.select("doc_id"), f_va, w, ic, CLASSES)
+    chosen = p.select("doc_id", F.col("decision.raw_top.label").alias("label"))
+    f9 = f_va.withColumn("value", F.col("value"))
+    r = SC.top_reasons(f9, w, chosen)
+    return r.select("doc_id", F.array_join(F.transform("reasons", lambda s: s["token"]), ", ").alias("reasons"),
+                    F.size("reasons").cast("long").alias("n_reasons"))
+
+
+@register("m09_train_logreg")
+def m09_train_logreg(spark, sf):
+    """Spark-ML class-weighted multinomial LR, best regParam on the validation split (rows-only)."""
+    res = train_job(corpus_view(spark, sf), reg_params=(1e-3, 1e-2), max_features={"word": SMALL_CAPS["word"]})
+    return res["report"]
+
+
+@register("m12_weighted_resample")
+def m12_weighted_resample(spark, sf):
+    """Resampled training rows per label (rows-only: sampling is random by design)."""
+    from mailsieve.operators.corpus import training_rows
+
+    r = weighted_resample(training_rows(corpus_view(spark, sf)))
+    return r.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("a17_thresholds_json", """SELECT doc_id, CAST(round(0.5 + (doc_id % 40) / 100.0, 2) AS DECIMAL(3,2)) AS phishing_tau FROM documents""")
+def a17_thresholds_json(spark, sf):
+    """Threshold JSON documents derived per row; 'chosen' wins, else the max numeric."""
+    from mailsieve.session import read_table
+
+    d = read_table(spark, sf, "documents").select("doc_id")
+    v = (F.lit(0.5) + (F.col("doc_id") % 40) / F.lit(100.0))
+    js = F.when(F.col("doc_id") % 2 == 0,
+                F.format_string('{"threshold_suggestions": {"phishing": {"prec_at_95": %s, "chosen": %s}, "spam": 3}}', v, v)) \
+        .otherwise(F.format_string('{"threshold_suggestions": {"phishing": {"a": 0.1, "b": %s}}}', v))
+    t = SC.thresholds_from_json(d.withColumn("json", js))
+    return t.select("doc_id", F.round(F.col("thresholds")["phishing"], 2).cast("decimal(3,2)").alias("phishing_tau"))
