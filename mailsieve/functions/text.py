@@ -169,10 +169,7 @@ def word_ngrams(tokens, n_min: int = 1, n_max: int = 2) -> Column:
         if n == 1:
             grams = toks
         else:
-            shifted = [F.slice(toks, k + 1, F.greatest(F.size(toks) - k, F.lit(0))) for k in range(n)]
-            z = F.arrays_zip(*[s.alias(f"g{k}") for k, s in enumerate(shifted)])
-            full = F.filter(z, lambda e: e[f"g{n - 1}"].isNotNull())
-            grams = F.transform(full, lambda e: F.concat_ws(" ", *[e[f"g{k}"] for k in range(n)]))
+            grams = shifted_ngrams(toks, n, " ")
         out = grams if out is None else F.concat(out, grams)
     return out
 
@@ -182,15 +179,28 @@ def char_prepare(x) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(_c(x), F.lit(""))), r"(?U)\s\s+", " ")
 
 
-def char_ngrams_of(text, n) -> Column:
-    """All substrings of length n (empty when the text is shorter).
+def code_points(text) -> Column:
+    """The text as an array of code points (one regex pass, linear)."""
+    return F.regexp_extract_all(F.coalesce(_c(text), F.lit("")), F.lit("(?s)."), 0)
 
-    ``sequence`` counts down when end < start, hence the guard.
+
+def shifted_ngrams(items, n: int, sep: str) -> Column:
+    """All windows of n consecutive items, joined by ``sep`` (linear: zipped shifted slices)."""
+    arr = _c(items)
+    shifted = [F.slice(arr, k + 1, F.greatest(F.size(arr) - k, F.lit(0))) for k in range(n)]
+    z = F.arrays_zip(*[x.alias(f"g{k}") for k, x in enumerate(shifted)])
+    full = F.filter(z, lambda e: e[f"g{n - 1}"].isNotNull())
+    return F.transform(full, lambda e: F.concat_ws(sep, *[e[f"g{k}"] for k in range(n)]))
+
+
+def char_ngrams(chars, lo: int, hi: int) -> Column:
+    """All character n-grams, lo <= n <= hi, from a code-point array column.
+
+    Positional ``substring`` on UTF-8 text costs O(position), which makes
+    n-gram extraction quadratic; windows over the code-point array are linear.
     """
-    t = _c(text)
-    n = F.lit(n) if isinstance(n, int) else n
-    last = F.length(t) - n + 1
-    return F.when(
-        last >= 1,
-        F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(t, i, n)),
-    ).otherwise(F.array().cast("array<string>"))
+    out = None
+    for n in range(lo, hi + 1):
+        g = shifted_ngrams(chars, n, "")
+        out = g if out is None else F.concat(out, g)
+    return out

@@ -12,19 +12,17 @@ from mailsieve.functions.text import _c, any_ip_url, any_punycode_url, rule_urls
 RULE_STRUCT = "struct<label:string,confidence:double,score:double,reasons:array<string>>"
 
 
-def classify_text(text) -> Column:
-    """M1: struct(label, confidence, score, reasons) for a text column.
+def rule_signals(text_lower, urls) -> Column:
+    """M1 signals from the lower-cased text and its rule URLs (H8).
 
     The score is accumulated in the same order and with the same DOUBLE
     constants as the rule set (urgent -> raw-ip URL -> punycode -> credential),
     so cut-off comparisons round identically.
     """
-    t = F.coalesce(_c(text), F.lit(""))
-    tl = F.lower(t)
+    tl, u = _c(text_lower), _c(urls)
     urgent = contains_any(tl, K.URGENT_PHRASES)
-    urls = rule_urls(t)
-    ip = any_ip_url(urls)
-    puny = any_punycode_url(urls)
+    ip = any_ip_url(u)
+    puny = any_punycode_url(u)
     cred = contains_any(tl, K.CREDENTIAL_PHRASES)
     spammy = contains_any(tl, K.MARKETING_PHRASES)
     w = K.RULE_WEIGHTS
@@ -32,7 +30,13 @@ def classify_text(text) -> Column:
     for flag, key in ((urgent, "urgent"), (ip, "ip_url"), (puny, "punycode"), (cred, "credential")):
         score = score + F.when(flag, F.lit(float(w[key]))).otherwise(F.lit(0.0))
     return F.struct(urgent.alias("urgent"), ip.alias("ip"), puny.alias("puny"), cred.alias("cred"),
-                    spammy.alias("spammy"), (F.size(urls) > 0).alias("any_url"), score.alias("score"))
+                    spammy.alias("spammy"), (F.size(u) > 0).alias("any_url"), score.alias("score"))
+
+
+def classify_text(text) -> Column:
+    """M1 signal struct for a text column (single-expression form)."""
+    t = F.coalesce(_c(text), F.lit(""))
+    return rule_signals(F.lower(t), rule_urls(t))
 
 
 def rule_decision(signals: Column) -> Column:
@@ -66,11 +70,25 @@ def classify(text) -> Column:
     return rule_decision(classify_text(text))
 
 
+def with_rules(df: DataFrame, text_col: str = "body_text", out: str = "rule") -> DataFrame:
+    """M1 as a DataFrame step: adds struct ``out`` (label, confidence, score, reasons).
+
+    The signal struct (all phrase and URL scans) is projected first and the
+    decision reads it from a column: written as one expression, the branches
+    of the decision would re-run the scans (no subexpression elimination
+    inside conditional branches).
+    """
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    x = df.withColumn("__tl", F.lower(t)).withColumn("__urls", rule_urls(t))
+    x = x.withColumn("__sig", rule_signals(F.col("__tl"), F.col("__urls")))
+    return x.withColumn(out, rule_decision(F.col("__sig"))).drop("__tl", "__urls", "__sig")
+
+
 def with_rule_label(df: DataFrame, text_col: str = "body_text", prefix: str = "") -> DataFrame:
     """Adds ``label, confidence, rule_score, reasons`` columns."""
     tmp = "__rule"
     return (
-        df.withColumn(tmp, classify(F.col(text_col)))
+        with_rules(df, text_col, tmp)
         .withColumn(f"{prefix}label", F.col(f"{tmp}.label"))
         .withColumn(f"{prefix}confidence", F.col(f"{tmp}.confidence"))
         .withColumn(f"{prefix}rule_score", F.col(f"{tmp}.score"))

@@ -26,7 +26,7 @@ from mailsieve.functions.constants import (
     MAX_FEATURES_WORD,
     WORD_NGRAM_RANGE,
 )
-from mailsieve.functions.text import char_ngrams_of, char_prepare, word_ngrams, word_tokens
+from mailsieve.functions.text import char_ngrams, char_prepare, code_points, word_ngrams, word_tokens
 
 
 def by_key(docs: DataFrame, key: str = "doc_id", text: str = "body_text") -> DataFrame:
@@ -45,8 +45,8 @@ def word_terms(docs: DataFrame, key: str = "doc_id", text: str = "body_text",
 def char_terms(docs: DataFrame, key: str = "doc_id", text: str = "body_text", ngram_range=CHAR_NGRAM_RANGE) -> DataFrame:
     """(key, ns='char', term, tf) counts of character n-grams (whitespace runs collapsed)."""
     lo, hi = ngram_range
-    x = docs.select(key, char_prepare(text).alias("__t")).select(key, "__t", F.explode(F.sequence(F.lit(lo), F.lit(hi))).alias("__n"))
-    x = x.select(key, F.explode(char_ngrams_of(F.col("__t"), F.col("__n"))).alias("term"))
+    chars = docs.select(key, code_points(char_prepare(text)).alias("__c"))
+    x = chars.select(key, F.explode(char_ngrams(F.col("__c"), lo, hi)).alias("term"))
     return x.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")).select(key, F.lit("char").alias("ns"), "term", "tf")
 
 

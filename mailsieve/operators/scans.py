@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from mailsieve.functions.signals import excel_safe, iso_timestamp, parse_rfc2822, reason_string, recipients
 from mailsieve.functions.text import preview, short_id
-from mailsieve.operators.classify import classify, parsed_from_view, with_header_flags
+from mailsieve.operators.classify import parsed_from_view, with_header_flags, with_rules
 
 EMAIL_COLUMNS = (
     "id", "source", "message_id", "subject", "sender", "recipients", "reply_to", "return_path", "timestamp",
@@ -106,8 +106,8 @@ def cascade_delete(scans: DataFrame, deleted_email_ids: DataFrame) -> DataFrame:
 
 def rules_scorer(emails: DataFrame) -> DataFrame:
     """Default scorer: (email_id, body_text) -> label, confidence, reasons, details, probs (M1 + M17)."""
-    r = classify(F.col("body_text"))
-    return emails.select(
+    r = F.col("rule")
+    return with_rules(emails, "body_text").select(
         "email_id",
         r["label"].alias("label"),
         r["confidence"].alias("confidence"),

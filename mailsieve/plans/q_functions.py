@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mailsieve.functions import signals as S
 from mailsieve.functions import text as T
-from mailsieve.operators.classify import classify, header_flags, parsed_from_view
+from mailsieve.operators.classify import header_flags, parsed_from_view, with_rules
 from mailsieve.plans.registry import register
 from mailsieve.plans.sqlviews import (
     EMAIL_VIEW,
@@ -31,8 +31,8 @@ def _ev(spark, sf):
           "SELECT doc_id, label, round(confidence, 6) AS confidence, round(score, 6) AS rule_score, reasons FROM rule",
           bench=True)
 def m01_classify_text(spark, sf):
-    r = classify(F.col("body_text"))
-    return _ev(spark, sf).select(
+    r = F.col("rule")
+    return with_rules(_ev(spark, sf).select("doc_id", "body_text")).select(
         "doc_id", r["label"].alias("label"), F.round(r["confidence"], 6).alias("confidence"),
         F.round(r["score"], 6).alias("rule_score"), S.reason_string(r["reasons"]).alias("reasons"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mailsieve.functions.constants import CLASSES
 from mailsieve.operators import metrics as M
-from mailsieve.operators.classify import classify
+from mailsieve.operators.classify import with_rules
 from mailsieve.operators.corpus import canonical_label
 from mailsieve.operators.score import decide
 from mailsieve.plans.registry import register
@@ -29,10 +29,10 @@ def logits_col(i):
 
 
 def eval_view(spark, sf):
-    v = email_view(spark, sf)
+    v = with_rules(email_view(spark, sf))
     lab = canonical_label("raw_label")
-    r = classify(F.col("body_text"))
-    e = v.select("doc_id", lab.alias("label"), r["label"].alias("pred"), "p_pos", logits_col(F.col("doc_id")).alias("logits"))
+    e = v.select("doc_id", lab.alias("label"), F.col("rule.label").alias("pred"), "p_pos",
+                 logits_col(F.col("doc_id")).alias("logits"))
     e = e.where(F.col("label").isin(*CLASSES))
     idx = F.when(F.col("label") == "phishing", 0).when(F.col("label") == "safe", 1).otherwise(2)
     return e.withColumn("y", (F.col("label") != "safe").cast("int")).withColumn("label_idx", idx)
