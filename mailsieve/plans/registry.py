@@ -34,6 +34,7 @@ def load_all() -> None:
         q_corpus,
         q_features,
         q_functions,
+        q_ingest,
         q_metrics,
         q_scans,
         q_score,
