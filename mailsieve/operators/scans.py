@@ -71,6 +71,23 @@ def email_rows(parsed: DataFrame, source: str = "upload", *extra: Column) -> Dat
     )
 
 
+def with_parsed_defaults(df: DataFrame) -> DataFrame:
+    """Text-only requests carry no headers: blank strings, no URLs, null auth results,
+    ``has_text`` = body non-empty."""
+    arr = F.array().cast("array<string>")
+    defaults = {
+        "message_id": F.lit(""), "subject": F.lit(""), "sender": F.lit(""), "reply_to": F.lit(""),
+        "return_path": F.lit(""), "date_hdr": F.lit(""), "urls": arr, "received_ips": arr,
+        "spf_result": F.lit(None).cast("string"), "dkim_result": F.lit(None).cast("string"),
+        "dmarc_result": F.lit(None).cast("string"), "has_html": F.lit(0),
+        "has_text": (F.coalesce(F.col("body_text"), F.lit("")) != "").cast("int"),
+    }
+    for name, value in defaults.items():
+        if name not in df.columns:
+            df = df.withColumn(name, value)
+    return df
+
+
 def first_per_id(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Keep the row with the smallest ``order`` per ``key`` (keep-first, hot-key safe).
 
@@ -133,7 +150,7 @@ def scan_emails(parsed: DataFrame, scorer=None, existing_emails: DataFrame | Non
     own parse; the scored body, subject and sender from the surviving e-mail.
     """
     scorer = scorer or rules_scorer
-    p = with_header_flags(with_email_id(parsed))
+    p = with_header_flags(with_email_id(with_parsed_defaults(parsed)))
     emails = email_rows(p, source, F.col(order).alias("__ord"))
     new_emails, current = insert_if_absent(emails, existing_emails, "__ord")
     scored = scorer(current.select(F.col("id").alias("email_id"), "body_text"))

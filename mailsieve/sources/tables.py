@@ -50,7 +50,12 @@ def _s(c: Column) -> Column:
 
 def email_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed-message view (one row per document) with the PARSED columns used downstream."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return email_view_of(spark, read_table(spark, sf_dir, "documents"), sf_dir)
+
+
+def email_view_of(spark: SparkSession, documents: DataFrame, sf_dir: str) -> DataFrame:
+    """The e-mail view over any ``documents`` relation (batch or stream)."""
+    d = documents.select("doc_id", "text", "source")
     lab = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic", F.lit(True).alias("_labelled"))
     # labels grows with documents: no forced broadcast; AQE converts the
     # sort-merge join at run time when the measured side is small.
