@@ -98,10 +98,15 @@ def transform(term_counts: DataFrame, vocab: DataFrame, key: str = "doc_id") ->
 def fit_transform(train_docs: DataFrame, other_docs: DataFrame | None = None, key: str = "doc_id",
                   text: str = "body_text", use_char: bool = False, max_features: dict | None = None):
     """M8: fit on ``train_docs``, transform both.  Returns (vocab, train_features, other_features)."""
+    from pyspark import StorageLevel
+
     caps = max_features or ({"word": MAX_FEATURES_WORD, "char": MAX_FEATURES_CHAR} if use_char else {"word": MAX_FEATURES_WORD})
-    tr_terms = terms(train_docs, key, text, use_char)
+    # the training term table feeds the vocabulary fit and the transform (and
+    # model sums downstream): persist it rather than re-tokenising the corpus.
+    # Lost blocks are recomputed from lineage, so executor loss is survivable.
+    tr_terms = terms(train_docs, key, text, use_char).persist(StorageLevel.MEMORY_AND_DISK)
     n = train_docs.count()
-    vocab = fit_vocabulary(tr_terms, n, key, caps)
+    vocab = fit_vocabulary(tr_terms, n, key, caps).persist(StorageLevel.MEMORY_AND_DISK)
     tr = transform(tr_terms, vocab, key)
     ot = transform(terms(other_docs, key, text, use_char), vocab, key) if other_docs is not None else None
     return vocab, tr, ot

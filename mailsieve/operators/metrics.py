@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from mailsieve.functions.text import _c
 
 N_BUCKETS = 65536
+SEED_DEFAULT = 42
 
 
 # --- classification -----------------------------------------------------------
@@ -330,32 +331,46 @@ def fit_temperature(df: DataFrame, logits: str, label_idx: str, rounds: int = 4,
 
 # --- split ----------------------------------------------------------------------------
 
+def hash_rank(df: DataFrame, key: str, group: list[str], seed: int = SEED_DEFAULT, n_buckets: int = 4096) -> DataFrame:
+    """Rank rows inside ``group`` by md5("seed:key") (ties by key), plus the group size.
+
+    Bucketed: counts per (group, first 3 hex digits) -> prefix offsets over that
+    bounded table (broadcast) -> row_number inside each bucket + offset.  A group
+    holding most rows is still spread over ``n_buckets`` tasks.
+    Adds ``__rank`` and ``__n``.
+    """
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    x = df.withColumn("__h", h).withColumn("__b", F.conv(F.substring("__h", 1, 3), 16, 10).cast("int"))
+    cnt = x.groupBy(*group, "__b").agg(F.count(F.lit(1)).alias("__nb"))
+    w = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    wt = Window.partitionBy(*group)
+    offs = cnt.select(*group, "__b", F.coalesce(F.sum("__nb").over(w), F.lit(0)).alias("__off"),
+                      F.sum("__nb").over(wt).alias("__n"))
+    j = x.join(F.broadcast(offs), group + ["__b"])
+    rank = F.col("__off") + F.row_number().over(Window.partitionBy(*group, "__b").orderBy("__h", key))
+    return j.withColumn("__rank", rank).drop("__h", "__b", "__off")
+
+
 def stratified_split(df: DataFrame, key: str, label: str = "label", val_size: float = 0.2, seed: int = 42,
                      stratify: bool | None = None, n_buckets: int = 4096) -> DataFrame:
     """M6: adds ``split`` in {train, val}.
 
     Rows are ranked inside their label by md5("seed:key"); the first
     ceil(n_c * val_size) are validation.  When a class has fewer than two rows
-    (D9) the rank runs over all rows instead.  The rank is a bucketed rank: counts
-    per (label, hash bucket) -> prefix offsets (bounded table, broadcast) ->
-    row_number inside each bucket, so a class holding most rows is still spread
-    over ``n_buckets`` tasks.
+    (D9) the rank runs over all rows instead.  See ``hash_rank`` for the plan.
     """
-    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    x = df.withColumn("__h", h).withColumn("__b", F.conv(F.substring("__h", 1, 3), 16, 10).cast("int"))
-    cnt = x.groupBy(label, "__b").agg(F.count(F.lit(1)).alias("__nb"))
-    per_label = cnt.groupBy(label).agg(F.sum("__nb").alias("__nc"))
-    min_class = per_label.agg(F.min("__nc").alias("m"))
     if stratify is None:
-        stratify = (min_class.first()["m"] or 0) >= 2
-    grp = [label] if stratify else []
-    w = Window.partitionBy(*grp).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    wt = Window.partitionBy(*grp)
-    base = cnt if stratify else cnt.groupBy("__b").agg(F.sum("__nb").alias("__nb"))
-    offs = base.select(*grp, "__b", F.coalesce(F.sum("__nb").over(w), F.lit(0)).alias("__off"),
-                       F.sum("__nb").over(wt).alias("__n"))
-    j = x.join(F.broadcast(offs), grp + ["__b"])
-    rank = F.col("__off") + F.row_number().over(Window.partitionBy(*grp, "__b").orderBy("__h", key))
+        m = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("m")).first()["m"]
+        stratify = (m or 0) >= 2
+    r = hash_rank(df, key, [label] if stratify else [], seed, n_buckets)
     n_val = F.ceil(F.col("__n") * F.lit(float(val_size)))
-    return j.withColumn("split", F.when(rank <= n_val, F.lit("val")).otherwise(F.lit("train"))) \
-        .drop("__h", "__b", "__off", "__n")
+    return r.withColumn("split", F.when(F.col("__rank") <= n_val, F.lit("val")).otherwise(F.lit("train"))) \
+        .drop("__rank", "__n")
+
+
+def balanced_mix(df: DataFrame, key: str, label: str = "label", target: int = 100_000, seed: int = 42) -> DataFrame:
+    """Per label keep min(target, available) rows, chosen by hash rank (no sampling
+    variance, no per-label window); ``shortfall`` tells how many a label lacked."""
+    r = hash_rank(df, key, [label], seed)
+    return r.where(F.col("__rank") <= target).withColumn("shortfall", F.greatest(F.lit(target) - F.col("__n"), F.lit(0))) \
+        .drop("__rank", "__n")

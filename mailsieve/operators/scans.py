@@ -219,8 +219,13 @@ def page_by_rank(scans: DataFrame, page: int, page_size: int) -> DataFrame:
 
 
 def filter_scans(scans: DataFrame, label: str | None = None, date_from: str | None = None,
-                 date_to: str | None = None) -> DataFrame:
-    """B7 + B8: label equality, inclusive date range (end of day through the next midnight)."""
+                 date_to: str | None = None, sender_domain: str | None = None) -> DataFrame:
+    """B7 + B8 (+ X7 sender domain): label equality, inclusive date range (end of day
+    through the next midnight), sender's domain."""
+    if sender_domain is not None:
+        from mailsieve.functions.signals import domain_of
+
+        scans = scans.where(domain_of("sender") == sender_domain.lower())
     if label is not None:
         if label not in ("safe", "spam", "phishing"):
             raise ValueError(f"bad label {label!r}")
@@ -289,3 +294,14 @@ def apply_defaults(scans: DataFrame) -> DataFrame:
 def counts_per_label_day(scans: DataFrame) -> DataFrame:
     """Scans per label per day."""
     return scans.groupBy(F.to_date("created_at").alias("day"), "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def apply_corrections(scans: DataFrame, corrections: DataFrame) -> DataFrame:
+    """The latest user correction per scan overrides the predicted label.
+
+    ``corrections`` is (scan_id, new_label, at); ``max_by`` combines map-side,
+    so a scan corrected many times costs one row per map task.
+    """
+    latest = corrections.groupBy("scan_id").agg(F.max_by("new_label", "at").alias("new_label"))
+    j = scans.join(latest.withColumnRenamed("scan_id", "id"), "id", "left")
+    return j.withColumn("predicted", F.col("label")).withColumn("label", F.coalesce("new_label", "label")).drop("new_label")

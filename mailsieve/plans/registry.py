@@ -32,6 +32,7 @@ def load_all() -> None:
     """Import every module that registers plans."""
     from mailsieve.plans import (  # noqa: F401
         q_corpus,
+        q_extensions,
         q_features,
         q_functions,
         q_ingest,
