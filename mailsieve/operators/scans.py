@@ -305,3 +305,12 @@ def apply_corrections(scans: DataFrame, corrections: DataFrame) -> DataFrame:
     latest = corrections.groupBy("scan_id").agg(F.max_by("new_label", "at").alias("new_label"))
     j = scans.join(latest.withColumnRenamed("scan_id", "id"), "id", "left")
     return j.withColumn("predicted", F.col("label")).withColumn("label", F.coalesce("new_label", "label")).drop("new_label")
+
+
+def json_columns(scans: DataFrame) -> DataFrame:
+    """JSON text for the dynamic columns (flags, probabilities, details), at the export boundary."""
+    out = scans
+    for c in ("header_flags", "probs", "details"):
+        if c in scans.columns:
+            out = out.withColumn(c, F.to_json(F.col(c)))
+    return out

@@ -147,7 +147,9 @@ def top_reasons(features: DataFrame, weights: DataFrame, chosen: DataFrame, key:
         w = w.unionByName(pos.select("ns", "term", F.lit(binary_negative).alias("label"), (-F.col("weight")).alias("weight")))
     j = features.join(chosen.select(key, "label"), key).join(F.broadcast(w), ["ns", "term", "label"])
     c = j.select(key, "ns", "term", (F.col("value") * F.col("weight")).alias("contribution")).where(F.col("contribution") > 0)
-    win = Window.partitionBy(key).orderBy(F.desc("contribution"), F.asc("ns"), F.asc("term"))
+    # contributions equal to 9 decimals count as ties (summation order may differ
+    # in the last bits between runs); ties go to namespace, then term
+    win = Window.partitionBy(key).orderBy(F.desc(F.round("contribution", 9)), F.asc("ns"), F.asc("term"))
     top = c.withColumn("rank", F.row_number().over(win)).where(F.col("rank") <= k)
     agg = top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "term", "contribution", "ns"))).alias("r"))
     reasons = F.transform(F.col("r"), lambda s: F.struct(s["term"].alias("token"), s["contribution"].alias("weight"),

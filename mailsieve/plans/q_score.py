@@ -117,8 +117,7 @@ def m16_top_reasons(spark, sf):
     va, f_va, w, ic = _nb(spark, sf)
     p = SC.predict(va.select("doc_id"), f_va, w, ic, CLASSES)
     chosen = p.select("doc_id", F.col("decision.raw_top.label").alias("label"))
-    f9 = f_va.withColumn("value", F.col("value"))
-    r = SC.top_reasons(f9, w, chosen)
+    r = SC.top_reasons(f_va, w, chosen)
     return r.select("doc_id", F.array_join(F.transform("reasons", lambda s: s["token"]), ", ").alias("reasons"),
                     F.size("reasons").cast("long").alias("n_reasons"))
 
