@@ -205,17 +205,17 @@ def page_of(scans: DataFrame, page: int = 1, page_size: int = 10, total: int | N
 
 
 def page_by_rank(scans: DataFrame, page: int, page_size: int) -> DataFrame:
-    """F1 without a count action: the clamp to the last page is done in the plan."""
+    """F1 without a count action: the clamp to the last page is a scalar subquery.
+
+    A top-(page*size) sort is a bounded TakeOrdered per task; the page is then
+    cut from that bounded set, never from a global window over the table.
+    """
     n = scans.agg(F.count(F.lit(1)).alias("n"))
     pages = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(page_size))).cast("long")
-    eff = n.select(F.least(F.lit(page), pages).alias("page"))
-    # A top-(page*size) sort is a bounded TakeOrdered per task; the page is
-    # then cut from that bounded set, never from a global window.
+    eff = n.select(F.least(F.lit(page), pages).alias("page")).scalar()
     top = scans.orderBy(F.desc("id")).limit(page * page_size)
     ranked = top.withColumn("__rn", F.row_number().over(Window.orderBy(F.desc("id"))))
-    return (ranked.crossJoin(F.broadcast(eff))
-            .where((F.col("__rn") > (F.col("page") - 1) * page_size) & (F.col("__rn") <= F.col("page") * page_size))
-            .drop("__rn", "page"))
+    return ranked.where((F.col("__rn") > (eff - 1) * page_size) & (F.col("__rn") <= eff * page_size)).drop("__rn")
 
 
 def filter_scans(scans: DataFrame, label: str | None = None, date_from: str | None = None,

@@ -49,7 +49,7 @@ def b04_canonical_label(spark, sf):
 
 @register("b05_training_rows_report", f"""WITH {CORPUS_VIEW}, t AS (
   SELECT body_text IS NOT NULL AND {sql_strip('body_text')} <> '' AND coalesce({sql_canonical('label')} IN ('phishing', 'safe', 'spam'), FALSE) AS ok FROM corpus)
-SELECT count(*) AS n_in, count_if(ok) AS n_kept, count_if(NOT ok) AS n_dropped FROM t""")
+SELECT count(*) AS n_in, CAST(count_if(ok) AS BIGINT) AS n_kept, CAST(count_if(NOT ok) AS BIGINT) AS n_dropped FROM t""")
 def b05_training_rows_report(spark, sf):
     return C.training_rows_report(corpus_view(spark, sf))
 

@@ -55,7 +55,7 @@ def vocab_sql(with_char: bool) -> str:
                  if with_char else "")
     return f""", alltf AS ({allt}),
 nd AS (SELECT count(*) AS n FROM split WHERE split = 'train'),
-st AS (SELECT ns, term, count(*) AS df, sum(tf) AS cf FROM alltf WHERE split = 'train' GROUP BY ns, term),
+st AS (SELECT ns, term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM alltf WHERE split = 'train' GROUP BY ns, term),
 capped AS ((SELECT * FROM st WHERE ns = 'word' ORDER BY cf DESC, term ASC LIMIT 20000){char_part}),
 vocab AS (SELECT ns, term, df, cf, ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf FROM capped, nd),
 fw AS (SELECT t.doc_id, t.split, t.ns, t.term, (1.0 + ln(t.tf)) * v.idf AS w FROM alltf t JOIN vocab v ON t.ns = v.ns AND t.term = v.term),

@@ -47,8 +47,8 @@ def m04_corpus_text(spark, sf):
 
 
 @register("d04_parse_counters", f"""WITH {EMAIL_VIEW}, s AS (SELECT source, {sql_strip('body_text')} AS t FROM email)
-SELECT source, count(*) AS candidates, count_if(length(t) >= 20) AS extracted_ok, count_if(t = '') AS empty_after_parse,
-  count_if(t <> '' AND length(t) < 20) AS too_short, 0 AS exceptions FROM s GROUP BY source""")
+SELECT source, count(*) AS candidates, CAST(count_if(length(t) >= 20) AS BIGINT) AS extracted_ok,
+  CAST(count_if(t = '') AS BIGINT) AS empty_after_parse, CAST(count_if(t <> '' AND length(t) < 20) AS BIGINT) AS too_short, CAST(0 AS BIGINT) AS exceptions FROM s GROUP BY source""")
 def d04_parse_counters(spark, sf):
     v = email_view(spark, sf)
     d = ML.decode_messages(ML.rfc822_from_view(v)).select(_doc_id(), "status", "corpus_text")

@@ -64,15 +64,15 @@ def r6(c):
 
 
 @register("d10_confusion_matrix", EVAL_SQL + """, cls AS (SELECT * FROM (VALUES ('phishing'), ('safe'), ('spam')) t(label))
-SELECT cls.label, count_if(ev.pred = 'phishing') AS phishing, count_if(ev.pred = 'safe') AS safe,
-  count_if(ev.pred = 'spam') AS spam FROM cls LEFT JOIN ev ON ev.label = cls.label GROUP BY cls.label""")
+SELECT cls.label, CAST(count_if(ev.pred = 'phishing') AS BIGINT) AS phishing, CAST(count_if(ev.pred = 'safe') AS BIGINT) AS safe,
+  CAST(count_if(ev.pred = 'spam') AS BIGINT) AS spam FROM cls LEFT JOIN ev ON ev.label = cls.label GROUP BY cls.label""")
 def d10_confusion_matrix(spark, sf):
     return M.confusion_matrix(eval_view(spark, sf), "label", "pred", CLASSES)
 
 
 _REPORT_SQL = EVAL_SQL + """, cls AS (SELECT * FROM (VALUES ('phishing'), ('safe'), ('spam')) t(class)),
 st AS (SELECT class, (SELECT count_if(label = class AND pred = class) FROM ev) AS tp,
-  (SELECT count_if(label = class) FROM ev) AS support, (SELECT count_if(pred = class) FROM ev) AS predicted FROM cls),
+  (SELECT CAST(count_if(label = class) AS BIGINT) FROM ev) AS support, (SELECT count_if(pred = class) FROM ev) AS predicted FROM cls),
 per AS (SELECT class, CASE WHEN predicted = 0 THEN 0.0 ELSE tp / predicted END AS precision,
   CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS recall, support FROM st),
 per2 AS (SELECT *, CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2.0 * (precision * recall) / greatest(1.0 * precision + recall, 1e-12) END AS f1 FROM per),
@@ -205,9 +205,9 @@ def d19_cross_entropy(spark, sf):
     ev = eval_view(spark, sf)
     w = M.class_weights(ev, "label", "balanced")
     x = M.with_sample_weight(ev, w).withColumn("probs", M.softmax(F.col("logits")))
-    a = M.cross_entropy(x, "probs", "label_idx").select(r6("cross_entropy").alias("cross_entropy"))
-    b = M.cross_entropy(x, "probs", "label_idx", "weight").select(r6("cross_entropy").alias("weighted_cross_entropy"))
-    return a.join(b)
+    nll = -F.log(F.element_at(F.col("probs"), F.col("label_idx") + 1))
+    return x.agg(r6(F.avg(nll)).alias("cross_entropy"),
+                 r6(F.sum(F.col("weight") * nll) / F.sum("weight")).alias("weighted_cross_entropy"))
 
 
 _TGRID_SQL = EVAL_SQL + """, t AS (SELECT unnest([""" + ", ".join(f"CAST({t} AS DOUBLE)" for t in TEMPS) + """]) AS T),
@@ -260,10 +260,8 @@ pr2 AS (SELECT CASE WHEN pp = 0 THEN 0.0 ELSE tp / pp END AS p, CASE WHEN ap = 0
 SELECT round(""" + _fb("p", "r", 2.0) + """, 6) AS f2_at_tuned FROM pr2""")
 def m15_selection_score(spark, sf):
     ev = eval_view(spark, sf)
-    thr = M.tune_threshold(ev, "p_pos", "y", "f2")
-    # the tuned threshold is one row: join it on a constant key
-    j = ev.join(F.broadcast(thr.select(F.col("threshold").alias("thr"))), how="inner")
-    return M.binary_fbeta_at(j, "p_pos", "y", F.col("thr"), 2.0).select(r6("fbeta").alias("f2_at_tuned"))
+    thr = M.tune_threshold(ev, "p_pos", "y", "f2").select("threshold").scalar()
+    return M.binary_fbeta_at(ev, "p_pos", "y", thr, 2.0).select(r6("fbeta").alias("f2_at_tuned"))
 
 
 _DECIDE_SQL = EVAL_SQL + _SOFTMAX_SQL + """, d AS (
@@ -328,10 +326,10 @@ ap AS (SELECT sum(CASE WHEN P = 0 THEN 0.0 ELSE (pos / P) * precision END) AS ap
 SELECT n AS n_eval, round(acc, 6) AS accuracy, round(ap, 6) AS average_precision, round(auc, 6) AS roc_auc FROM tot, ap""")
 def m18_eval_report(spark, sf):
     ev = eval_view(spark, sf)
-    a = ev.agg(F.count(F.lit(1)).alias("n_eval"), r6(F.avg((F.col("label") == F.col("pred")).cast("double"))).alias("accuracy"))
-    ap = M.average_precision(ev, "p_pos", "y").select(r6("average_precision").alias("average_precision"))
-    auc = M.roc_auc(ev, "p_pos", "y").select(r6("roc_auc").alias("roc_auc"))
-    return a.join(ap).join(auc)
+    ap = M.average_precision(ev, "p_pos", "y").select("average_precision").scalar()
+    auc = M.roc_auc(ev, "p_pos", "y").select("roc_auc").scalar()
+    return ev.agg(F.count(F.lit(1)).alias("n_eval"), r6(F.avg((F.col("label") == F.col("pred")).cast("double"))).alias("accuracy"),
+                  r6(ap).alias("average_precision"), r6(auc).alias("roc_auc"))
 
 
 

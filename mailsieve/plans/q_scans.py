@@ -203,7 +203,7 @@ def b14_recipients(spark, sf):
 
 
 @register("b18_scan_payload", scans_sql() + f""" SELECT id, label, round(confidence, 6) AS confidence,
-  CASE WHEN reasons = '' THEN 0 ELSE len(string_split(reasons, ', ')) END AS n_reasons,
+  CAST(CASE WHEN reasons = '' THEN 0 ELSE len(string_split(reasons, ', ')) END AS INTEGER) AS n_reasons,
   {sql_iso('created_at')} AS created_at FROM scans""")
 def b18_scan_payload(spark, sf):
     p = SC.payload(_scans(spark, sf))
