@@ -156,3 +156,28 @@ def top_reasons(features: DataFrame, weights: DataFrame, chosen: DataFrame, key:
                                                          s["ns"].alias("ns")))
     return chosen.select(key).join(agg.select(key, reasons.alias("reasons")), key, "left") \
         .withColumn("reasons", F.coalesce("reasons", F.array().cast("array<struct<token:string,weight:double,ns:string>>")))
+
+
+def model_scorer(vocab: DataFrame, weights: DataFrame, intercepts: dict, classes, thresholds: dict | None = None,
+                 temperature: float | None = None, k: int = TOP_K_REASONS):
+    """M5 with a model: a scorer for ``scans.scan_emails`` (email_id, body_text) -> label,
+    confidence, reasons_list (top-k tokens of the raw arg-max class), decision, probs.
+
+    The vocabulary and weights are bounded by the vocabulary cap (broadcast);
+    documents are tokenised once, partitioned by e-mail id.
+    """
+    from mailsieve.operators import features as FE
+
+    def score(emails: DataFrame) -> DataFrame:
+        docs = emails.select(F.col("email_id"), F.col("body_text"))
+        use_char = vocab.where(F.col("ns") == "char").limit(1).count() > 0
+        feats = FE.transform(FE.terms(docs, "email_id", "body_text", use_char), vocab, "email_id")
+        p = predict(docs.select("email_id"), feats, weights, intercepts, classes, thresholds, temperature, "email_id")
+        chosen = p.select("email_id", F.col("decision.raw_top.label").alias("label"))
+        r = top_reasons(feats, weights, chosen, "email_id", k)
+        return p.join(r, "email_id", "left").select(
+            "email_id", "label", F.col("confidence").cast("double").alias("confidence"),
+            F.transform("reasons", lambda s: s["token"]).alias("reasons_list"),
+            "decision", F.col("prob_map").alias("probs"))
+
+    return score

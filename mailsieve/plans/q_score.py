@@ -150,3 +150,23 @@ def a17_thresholds_json(spark, sf):
         .otherwise(F.format_string('{"threshold_suggestions": {"phishing": {"a": 0.1, "b": %s}}}', v))
     t = SC.thresholds_from_json(d.withColumn("json", js))
     return t.select("doc_id", F.round(F.col("thresholds")["phishing"], 2).cast("decimal(3,2)").alias("phishing_tau"))
+
+
+@register("m05_scan_with_model")
+def m05_scan_with_model(spark, sf):
+    """M5 with a model: NB fit on the labelled training split, then the batch scan of every
+    e-mail of the view scored by it (thresholds applied, top-6 token reasons).  Rows-only."""
+    from mailsieve.operators import features as FE
+    from mailsieve.operators.classify import parsed_from_view
+    from mailsieve.operators.scans import scan_emails
+    from mailsieve.sources.tables import email_view
+
+    s = split_rows(spark, sf)
+    tr = s.where(F.col("split") == "train")
+    vocab, f_tr, _ = FE.fit_transform(tr, None, max_features={"word": SMALL_CAPS["word"]})
+    w, ic = naive_bayes(f_tr, tr, vocab, CLASSES)
+    scorer = SC.model_scorer(vocab, w, ic, CLASSES, THRESHOLDS)
+    scans, _ = scan_emails(parsed_from_view(email_view(spark, sf)), scorer=scorer, model_version="nb-word")
+    return scans.groupBy("label", F.col("details.raw_top.label").alias("raw_label"),
+                         F.col("details.fallback_reason").alias("fallback_reason")).agg(
+        F.count(F.lit(1)).alias("n_scans"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))

@@ -123,3 +123,25 @@ def test_scan_first_wins_and_export(spark):
     assert [r["subject"] for r in exp] == ["'=1+1"]
     page, meta = SC.page_of(scans, page=5, page_size=2)
     assert meta == {"total": 3, "page": 2, "pages": 2, "page_size": 2} and [r["id"] for r in page.collect()] == [2]
+
+
+def test_scan_with_model_scorer(spark):
+    from mailsieve.operators import features as FE
+    from mailsieve.operators.score import model_scorer
+    from mailsieve.operators.train import naive_bayes
+
+    docs = spark.createDataFrame(
+        [(i, t, lab) for i, (t, lab) in enumerate([("reset your password now", "phishing"), ("verify your account urgently", "phishing"),
+                                                    ("win a free gift voucher", "spam"), ("cheap pills buy now", "spam"),
+                                                    ("meeting agenda attached", "safe"), ("invoice for your order attached", "safe")])],
+        "doc_id long, body_text string, label string")
+    vocab, feats, _ = FE.fit_transform(docs, None)
+    w, ic = naive_bayes(feats, docs, vocab)
+    batch = docs.select("doc_id", F.concat(F.lit("please "), "body_text").alias("body_text"),
+                        F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("subject"))
+    scans, _ = SC.scan_emails(batch, scorer=model_scorer(vocab, w, ic, ("phishing", "safe", "spam"), {"phishing": 0.5}),
+                              created_at=None, model_version="nb-1")
+    got = {r["id"]: r for r in scans.collect()}
+    assert got[1]["label"] == "phishing" and got[6]["label"] == "safe" and got[4]["label"] == "spam"
+    assert got[1]["reasons"] != "" and got[1]["model_version"] == "nb-1"
+    assert abs(sum(got[3]["probs"].values()) - 1.0) < 1e-9
