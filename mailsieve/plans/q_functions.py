@@ -199,13 +199,17 @@ def h14_phrase_lists(spark, sf):
                                  S.contains_any(tl, K.MARKETING_PHRASES).cast("int").alias("marketing"))
 
 
-@register("h15_excel_safe", "SELECT conv_id, turn, CASE WHEN substr(v, 1, 1) IN ('=', '+', '-', '@') THEN '''' || v ELSE v END AS safe_text FROM "
-          "(SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '=' WHEN 1 THEN '-' WHEN 2 THEN '@' ELSE '' END || substr(text, 1, 20) AS v FROM conversations)")
+@register("h15_excel_safe", "SELECT conv_id, turn, substr(s, 1, 1) AS first_char, sha256(s) AS safe_sha, "
+          "CAST(length(s) AS BIGINT) AS safe_len FROM (SELECT conv_id, turn, "
+          "CASE WHEN substr(v, 1, 1) IN ('=', '+', '-', '@') THEN '''' || v ELSE v END AS s FROM "
+          "(SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '=' WHEN 1 THEN '-' WHEN 2 THEN '@' ELSE '' END || text AS v "
+          "FROM conversations))")
 def h15_excel_safe(spark, sf):
     c = read_table(spark, sf, "conversations")
     lead = F.when(F.col("turn") % 4 == 0, "=").when(F.col("turn") % 4 == 1, "-").when(F.col("turn") % 4 == 2, "@").otherwise("")
-    v = F.concat(lead, F.substring("text", 1, 20))
-    return c.select("conv_id", "turn", S.excel_safe(v).alias("safe_text"))
+    s = S.excel_safe(F.concat(lead, F.col("text")))
+    return c.select("conv_id", "turn", F.substring(s, 1, 1).alias("first_char"), T.sha256_hex(s).alias("safe_sha"),
+                    F.length(s).cast("long").alias("safe_len"))
 
 
 @register("h17_parse_rfc2822_date", "SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') AS parsed FROM events")
