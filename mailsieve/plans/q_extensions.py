@@ -76,3 +76,13 @@ def x07_history_filters(spark, sf):
 
 
 del S
+
+
+@register("x02_near_duplicates")
+def x02_near_duplicates(spark, sf):
+    """Documents kept after near-duplicate removal (MinHash LSH + label propagation).
+    Iterative, so rows-only; the fixture test checks the clustering."""
+    from mailsieve.operators.neardup import drop_near_duplicates
+
+    kept = drop_near_duplicates(corpus_view(spark, sf).select("doc_id", "body_text"))
+    return kept.select("doc_id")

@@ -145,3 +145,18 @@ def test_scan_with_model_scorer(spark):
     assert got[1]["label"] == "phishing" and got[6]["label"] == "safe" and got[4]["label"] == "spam"
     assert got[1]["reasons"] != "" and got[1]["model_version"] == "nb-1"
     assert abs(sum(got[3]["probs"].values()) - 1.0) < 1e-9
+
+
+def test_near_duplicates_cluster_without_pairs(spark):
+    from mailsieve.operators.neardup import drop_near_duplicates, near_duplicate_clusters
+
+    base = " ".join(f"word{i}" for i in range(60))
+    other = " ".join(f"term{i}" for i in range(60))
+    rows = [(1, base), (2, base.replace("word30", "changed")), (3, base + " extra"), (4, other), (5, other.upper()),
+            (6, "completely different short text about meetings and agendas for the quarter")]
+    df = spark.createDataFrame(rows, "doc_id long, body_text string")
+    c = {r["doc_id"]: r["cluster"] for r in near_duplicate_clusters(df).collect()}
+    assert c[1] == c[2] == c[3] == 1
+    assert c[4] == c[5] == 4  # case-insensitive shingles
+    assert c[6] == 6
+    assert sorted(r["doc_id"] for r in drop_near_duplicates(df).collect()) == [1, 4, 6]
