@@ -122,10 +122,14 @@ def cascade_delete(scans: DataFrame, deleted_email_ids: DataFrame) -> DataFrame:
 
 
 def rules_scorer(emails: DataFrame) -> DataFrame:
-    """Default scorer: (email_id, body_text) -> label, confidence, reasons, details, probs (M1 + M17)."""
+    """Default scorer: (email_id, body_text, ...) -> label, confidence, reasons_list, decision, probs (M1 + M17).
+
+    A pure projection: every input column except ``body_text`` is passed through.
+    """
     r = F.col("rule")
+    keep = [c for c in emails.columns if c != "body_text"]
     return with_rules(emails, "body_text").select(
-        "email_id",
+        *keep,
         r["label"].alias("label"),
         r["confidence"].alias("confidence"),
         r["reasons"].alias("reasons_list"),
@@ -153,12 +157,13 @@ def scan_emails(parsed: DataFrame, scorer=None, existing_emails: DataFrame | Non
     p = with_header_flags(with_email_id(with_parsed_defaults(parsed)))
     emails = email_rows(p, source, F.col(order).alias("__ord"))
     new_emails, current = insert_if_absent(emails, existing_emails, "__ord")
-    scored = scorer(current.select(F.col("id").alias("email_id"), "body_text"))
-    em = current.select(F.col("id").alias("email_id"), F.col("subject").alias("e_subject"),
+    em = current.select(F.col("id").alias("email_id"), "body_text", F.col("subject").alias("e_subject"),
                         F.col("sender").alias("e_sender"), preview("body_text").alias("body_preview"))
-    # scored and em are both unique per email_id and come from the same
-    # aggregate, so Catalyst keeps one exchange for them.
-    per_email = em.join(scored, "email_id")
+    if scorer is rules_scorer:
+        # a projection over the survivors: no join back to the same aggregate
+        per_email = rules_scorer(em)
+    else:
+        per_email = em.drop("body_text").join(scorer(em.select("email_id", "body_text")), "email_id")
     reasons_list = F.col("reasons_list")
     scans = p.select(
         (F.col(scan_id) if scan_id else F.col(order) + 1).cast("long").alias("id"),
