@@ -73,8 +73,10 @@ def start_view_stream(spark: SparkSession, sf_dir: str, emails_path: str, scans_
     from mailsieve.operators.classify import parsed_from_view
     from mailsieve.sources import tables
 
-    docs = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/documents.parquet").schema) \
-        .option("maxFilesPerTrigger", max_files_per_trigger).parquet(f"{sf_dir}/documents.parquet")
+    # a file stream source watches a directory; the table's files are selected by name
+    docs = (spark.readStream.schema(spark.read.parquet(f"{sf_dir}/documents.parquet").schema)
+            .option("pathGlobFilter", "documents*.parquet")
+            .option("maxFilesPerTrigger", max_files_per_trigger).parquet(sf_dir))
     view = parsed_from_view(tables.email_view_of(spark, docs, sf_dir))
     ck = checkpoint or os.path.join(checkpoint_dir(spark), "view_stream")
     return (view.writeStream.foreachBatch(make_batch_writer(emails_path, scans_path, "doc_id", scorer))

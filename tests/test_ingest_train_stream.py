@@ -95,3 +95,20 @@ def test_entry_contract(spark):
     assert set(df.columns) == {"label", "n_scans", "n_emails", "mean_confidence"}
     assert df.count() >= 1
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_view_stream_matches_batch(spark, tmpdir_path):
+    from mailsieve.operators.classify import parsed_from_view
+    from mailsieve.operators.scans import scan_emails
+    from mailsieve.sources.tables import email_view
+    from mailsieve.streaming.scan_stream import start_view_stream
+
+    sf = "/root/testdata/sf0.001"
+    out_e, out_s = os.path.join(tmpdir_path, "emails"), os.path.join(tmpdir_path, "scans")
+    q = start_view_stream(spark, sf, out_e, out_s, checkpoint=os.path.join(tmpdir_path, "ck"))
+    q.awaitTermination(180)
+    streamed = spark.read.parquet(out_s).select("id", "label")
+    batch, emails = scan_emails(parsed_from_view(email_view(spark, sf)))
+    assert streamed.count() == batch.count()
+    assert streamed.exceptAll(batch.select("id", "label")).count() == 0
+    assert spark.read.parquet(out_e).count() == emails.count()

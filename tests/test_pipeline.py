@@ -160,3 +160,12 @@ def test_near_duplicates_cluster_without_pairs(spark):
     assert c[4] == c[5] == 4  # case-insensitive shingles
     assert c[6] == 6
     assert sorted(r["doc_id"] for r in drop_near_duplicates(df).collect()) == [1, 4, 6]
+
+
+def test_defaults_and_tidy_columns(spark):
+    df = spark.createDataFrame([(1, None, None, None)], "id long, label string, confidence double, created_at timestamp")
+    r = SC.apply_defaults(df).first()
+    assert r["label"] == "safe" and r["confidence"] == 0.5 and r["created_at"] is not None
+    c = spark.createDataFrame([("t", "safe", 3, "x")], "body_text string, label string, len_chars int, extra string")
+    assert C.tidy_columns(c).columns == ["body_text", "label", "len_chars"]
+    assert C.fill_len_chars(c.drop("len_chars")).first()["len_chars"] == 1
