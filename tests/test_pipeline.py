@@ -169,3 +169,15 @@ def test_defaults_and_tidy_columns(spark):
     c = spark.createDataFrame([("t", "safe", 3, "x")], "body_text string, label string, len_chars int, extra string")
     assert C.tidy_columns(c).columns == ["body_text", "label", "len_chars"]
     assert C.fill_len_chars(c.drop("len_chars")).first()["len_chars"] == 1
+
+
+def test_dedupe_plan_is_one_combinable_aggregate(spark):
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), (F.col("id") % 7).cast("string").alias("body_text"),
+                                  F.lit("safe").alias("label"))
+    d = C.dedupe_keep_first(df, "doc_id")
+    d.write.format("noop").mode("overwrite").save()
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # one shuffle, keyed by (hash, label)
+    assert "Join" not in plan  # survivors are not joined back to the rows
+    assert "Partial" in plan or "partial_" in plan  # map-side combine before the exchange
+    assert d.count() == 7
