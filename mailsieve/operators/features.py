@@ -52,12 +52,25 @@ def char_terms(docs: DataFrame, key: str = "doc_id", text: str = "body_text", ng
 
 def terms(docs: DataFrame, key: str = "doc_id", text: str = "body_text", use_char: bool = False,
           char_range=CHAR_NGRAM_RANGE, partitioned: bool = False) -> DataFrame:
-    """Word (and optionally char) term counts, stacked."""
+    """Word (and optionally char) term counts, stacked as (key, ns, term, tf).
+
+    With both namespaces, tokens and code points come from one projection of
+    the by-key partitioned documents and are exploded by one generator, so
+    the text is shuffled once (two unioned branches would each repartition it).
+    """
     d = docs if partitioned else by_key(docs, key, text)
-    t = word_terms(d, key, text)
-    if use_char:
-        t = t.unionByName(char_terms(d, key, text, char_range))
-    return t
+    if not use_char:
+        return word_terms(d, key, text)
+    lo, hi = char_range
+    x = d.select(key, word_tokens(text).alias("__toks"), code_points(char_prepare(text)).alias("__c"))
+    tagged = F.concat(
+        F.transform(word_ngrams(F.col("__toks"), *WORD_NGRAM_RANGE),
+                    lambda t: F.struct(F.lit("word").alias("ns"), t.alias("term"))),
+        F.transform(char_ngrams(F.col("__c"), lo, hi),
+                    lambda t: F.struct(F.lit("char").alias("ns"), t.alias("term"))),
+    )
+    e = x.select(key, F.inline(tagged))
+    return e.groupBy(key, "ns", "term").agg(F.count(F.lit(1)).alias("tf")).select(key, "ns", "term", "tf")
 
 
 def term_stats(term_counts: DataFrame, key: str = "doc_id") -> DataFrame:

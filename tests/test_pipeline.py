@@ -181,3 +181,18 @@ def test_dedupe_plan_is_one_combinable_aggregate(spark):
     assert "Join" not in plan  # survivors are not joined back to the rows
     assert "Partial" in plan or "partial_" in plan  # map-side combine before the exchange
     assert d.count() == 7
+
+
+def test_tfidf_shuffles_text_once(spark):
+    from mailsieve.operators import features as FE
+
+    docs = spark.createDataFrame([(i, f"alpha beta gamma {i} delta") for i in range(50)], "doc_id long, body_text string")
+    vocab = spark.createDataFrame([("word", "alpha", 50, 50, 1.0), ("char", "alp", 50, 50, 1.0)],
+                                  "ns string, term string, df long, cf long, idf double")
+    f = FE.transform(FE.terms(docs, use_char=True), vocab)
+    f.write.format("noop").mode("overwrite").save()
+    plan = f._jdf.queryExecution().executedPlan().toString()
+    # one by-key repartition of the text; counts and the norm window need no other shuffle
+    assert plan.count("Exchange hashpartitioning") == 1
+    got = {(r["doc_id"], r["ns"]): r["value"] for r in f.collect()}
+    assert got[(3, "word")] == 1.0 and got[(3, "char")] == 1.0
