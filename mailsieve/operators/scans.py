@@ -223,6 +223,11 @@ def page_by_rank(scans: DataFrame, page: int, page_size: int) -> DataFrame:
     return ranked.where((F.col("__rn") > (eff - 1) * page_size) & (F.col("__rn") <= eff * page_size)).drop("__rn")
 
 
+def _ts(d):
+    """Timestamp literal read in the session time zone (not the Python process's zone)."""
+    return F.to_timestamp(F.lit(d.strftime("%Y-%m-%d %H:%M:%S")))
+
+
 def filter_scans(scans: DataFrame, label: str | None = None, date_from: str | None = None,
                  date_to: str | None = None, sender_domain: str | None = None) -> DataFrame:
     """B7 + B8 (+ X7 sender domain): label equality, inclusive date range (end of day
@@ -245,9 +250,9 @@ def filter_scans(scans: DataFrame, label: str | None = None, date_from: str | No
             raise ValueError(f"Invalid date format '{v}'. Use YYYY-MM-DD.") from e
 
     if date_from:
-        scans = scans.where(F.col("created_at") >= F.lit(_parse(date_from)))
+        scans = scans.where(F.col("created_at") >= _ts(_parse(date_from)))
     if date_to:
-        scans = scans.where(F.col("created_at") < F.lit(_parse(date_to) + timedelta(days=1)))
+        scans = scans.where(F.col("created_at") < _ts(_parse(date_to) + timedelta(days=1)))
     del date
     return scans
 
