@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailsieve.llm import decontaminate, simhash
+from mailsieve.llm import decontaminate, simhash, urlfilter
 from mailsieve.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +52,26 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(read_table(spark, sf_dir, "documents")))
+
+
+#: the rules of the URL filter query, as (host, path, verdict)
+URL_RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block"))
+
+OP8_SQL = """
+WITH rules(rhost, rpath, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+  ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+rest AS (SELECT page_id, row_number() OVER () AS row_no,
+  CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
+parts AS (SELECT page_id, row_no, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+fits AS (SELECT row_no, rhost || rpath AS rule, v, row_number() OVER (PARTITION BY row_no ORDER BY length(rhost || rpath) DESC, length(rhost) DESC) AS k
+  FROM parts JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM parts LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (row_no)
+"""
+
+
+@query(OP8_SQL)
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    return urlfilter.digest(urlfilter.judge(read_table(spark, sf_dir, "pages").select("page_id", "url"), rules))
