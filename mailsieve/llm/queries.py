@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailsieve.llm import decontaminate, simhash, urlfilter
+from mailsieve.llm import decontaminate, secrets, simhash, urlfilter
 from mailsieve.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,8 @@ SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM parts LEF
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
     return urlfilter.digest(urlfilter.judge(read_table(spark, sf_dir, "pages").select("page_id", "url"), rules))
+
+
+@query()
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
