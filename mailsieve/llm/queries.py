@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsieve.llm import decontaminate, langid, secrets, simhash, topk, urlfilter
+from mailsieve.llm import decontaminate, langid, packing, secrets, simhash, topk, urlfilter
 from mailsieve.session import read_table
 
+#: the tokenizer file of the packing query
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -101,3 +105,8 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(langid.identify(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")))
+
+
+@query()
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents").select("doc_id", "text"), TOKENIZER)
