@@ -15,9 +15,9 @@ bits.  So
 * pairs of a block are dropped as soon as a chain exceeds its budget, before the
   full Hamming check;
 * a block of more than ``block`` fingerprints (a large group of near copies) is
-  never compared pairwise.  Its members are blocked again by the key of the
-  three-segment chain: equal, or equal but for one bit, and the resulting blocks are again
-  compared if small.  What is still large then is linked through shared
+  never compared pairwise.  The chain of three segments has one difference at
+  most, so one of the two next segments is equal as well: the members are
+  blocked again by it, and compared where that makes small blocks.  What is still large then is linked through shared
   neighbours: two fingerprints are within 2 bits if and only if they share a
   value within 1 bit of both, so 65 rows a fingerprint link them all without a
   pair.  Work stays linear in the number of different fingerprints; no link is
@@ -121,15 +121,15 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> Da
     first = start.select("i", _segment(F.col("fp"), F.col("i"), width).alias("key"), "fp")
     small, large = _split(first, block)
 
-    # chain of three segments: the first equal, the other two equal but for at most one bit
-    span = [_segment(F.col("fp"), F.col("i") + k, width) for k in (1, 2)]
-    pair = F.shiftleft(span[0], width).bitwiseOR(span[1]) if max_bits == 2 else span[0]
-    bits = 2 * width if max_bits == 2 else width
-    masked = F.explode(F.sequence(F.lit(-1), F.lit(bits - 1))).alias("bit")
-    chain = large.select("i", F.col("key").alias("head"), "fp", pair.alias("rest"), masked)
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest("bit", F.lit(0)))
-    rest = F.when(F.col("bit") < 0, F.col("rest")).otherwise(F.col("rest").bitwiseAND(F.bitwise_not(one)))
-    second = chain.select("i", F.xxhash64("head", "bit", rest).alias("key"), "fp").distinct()
+    # the chain goes on: at most one bit in the two next segments (max_bits 1: halves of the next), so one of them is equal
+    if max_bits == 2:
+        parts = [_segment(F.col("fp"), F.col("i") + k, width) for k in (1, 2)]
+    else:
+        after = _segment(F.col("fp"), F.col("i") + 1, width)
+        parts = [after.bitwiseAND(F.lit(0xFFFF)), F.shiftrightunsigned(after, 16)]
+    equal = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), p.alias("part")) for k, p in enumerate(parts)])).alias("e")
+    second = large.select("i", F.col("key").alias("head"), "fp", equal).select(
+        "i", F.xxhash64("head", "e.k", "e.part").alias("key"), "fp")
     small2, large2 = _split(second, block)
 
     hot = large2.select("fp").distinct()
