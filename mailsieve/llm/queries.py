@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsieve.llm import decontaminate, langid, linededup, packing, secrets, simhash, topk, urlfilter
+from mailsieve.llm import ctw, decontaminate, langid, linededup, packing, secrets, simhash, topk, urlfilter
 from mailsieve.session import read_table
 
 #: the tokenizer file of the packing query
@@ -115,3 +115,8 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest(linededup.dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"), report=True))
+
+
+@query()
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.lm_scores(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
