@@ -136,10 +136,12 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK) -> Da
     flips = F.concat(F.array(F.col("fp")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.col("fp").bitwiseXOR(
         F.call_function("shiftleft", F.lit(1).cast("long"), k))))
     near = hot.select("fp", F.explode(flips).alias("near"))
-    shared = near.groupBy("near").agg(F.min("fp").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").checkpoint()
-    through = near.join(shared, "near").where("fp <> low").select(F.col("low").alias("src"), F.col("fp").alias("dst"))
-    if max_bits == 1:
-        through = through.where(F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= 1)
+    if max_bits == 2:
+        shared = near.groupBy("near").agg(F.min("fp").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").checkpoint()
+        through = near.join(shared, "near").where("fp <> low").select(F.col("low").alias("src"), F.col("fp").alias("dst"))
+    else:  # within 1 bit: the value is a fingerprint itself
+        through = near.join(hot.select(F.col("fp").alias("near")), "near").where("fp <> near").select(
+            F.col("near").alias("src"), F.col("fp").alias("dst"))
     within = [_pairs(x, max_bits, ring, width) for x in (small, small2)]
     return within[0].unionByName(within[1]).unionByName(through).distinct()
 
