@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsieve.llm import ctw, decontaminate, langid, linededup, packing, secrets, simhash, topk, urlfilter
+from mailsieve.llm import ctw, decontaminate, kneserney, langid, linededup, packing, secrets, simhash, topk, urlfilter
 from mailsieve.session import read_table
 
 #: the tokenizer file of the packing query
@@ -120,3 +120,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.lm_scores(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query()
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = read_table(spark, sf_dir, "labels")
+    trusted = labels.where((F.col("quality") == 1) & (F.col("toxic") == 0)).select("doc_id")
+    return kneserney.classify(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), trusted)
