@@ -70,19 +70,6 @@ PREVIEW_CHARS = 500
 EXPORT_COLUMNS = ("id", "created_at", "subject", "sender", "label", "confidence", "reasons")
 EXCEL_RISKY_PREFIXES = ("=", "+", "-", "@")
 
-# FIXED VALUES: HTML entities decoded natively (the full set goes through html.unescape)
-HTML_ENTITIES = (
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&apos;", "'"),
-    ("&nbsp;", " "),
-    ("&middot;", "·"),
-    ("&copy;", "©"),
-    ("&reg;", "®"),
-    ("&amp;", "&"),  # last, so "&amp;lt;" decodes once to "&lt;"
-)
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: English stop-word list of the word analyzer (318 words)

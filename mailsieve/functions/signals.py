@@ -45,23 +45,38 @@ def excel_safe(x) -> Column:
 
 
 def parse_ymd(x) -> Column:
-    """``YYYY-MM-DD`` (one-digit month/day accepted); bad input raises under ANSI mode."""
-    return F.to_date(_c(x), "yyyy-M-d")
+    """``YYYY-MM-DD`` (one-digit month/day accepted) -> date; null for anything else."""
+    v = _c(x)
+    return F.when(v.rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), F.try_to_timestamp(v, F.lit("yyyy-M-d")).cast("date"))
+
+
+# FIXED VALUES: zone names of RFC 2822 and their offsets
+ZONES = (("UT", "+0000"), ("UTC", "+0000"), ("GMT", "+0000"), ("Z", "+0000"), ("AST", "-0400"), ("ADT", "-0300"),
+         ("EST", "-0500"), ("EDT", "-0400"), ("CST", "-0600"), ("CDT", "-0500"), ("MST", "-0700"), ("MDT", "-0600"),
+         ("PST", "-0800"), ("PDT", "-0700"))
+_DATE = (r"(?i)^(?:[a-z]+\s*,?\s+|[a-z]+,)?([0-9]{1,2})[\s-]+([a-z]{3})[a-z]*[\s-]+([0-9]{2,4}),?\s+"
+         r"([0-9]{1,2})[:.]([0-9]{2})(?:[:.]([0-9]{2}))?\s*([+-][0-9]{4}|[a-z]+)?$")
 
 
 def parse_rfc2822(x) -> Column:
     """RFC-2822 Date header -> timestamp, null when unparsable.
 
-    The optional day name is removed first (``EEE`` is not a parse pattern);
-    obsolete zone names are mapped to offsets.
+    Comments go first; the day name, the seconds and the zone are optional (no
+    or an unknown zone: UTC); named zones have fixed offsets; two-digit years up to 68 are 20xx.
     """
-    s = F.regexp_replace(F.coalesce(_c(x), F.lit("")), r"^\s*[A-Za-z]{3},\s*", "")
-    s = F.regexp_replace(s, r"\s+(UT|GMT|Z)\s*$", " +0000")
-    s = F.regexp_replace(s, r"\s+\([^)]*\)\s*$", "")
-    s = F.regexp_replace(strip_ws(s), r"\s+", " ")
-    with_secs = F.try_to_timestamp(s, F.lit("d MMM yyyy HH:mm:ss Z"))
-    no_secs = F.try_to_timestamp(s, F.lit("d MMM yyyy HH:mm Z"))
-    return F.coalesce(with_secs, no_secs)
+    s = F.regexp_replace(F.coalesce(_c(x), F.lit("")), r"\([^()]*\)", " ")
+    s = strip_ws(F.regexp_replace(s, r"\s+", " "))
+
+    def part(k: int) -> Column:
+        return F.regexp_extract(s, _DATE, k)
+
+    year = F.when(F.length(part(3)) == 4, part(3).try_cast("int")).when(part(3).try_cast("int") > 68, part(3).try_cast("int") + 1900)
+    year = year.otherwise(part(3).try_cast("int") + 2000)
+    zones = F.create_map(*[F.lit(v) for kv in ZONES for v in kv])
+    zone = F.when(part(7).rlike("^[+-]"), part(7)).otherwise(F.coalesce(F.try_element_at(zones, F.upper(part(7))), F.lit("+0000")))
+    text = F.concat_ws(" ", F.lpad(part(1), 2, "0"), F.initcap(part(2)), F.lpad(year.cast("string"), 4, "0"), F.concat_ws(
+        ":", F.lpad(part(4), 2, "0"), part(5), F.when(part(6) == "", F.lit("00")).otherwise(part(6))), zone)
+    return F.when(s.rlike(_DATE), F.try_to_timestamp(text, F.lit("dd MMM yyyy HH:mm:ss Z")))
 
 
 def strip_ws(x) -> Column:

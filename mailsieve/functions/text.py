@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mailsieve.functions.constants import ENGLISH_STOP_WORDS, HTML_ENTITIES, PREVIEW_CHARS
+from mailsieve.functions.constants import ENGLISH_STOP_WORDS, PREVIEW_CHARS
 
 WS = r"(?U)\s+"
 
@@ -65,35 +65,46 @@ def decode_utf8_ignore(content) -> Column:
     return clean_newlines(F.regexp_replace(s, "�", ""))
 
 
+_ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);?"
+
+
+def _entity_map() -> Column:
+    """Named entities of HTML 5 (a constant map), keyed as written: ``&name;`` or, for the old ones, ``&name``."""
+    from html.entities import html5
+
+    return F.create_map(*[F.lit(x) for name, ch in html5.items() for x in ("&" + name, ch)])
+
+
+def html_unescape(x) -> Column:
+    """Character references decoded once: decimal, hexadecimal and all named ones; unknown ones stay as they are."""
+    s = F.coalesce(_c(x), F.lit(""))
+    named = _entity_map()
+
+    def decode(e: Column) -> Column:
+        digits = F.regexp_extract(e, "([0-9a-fA-F]+);?$", 1)
+        number = F.when(F.lower(F.substring(e, 3, 1)) == "x", F.conv(digits, 16, 10)).otherwise(digits).cast("long")
+        usable = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(usable, number).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32")
+        return F.when(F.startswith(e, F.lit("&#")), char).otherwise(F.coalesce(F.try_element_at(named, e), e))
+
+    found = F.regexp_extract_all(s, F.lit(_ENTITY), F.lit(0))
+    gaps = F.split(s, _ENTITY, -1)
+    pairs = F.zip_with(gaps, found, lambda g, e: F.concat(g, F.when(e.isNull(), F.lit("")).otherwise(decode(e))))
+    return F.when(F.contains(s, F.lit("&")), F.array_join(pairs, "")).otherwise(s)
+
+
 def html_to_text(x, crude: bool = False) -> Column:
-    """H6: drop script/style with content, drop tags, decode entities, collapse spaces.
+    """H6: drop comments, script/style with content and tags, decode entities, collapse spaces.
 
     ``crude=True`` is the fallback behaviour: tags become spaces, then strip.
-    Entities outside ``HTML_ENTITIES`` are left as-is here; ``html_unescape_full``
-    below decodes the complete set with a pandas UDF.
     """
     s = F.coalesce(_c(x), F.lit(""))
     if crude:
         return strip(F.regexp_replace(s, r"<[^>]+>", " "))
-    s = F.regexp_replace(s, r"(?is)<script\b[^>]*>.*?</script\s*>", " ")
-    s = F.regexp_replace(s, r"(?is)<style\b[^>]*>.*?</style\s*>", " ")
+    s = F.regexp_replace(s, r"(?s)<!--.*?-->", " ")
+    s = F.regexp_replace(s, r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " ")
     s = F.regexp_replace(s, r"<[^>]+>", " ")
-    for ent, ch in HTML_ENTITIES:
-        s = F.replace(s, F.lit(ent), F.lit(ch))
-    return strip(F.regexp_replace(s, WS, " "))
-
-
-def html_unescape_full(x) -> Column:
-    """Complete HTML5 entity decoding (Arrow-batched pandas UDF; the slow path)."""
-    import html
-
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def _unescape(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if v is None else html.unescape(v))
-
-    return _unescape(_c(x))
+    return strip(F.regexp_replace(html_unescape(s), WS, " "))
 
 
 # URL rules --------------------------------------------------------------------

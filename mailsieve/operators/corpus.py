@@ -2,9 +2,9 @@
 
 Keep-first needs an explicit order column: files and partitions have no
 stable row order in Spark, so callers pass ``order`` (e.g. source rank then
-doc id).  Dedupe is a hash aggregate with ``min_by`` (map-side combine), so a
-group of copies holding a large share of the corpus never lands in one task
-as raw rows.
+doc id).  Dedupe is a hash aggregate of the smallest order per key on narrow
+rows; the survivors' payload is fetched by a join on (keys, order), which spreads
+a group of copies over all tasks because the order differs.
 """
 
 from __future__ import annotations
@@ -63,11 +63,16 @@ def training_rows_report(df: DataFrame, text: str = "body_text", label: str = "l
                   F.count_if(~F.coalesce(ok, F.lit(False))).alias("n_dropped"))
 
 
-def first_per_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """E1 core: the row with the smallest ``order`` per key, via a combinable aggregate."""
-    payload = [c for c in rows.columns if c not in keys]
-    agg = rows.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(c) for c in payload]), F.col(order)).alias("__first"))
-    return agg.select(*keys, *[F.col(f"__first.{c}").alias(c) for c in payload])
+def first_per_key(rows: DataFrame, keys: list[str], order: str, *more: Column) -> DataFrame:
+    """E1 core: the row with the smallest ``order`` per key (null keys are one key); ``more`` adds aggregates per key.
+
+    ``order`` is unique per key; rows without an order are never first.
+    """
+    low = rows.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min(order).alias("__order"), *more)
+    same = F.col(order) == F.col("__order")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return rows.join(low, same).drop("__order", *[f"__{k}" for k in keys])
 
 
 def with_text_hash(df: DataFrame, text: str = "body_text", normalized: bool = True, out: str = "text_hash") -> DataFrame:
@@ -103,11 +108,7 @@ def counts_per_label(df: DataFrame, label: str = "label") -> DataFrame:
 def resolve_conflicts(df: DataFrame, order: str, text: str = "body_text", label: str = "label") -> DataFrame:
     """One row per raw-body hash; 'spam' wins when the copies disagree, else the first label."""
     h = with_text_hash(df, text, normalized=False)
-    first = h.groupBy("text_hash").agg(
-        F.min_by(F.struct(*[F.col(c) for c in h.columns if c != "text_hash"]), F.col(order)).alias("__f"),
-        F.max((F.col(label) == "spam").cast("int")).alias("__any_spam"))
-    cols = [c for c in h.columns if c not in ("text_hash",)]
-    out = first.select("text_hash", "__any_spam", *[F.col(f"__f.{c}").alias(c) for c in cols])
+    out = first_per_key(h, ["text_hash"], order, F.max((F.col(label) == "spam").cast("int")).alias("__any_spam"))
     return out.withColumn(label, F.when(F.col("__any_spam") == 1, F.lit("spam")).otherwise(F.col(label))).drop("__any_spam")
 
 

@@ -308,51 +308,66 @@ def temperature_grid_nll(df: DataFrame, logits: str, label_idx: str, temps) -> D
     """M13 one round: NLL of every candidate T in a single pass (rows x candidates, aggregated)."""
     t = F.explode(F.array(*[F.lit(float(x)) for x in temps])).alias("T")
     x = df.select(logits, label_idx, t)
-    p = softmax(temperature_scale(F.col(logits), F.col("T")))
-    return x.groupBy("T").agg(F.avg(-F.log(F.element_at(p, F.col(label_idx) + 1))).alias("nll"))
+    # log-sum-exp, so that a probability too small for a double still counts
+    z = temperature_scale(F.col(logits), F.col("T"))
+    top = F.array_max(z)
+    total = F.aggregate(z, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))
+    return x.groupBy("T").agg(F.avg(F.log(total) + top - F.element_at(z, F.col(label_idx) + 1)).alias("nll"))
 
 
 def fit_temperature(df: DataFrame, logits: str, label_idx: str, rounds: int = 4, grid: int = 32,
                     lo: float = 0.05, hi: float = 20.0) -> float:
-    """Minimise validation NLL over T by repeated zooming grids (each round is one job
-    whose result is ``grid`` numbers)."""
+    """Minimise validation NLL over T by grids (each round is one job whose result is ``grid`` numbers).
+
+    A minimum at the edge of the grid moves the range outwards until it is inside (or at the floor 1e-6, or
+    flat); then the grid zooms in ``rounds`` times.
+    """
     import math
 
-    a, b = math.log(lo), math.log(hi)
-    best = 1.0
-    for _ in range(rounds):
+    a, b, best, zooms = math.log(lo), math.log(hi), 1.0, 0
+    floor, ceiling = math.log(1e-6), math.log(1e12)
+    while zooms < rounds:
         temps = [math.exp(a + (b - a) * i / (grid - 1)) for i in range(grid)]
-        res = temperature_grid_nll(df, logits, label_idx, temps).orderBy("nll", "T").first()
-        best = float(res["T"])
-        step = (b - a) / (grid - 1)
-        a, b = math.log(best) - step, math.log(best) + step
+        best = float(temperature_grid_nll(df, logits, label_idx, temps).orderBy("nll", "T").first()["T"])
+        if best <= temps[0] and a > floor:
+            a, b = max(floor, 2 * a - b), a + (b - a) / (grid - 1)
+        elif best >= temps[-1] and b < ceiling:
+            a, b = b - (b - a) / (grid - 1), min(ceiling, 2 * b - a)
+        else:
+            step = (b - a) / (grid - 1)
+            a, b, zooms = math.log(best) - step, math.log(best) + step, zooms + 1
     return best
 
 
 # --- split ----------------------------------------------------------------------------
 
-def hash_rank(df: DataFrame, key: str, group: list[str], seed: int = SEED_DEFAULT, n_buckets: int = 4096) -> DataFrame:
+def hash_rank(df: DataFrame, key: str, group: list[str], seed: int = SEED_DEFAULT) -> DataFrame:
     """Rank rows inside ``group`` by md5("seed:key") (ties by key), plus the group size.
 
-    Bucketed: counts per (group, first 3 hex digits) -> prefix offsets over that
-    bounded table (broadcast) -> row_number inside each bucket + offset.  A group
-    holding most rows is still spread over ``n_buckets`` tasks.
-    Adds ``__rank`` and ``__n``.
+    Narrow rows (group, key) are ranked bucket by bucket: counts per (group, first 3 hex
+    digits) give each bucket's offset, a window ranks inside it, so a group holding most
+    rows is spread over 4,096 buckets.  Rows join their rank by key; null labels are a group.
+    Adds ``__rank`` and ``__n``.  ``key`` is unique and not null.
     """
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    x = df.withColumn("__h", h).withColumn("__b", F.conv(F.substring("__h", 1, 3), 16, 10).cast("int"))
-    cnt = x.groupBy(*group, "__b").agg(F.count(F.lit(1)).alias("__nb"))
-    w = Window.partitionBy(*group).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    wt = Window.partitionBy(*group)
-    offs = cnt.select(*group, "__b", F.coalesce(F.sum("__nb").over(w), F.lit(0)).alias("__off"),
-                      F.sum("__nb").over(wt).alias("__n"))
-    j = x.join(F.broadcast(offs), group + ["__b"])
-    rank = F.col("__off") + F.row_number().over(Window.partitionBy(*group, "__b").orderBy("__h", key))
-    return j.withColumn("__rank", rank).drop("__h", "__b", "__off")
+    x = df.select(F.col(key).alias("__key"), *[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], h.alias("__h"))
+    x = x.withColumn("__b", F.conv(F.substring("__h", 1, 3), 16, 10).cast("int"))
+    by = [f"__g{i}" for i in range(len(group))]
+    cnt = x.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__nb"))
+    w = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = cnt.select(*[F.col(g).alias(f"_{g}") for g in by], F.col("__b").alias("___b"),
+                      F.coalesce(F.sum("__nb").over(w), F.lit(0)).alias("__off"),
+                      F.sum("__nb").over(Window.partitionBy(*by)).alias("__n"))
+    same = F.col("__b") == F.col("___b")
+    for g in by:
+        same = same & F.col(g).eqNullSafe(F.col(f"_{g}"))
+    inside = F.row_number().over(Window.partitionBy(*by, "__b").orderBy("__h", "__key"))
+    ranked = x.withColumn("__in", inside).join(offs, same).select("__key", (F.col("__off") + F.col("__in")).alias("__rank"), "__n")
+    return df.join(ranked, F.col(key) == F.col("__key")).drop("__key")
 
 
 def stratified_split(df: DataFrame, key: str, label: str = "label", val_size: float = 0.2, seed: int = 42,
-                     stratify: bool | None = None, n_buckets: int = 4096) -> DataFrame:
+                     stratify: bool | None = None) -> DataFrame:
     """M6: adds ``split`` in {train, val}.
 
     Rows are ranked inside their label by md5("seed:key"); the first
@@ -362,7 +377,7 @@ def stratified_split(df: DataFrame, key: str, label: str = "label", val_size: fl
     if stratify is None:
         m = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("m")).first()["m"]
         stratify = (m or 0) >= 2
-    r = hash_rank(df, key, [label] if stratify else [], seed, n_buckets)
+    r = hash_rank(df, key, [label] if stratify else [], seed)
     n_val = F.ceil(F.col("__n") * F.lit(float(val_size)))
     return r.withColumn("split", F.when(F.col("__rank") <= n_val, F.lit("val")).otherwise(F.lit("train"))) \
         .drop("__rank", "__n")

@@ -1,16 +1,13 @@
-"""Near-duplicate removal (X2): MinHash signatures, LSH bands, components by label propagation.
+"""Near-duplicate removal (X2): MinHash signatures, LSH bands, components by star contraction.
 
 * Signatures are computed inside each row: for each of ``num_hashes`` salts,
   the minimum 64-bit hash over the document's shingles (no explode).
 * Banding turns a signature into ``bands`` keys; documents sharing a key are
-  candidates.  Candidate *pairs* are never formed: a band holding a third of
-  the corpus would make that quadratic.  Instead each document's cluster label
-  is the smallest doc id reachable through shared band keys, found by
-  iterating two combinable aggregates (min per band, then min per document).
-  A hot band is one partial-aggregated ``min``; the band->doc join is unique
-  per band on the small side and skew-split by AQE on the other.
-* Each iteration's label table is checkpointed to ``spark.checkpoint.dir`` so
-  lineage stays short and a lost executor recomputes one step, not all.
+  candidates.  Candidate *pairs* are never formed: each document of a band is linked
+  to the band's smallest document, one row per document and band, and the components of
+  these links are found by star contraction until nothing changes (no round limit).
+* The smallest document per band is a combinable aggregate; it is written before the
+  join back, so both sides of that join are shuffled and AQE can split a hot band.
 
 Clusters are transitive (A~B, B~C puts A and C together), the usual choice for
 near-duplicate removal.  The reference documents this step but has no code.
@@ -22,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailsieve.functions.text import normalize_text, shifted_ngrams
+from mailsieve.operators.components import connected_components
 from mailsieve.session import checkpoint_dir
 
 
@@ -48,23 +46,23 @@ def band_keys(sig, bands: int = 16, rows: int = 4):
 
 
 def near_duplicate_clusters(df: DataFrame, key: str = "doc_id", text: str = "body_text", shingle_n: int = 3,
-                            bands: int = 16, rows: int = 4, max_iter: int = 20) -> DataFrame:
+                            bands: int = 16, rows: int = 4) -> DataFrame:
     """(key, cluster) where cluster = smallest key connected through a shared LSH band."""
-    spark = df.sparkSession
-    checkpoint_dir(spark)
+    checkpoint_dir(df.sparkSession)
     # shingles are projected once; the signature's transforms read the column
     sh = df.select(key, shingles(F.col(text), shingle_n).alias("__sh"))
     sig = sh.select(key, minhash_signature(F.col("__sh"), bands * rows).alias("__sig"))
-    edges = sig.select(key, F.explode(band_keys(F.col("__sig"), bands, rows)).alias("band")).checkpoint()
-    label = edges.groupBy(key).agg(F.min(key).alias("cluster"))
-    for _ in range(max_iter):
-        band_min = edges.join(label, key).groupBy("band").agg(F.min("cluster").alias("m"))
-        new = edges.join(band_min, "band").groupBy(key).agg(F.min("m").alias("cluster")).checkpoint()
-        changed = new.join(label.withColumnRenamed("cluster", "old"), key).where(F.col("cluster") != F.col("old")).limit(1).count()
-        label = new
-        if changed == 0:
-            break
-    return label
+    banded = sig.select(key, F.explode(band_keys(F.col("__sig"), bands, rows)).alias("band")).checkpoint()
+    return clusters_of_bands(banded, key)
+
+
+def clusters_of_bands(banded: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, cluster) from (key, band) rows: the smallest key reachable through shared bands."""
+    first = banded.groupBy("band").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n").checkpoint()
+    edges = banded.join(first, "band").where(F.col(key) != F.col("first")).select("first", key)
+    roots = connected_components(edges, "first", key)
+    return banded.select(key).distinct().join(roots.withColumnRenamed("node", key), key, "left").select(
+        key, F.coalesce("root", key).alias("cluster"))
 
 
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "body_text", **kw) -> DataFrame:

@@ -2,12 +2,12 @@
 
 Design notes for scale
 * E-mail ids are content hashes; one id may repeat across a large part of a
-  batch (pasted texts with one subject/sender).  First-wins is decided with a
-  hash aggregate (``min_by`` over the arrival order), which combines map-side
-  before the shuffle, so a hot id costs one row per map task, not one task.
+  batch (pasted texts with one subject/sender).  First-wins is a hash aggregate
+  of the smallest order per id on narrow rows; the payload follows by a join on (id,
+  order), so the rows of a hot id are spread over all tasks.
 * Rules are evaluated once per surviving e-mail, then joined back to the scan
-  rows on ``email_id``.  That side is unique per key; a hot key on the scan side
-  is split by AQE's skew-join handling.
+  rows on ``email_id``.  The survivors are partitioned by (id, order), so this
+  join shuffles both sides and AQE can split a hot id on the scan side.
 * Nothing is collected; appends are plain DataFrame writes.
 """
 
@@ -16,8 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailsieve.functions.signals import excel_safe, iso_timestamp, parse_rfc2822, reason_string, recipients
+from mailsieve.functions.signals import excel_safe, iso_timestamp, parse_rfc2822, parse_ymd, reason_string, recipients
 from mailsieve.functions.text import preview, short_id
+from mailsieve.operators.corpus import first_per_key
 from mailsieve.operators.classify import parsed_from_view, with_header_flags, with_rules
 
 EMAIL_COLUMNS = (
@@ -88,17 +89,6 @@ def with_parsed_defaults(df: DataFrame) -> DataFrame:
     return df
 
 
-def first_per_id(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Keep the row with the smallest ``order`` per ``key`` (keep-first, hot-key safe).
-
-    ``min_by`` is a declarative aggregate: partial aggregation happens before
-    the exchange, so each map task ships at most one row per key.
-    """
-    payload = [c for c in rows.columns if c != key]
-    agg = rows.groupBy(key).agg(F.min_by(F.struct(*[F.col(c) for c in payload]), F.col(order)).alias("__first"))
-    return agg.select(key, *[F.col(f"__first.{c}").alias(c) for c in payload])
-
-
 def insert_if_absent(batch_emails: DataFrame, existing: DataFrame | None, order: str = "__ord") -> tuple[DataFrame, DataFrame]:
     """Returns (new_emails, current_emails_for_batch).
 
@@ -107,7 +97,7 @@ def insert_if_absent(batch_emails: DataFrame, existing: DataFrame | None, order:
     the stored table.  ``current`` is one row per id touched by the batch:
     the stored row when it exists, else the batch survivor (Q7 behaviour).
     """
-    survivors = first_per_id(batch_emails, "id", order).drop(order)
+    survivors = first_per_key(batch_emails, ["id"], order).drop(order)
     if existing is None:
         return survivors, survivors
     ex = existing.select(*survivors.columns)
@@ -223,9 +213,17 @@ def page_by_rank(scans: DataFrame, page: int, page_size: int) -> DataFrame:
     return ranked.where((F.col("__rn") > (eff - 1) * page_size) & (F.col("__rn") <= eff * page_size)).drop("__rn")
 
 
-def _ts(d):
-    """Timestamp literal read in the session time zone (not the Python process's zone)."""
-    return F.to_timestamp(F.lit(d.strftime("%Y-%m-%d %H:%M:%S")))
+def _day(value: str) -> Column:
+    """H16 of a filter value, checked when the plan is built."""
+    from datetime import datetime
+
+    try:
+        if not value.replace("-", "").isdecimal():
+            raise ValueError(value)
+        datetime.strptime(value, "%Y-%m-%d")
+    except ValueError as e:
+        raise ValueError(f"Invalid date format '{value}'. Use YYYY-MM-DD.") from e
+    return parse_ymd(F.lit(value))
 
 
 def filter_scans(scans: DataFrame, label: str | None = None, date_from: str | None = None,
@@ -240,20 +238,10 @@ def filter_scans(scans: DataFrame, label: str | None = None, date_from: str | No
         if label not in ("safe", "spam", "phishing"):
             raise ValueError(f"bad label {label!r}")
         scans = scans.where(F.col("label") == label)
-    from datetime import date, datetime, timedelta
-
-    def _parse(v: str) -> datetime:
-        try:
-            y, m, d = (int(x) for x in v.split("-"))
-            return datetime(y, m, d)
-        except Exception as e:  # noqa: BLE001
-            raise ValueError(f"Invalid date format '{v}'. Use YYYY-MM-DD.") from e
-
     if date_from:
-        scans = scans.where(F.col("created_at") >= _ts(_parse(date_from)))
+        scans = scans.where(F.col("created_at") >= _day(date_from).cast("timestamp"))
     if date_to:
-        scans = scans.where(F.col("created_at") < _ts(_parse(date_to) + timedelta(days=1)))
-    del date
+        scans = scans.where(F.col("created_at") < F.date_add(_day(date_to), 1).cast("timestamp"))
     return scans
 
 

@@ -13,10 +13,10 @@ from mailsieve.plans.q_metrics import EVAL_SQL, _SOFTMAX_SQL, THRESHOLDS, eval_v
 from mailsieve.plans.q_scans import _scans, scans_sql
 from mailsieve.plans.registry import register
 from mailsieve.plans.sqlviews import CORPUS_VIEW, EMAIL_VIEW, TRAIN_VIEW, sql_canonical
-from mailsieve.sources.tables import corpus_view, email_view
+from mailsieve.sources.tables import corpus_view, email_view, labelled_email_view
 
 RETENTION_CUTOFF = "2024-01-20 00:00:00"
-MIX_TARGET = 150
+MIX_TARGET = 100_000
 
 
 @register("x01_balanced_mix", f"""WITH {CORPUS_VIEW}, {TRAIN_VIEW}, r AS (
@@ -51,7 +51,7 @@ SELECT s.id, s.label AS predicted, coalesce(l.new_label, s.label) AS label FROM
 def x05_label_corrections(spark, sf):
     from mailsieve.operators.corpus import canonical_label
 
-    v = email_view(spark, sf).where(F.col("raw_label").isNotNull())
+    v = labelled_email_view(spark, sf).where(F.col("raw_label").isNotNull())
     corr = v.select((F.col("doc_id") + 1).alias("scan_id"), F.lit("safe").alias("new_label"),
                     (F.col("created_at") + F.expr("INTERVAL 1 HOUR")).alias("at")).unionByName(
         v.select((F.col("doc_id") + 1).alias("scan_id"), canonical_label("raw_label").alias("new_label"),

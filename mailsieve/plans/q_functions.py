@@ -116,14 +116,16 @@ _HTML_SQL = r"""WITH a AS (
     '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '),
     '&middot;', '·'), '&copy;', '©'), '&reg;', '®'), '&amp;', '&') AS t FROM a
 ), c AS (
-  SELECT page_id, regexp_replace(regexp_replace(t, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS txt FROM b
+  SELECT page_id, regexp_replace(regexp_replace(t || ' café ’ … A &madeup;', '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') AS txt FROM b
 )
 SELECT page_id, sha256(txt) AS text_sha, CAST(length(txt) AS BIGINT) AS text_len FROM c"""
 
 
 @register("h06_html_to_text", _HTML_SQL)
 def h06_html_to_text(spark, sf):
-    t = T.html_to_text("html")
+    # a comment with a tag end, named, decimal, hexadecimal and unknown references after every page
+    tail = "<!-- a > b --><p>caf&eacute; &#8217; &hellip; &#x41; &madeup;</p>"
+    t = T.html_to_text(F.concat(F.coalesce("html", F.lit("")), F.lit(tail)))
     return read_table(spark, sf, "pages").select("page_id", T.sha256_hex(t).alias("text_sha"),
                                                  F.length(t).cast("long").alias("text_len"))
 
@@ -212,13 +214,31 @@ def h15_excel_safe(spark, sf):
                     F.length(s).cast("long").alias("safe_len"))
 
 
-@register("h17_parse_rfc2822_date", "SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%dT%H:%M:%S') AS parsed FROM events")
+# the header's form and zone vary with the event id; each form's offset in hours is added by the oracle
+_DATE_FORMS = (("EEE, d MMM yyyy HH:mm:ss", " +0000", 0), ("EEE, dd MMM yyyy HH:mm:ss", " EST", 5), ("d MMM yyyy HH:mm:ss", " PDT", 7),
+               ("EEE, d MMM yyyy HH:mm:ss", " GMT (Greenwich Mean Time)", 0), ("EEE, d MMM yy HH:mm:ss", " -0130 (x)", 1.5),
+               ("EEE, d MMM yyyy HH:mm:ss", "", 0), ("d-MMM-yyyy HH:mm:ss", " +0530", -5.5), ("EEE, d MMM yyyy HH:mm:ss", " at dawn", None))
+
+
+@register("h17_parse_rfc2822_date", "SELECT event_id, strftime(date_trunc('second', ts) + to_minutes(CASE event_id % 8 "
+          + " ".join(f"WHEN {i} THEN {'NULL' if h is None else int(h * 60)}" for i, (_, _, h) in enumerate(_DATE_FORMS))
+          + " END), '%Y-%m-%dT%H:%M:%S') AS parsed FROM events")
 def h17_parse_rfc2822_date(spark, sf):
     e = read_table(spark, sf, "events")
-    hdr = F.date_format("ts", "EEE, d MMM yyyy HH:mm:ss +0000")
+    hdr = F.coalesce(*[F.when(F.col("event_id") % 8 == i, F.concat(F.date_format("ts", form), F.lit(zone)))
+                       for i, (form, zone, _) in enumerate(_DATE_FORMS)])
     return e.select("event_id", F.date_format(S.parse_rfc2822(hdr), "yyyy-MM-dd'T'HH:mm:ss").alias("parsed"))
 
 
+@register("h16_parse_ymd", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%d') WHEN 1 THEN strftime(ts, '%Y-%m-%d') "
+          "END AS day FROM events")
+def h16_parse_ymd(spark, sf):
+    k = F.col("event_id") % 4
+    given = (F.when(k == 0, F.date_format("ts", "yyyy-MM-dd")).when(k == 1, F.date_format("ts", "yyyy-M-d"))
+             .when(k == 2, F.date_format("ts", "yyyy-MM-dd'x'")).otherwise(F.date_format("ts", "'2_0'yy-MM-dd")))
+    return read_table(spark, sf, "events").select("event_id", F.date_format(S.parse_ymd(given), "yyyy-MM-dd").alias("day"))
+
+
 @register("h18_iso_timestamp", f"SELECT event_id, {sql_iso('ts')} AS iso FROM events")
 def h18_iso_timestamp(spark, sf):
     return read_table(spark, sf, "events").select("event_id", S.iso_timestamp("ts").alias("iso"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from mailsieve.functions import text as T
 from mailsieve.plans.registry import register
-from mailsieve.plans.sqlviews import EMAIL_VIEW, sql_auth, sql_extract_urls, sql_strip
+from mailsieve.plans.sqlviews import EMAIL_VIEW, sql_auth, sql_extract_urls, sql_normalize, sql_strip
 from mailsieve.sources import mail as ML
 from mailsieve.sources.tables import email_view
 
@@ -24,50 +24,77 @@ def _doc_id():
     return F.regexp_extract("path", r"(\d+)$", 1).cast("long").alias("doc_id")
 
 
-@register("m03_parse_rfc822", f"""WITH {EMAIL_VIEW} SELECT doc_id, subject, sender, message_id, reply_to,
+# M3 body of a message form: HTML alone is read as text (white space collapsed)
+_FORM = "doc_id % 5"
+_BODY = f"CASE WHEN {_FORM} = 3 THEN {sql_normalize('body_text', lower=False)} ELSE body_text END"
+_CORPUS = sql_strip(_BODY)
+_TYPE = f"CASE {_FORM} WHEN 2 THEN 'multipart/mixed' WHEN 3 THEN 'text/html' ELSE 'text/plain' END"
+_HTML = ("'<html><!-- a > b --><body><p>' || replace(replace(replace(body_text, '&', '&amp;'), '<', '&lt;'), '>', '&#62;') "
+         "|| '</p></body></html>'")
+
+
+@register("m03_parse_rfc822", f"""WITH {EMAIL_VIEW}, m AS (SELECT *, {_BODY} AS body,
+  CASE WHEN {_FORM} IN (2, 3) THEN {_HTML} ELSE '' END AS html FROM email)
+SELECT doc_id, subject, sender, message_id, reply_to,
   {sql_auth('auth_results', 'spf')} AS spf_result, {sql_auth('auth_results', 'dkim')} AS dkim_result,
-  {sql_auth('auth_results', 'dmarc')} AS dmarc_result, '1.2.3.4,10.0.0.7' AS received_ips,
-  array_to_string(list_sort(list_distinct({sql_extract_urls('body_text')})), ' ') AS urls,
-  1 AS has_text, 0 AS has_html, 0 AS attachments_count, sha256(body_text) AS body_sha FROM email""", bench=True)
+  {sql_auth('auth_results', 'dmarc')} AS dmarc_result,
+  '1.2.3.' || CAST(doc_id % 250 AS VARCHAR) || ',10.0.0.' || CAST(doc_id % 3 AS VARCHAR) AS received_ips,
+  array_to_string(list_sort(list_distinct(list_concat({sql_extract_urls('body')}, {sql_extract_urls('html')}))), ' ') AS urls,
+  CASE WHEN {_FORM} = 3 THEN 0 ELSE 1 END AS has_text, CASE WHEN {_FORM} IN (2, 3) THEN 1 ELSE 0 END AS has_html,
+  CASE WHEN {_FORM} = 2 THEN 1 ELSE 0 END AS attachments_count, CASE WHEN {_FORM} = 2 THEN 'a b.pdf' ELSE '' END AS attachments,
+  sha256(body) AS body_sha FROM m""", bench=True)
 def m03_parse_rfc822(spark, sf):
     p = ML.parse_rfc822(_messages(spark, sf))
     return p.select(_doc_id(), "subject", "sender", "message_id", "reply_to", "spf_result", "dkim_result",
                     "dmarc_result", F.array_join("received_ips", ",").alias("received_ips"),
                     F.array_join("urls", " ").alias("urls"), "has_text", "has_html",
                     F.col("attachments_count").cast("int").alias("attachments_count"),
-                    T.sha256_hex("body_text").alias("body_sha"))
+                    F.array_join("attachments", ",").alias("attachments"), T.sha256_hex("body_text").alias("body_sha"))
 
 
-@register("m04_corpus_text", f"""WITH {EMAIL_VIEW} SELECT doc_id, sha256({sql_strip('body_text')}) AS text_sha,
-  CAST(length({sql_strip('body_text')}) AS INTEGER) AS len_chars FROM email""")
+@register("m04_corpus_text", f"""WITH {EMAIL_VIEW} SELECT doc_id, sha256({_CORPUS}) AS text_sha,
+  CAST(length({_CORPUS}) AS INTEGER) AS len_chars FROM email""")
 def m04_corpus_text(spark, sf):
     d = ML.decode_messages(_messages(spark, sf))
-    t = T.strip(T.clean_newlines(F.coalesce("corpus_text", F.lit(""))))
+    t = T.strip(T.clean_newlines(F.coalesce(ML.corpus_text(), F.lit(""))))
     return d.select(_doc_id(), T.sha256_hex(t).alias("text_sha"), F.length(t).cast("int").alias("len_chars"))
 
 
-@register("d04_parse_counters", f"""WITH {EMAIL_VIEW}, s AS (SELECT source, {sql_strip('body_text')} AS t FROM email)
-SELECT source, count(*) AS candidates, CAST(count_if(length(t) >= 20) AS BIGINT) AS extracted_ok,
-  CAST(count_if(t = '') AS BIGINT) AS empty_after_parse, CAST(count_if(t <> '' AND length(t) < 20) AS BIGINT) AS too_short, CAST(0 AS BIGINT) AS exceptions FROM s GROUP BY source""")
+# listing facts derived from doc_id: archives, oversize files and unmapped folders (no label)
+_FILE_STATUS = """CASE WHEN doc_id % 11 = 0 THEN 'archive' WHEN octet_length(encode(body_text)) > 20000 THEN 'oversize'
+  WHEN doc_id % 13 = 0 THEN 'unlabelled' WHEN t = '' THEN 'empty' WHEN length(t) < 200 THEN 'short' ELSE 'ok' END"""
+
+
+@register("d04_parse_counters", f"""WITH {EMAIL_VIEW}, s AS (SELECT source, {_FILE_STATUS} AS st FROM (SELECT *, {_CORPUS} AS t FROM email))
+SELECT source, count(*) AS files_seen, CAST(count_if(st = 'archive') AS BIGINT) AS archives_skipped,
+  CAST(count_if(st = 'oversize') AS BIGINT) AS oversize_skipped, CAST(count_if(st = 'not chosen') AS BIGINT) AS not_chosen,
+  CAST(count_if(st IN ('unlabelled', 'ok', 'empty', 'short')) AS BIGINT) AS candidates,
+  CAST(count_if(st = 'unlabelled') AS BIGINT) AS unlabelled, CAST(count_if(st = 'ok') AS BIGINT) AS extracted_ok,
+  CAST(count_if(st = 'empty') AS BIGINT) AS empty_after_parse, CAST(count_if(st = 'short') AS BIGINT) AS too_short FROM s GROUP BY source""")
 def d04_parse_counters(spark, sf):
+    """The gates of the listing (a size and a name per message), then the parse of the candidates, in one pass."""
     v = email_view(spark, sf)
-    d = ML.decode_messages(ML.rfc822_from_view(v)).select(_doc_id(), "status", "corpus_text")
-    t = T.strip(T.clean_newlines(F.coalesce("corpus_text", F.lit(""))))
-    st = F.when(F.col("status") == "exception", "exception").when(t == "", "empty") \
-        .when(F.length(t) < 20, "short").otherwise("ok")
-    x = d.select("doc_id", st.alias("st")).join(v.select("doc_id", "source"), "doc_id")
-    return x.groupBy("source").agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("st") == "ok").alias("extracted_ok"),
-                                   F.count_if(F.col("st") == "empty").alias("empty_after_parse"),
-                                   F.count_if(F.col("st") == "short").alias("too_short"),
-                                   F.count_if(F.col("st") == "exception").alias("exceptions"))
-
-
-@register("a20_sniff_content_type", f"WITH {EMAIL_VIEW} SELECT doc_id, 'text/plain' AS content_type FROM email")
+    i = F.col("doc_id")
+    name = F.concat(F.lit("doc/"), i.cast("string"), F.when(i % 11 == 0, F.lit(".tar.gz")).otherwise(F.lit("")))
+    files = ML.file_status(v.select(
+        "doc_id", "source", name.alias("path"), F.octet_length(F.encode("body_text", "UTF-8")).alias("length")), 20_000)
+    msgs = ML.rfc822_from_view(v).select(_doc_id(), "content")
+    label = F.when(i % 13 != 0, F.lit("safe"))
+    decoded = ML.decode_messages(msgs).select("doc_id", label.alias("label"), T.strip(T.clean_newlines(
+        F.coalesce(ML.corpus_text(), F.lit("")))).alias("body_text"))
+    parsed = ML.with_parse_status(decoded, 200).select("doc_id", F.col("status").alias("parsed"))
+    both = files.join(parsed, "doc_id", "left").withColumn("status", F.when(
+        F.col("status") == "candidate", F.col("parsed")).otherwise(F.col("status")))
+    return ML.count_statuses(both)
+
+
+@register("a20_sniff_content_type", f"WITH {EMAIL_VIEW} SELECT doc_id, {_TYPE} AS content_type FROM email")
 def a20_sniff_content_type(spark, sf):
     return _messages(spark, sf).select(_doc_id(), ML.sniff_content_type("content").alias("content_type"))
 
 
-@register("d05_content_type_top10", f"WITH {EMAIL_VIEW} SELECT 'text/plain' AS content_type, count(*) AS n FROM email")
+@register("d05_content_type_top10", f"WITH {EMAIL_VIEW} SELECT {_TYPE} AS content_type, count(*) AS n FROM email GROUP BY 1 "
+          "ORDER BY n DESC, content_type LIMIT 10")
 def d05_content_type_top10(spark, sf):
     c = _messages(spark, sf).select(ML.sniff_content_type("content").alias("content_type"))
     return c.groupBy("content_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "content_type").limit(10)

@@ -16,7 +16,7 @@ from mailsieve.operators.corpus import canonical_label
 from mailsieve.operators.score import decide
 from mailsieve.plans.registry import register
 from mailsieve.plans.sqlviews import EMAIL_VIEW, rules_cte, sql_canonical
-from mailsieve.sources.tables import email_view
+from mailsieve.sources.tables import labelled_email_view
 
 # FIXED VALUES: per-class thresholds of the decision examples
 THRESHOLDS = {"phishing": 0.72, "spam": 0.91}
@@ -29,7 +29,7 @@ def logits_col(i):
 
 
 def eval_view(spark, sf):
-    v = with_rules(email_view(spark, sf))
+    v = with_rules(labelled_email_view(spark, sf))
     lab = canonical_label("raw_label")
     e = v.select("doc_id", lab.alias("label"), F.col("rule.label").alias("pred"), "p_pos",
                  logits_col(F.col("doc_id")).alias("logits"))

@@ -242,3 +242,16 @@ def b17_scan_pasted_texts(spark, sf):
     scans, _ = SC.scan_emails(parsed, order="req_id", scan_id="req_id", created_at=None)
     return scans.select("id", "email_id", "label", F.round("confidence", 6).alias("confidence"), "reasons",
                         F.col("header_flags.has_text").alias("has_text"))
+
+
+@register("t01_stream_scan", scans_sql() + " SELECT id, label FROM scans")
+def t01_stream_scan(spark, sf):
+    """T1 + T2: ``documents`` drained as a stream into tables in the shared checkpoint folder; equal to the batch scan."""
+    import uuid
+
+    from mailsieve.session import checkpoint_dir
+    from mailsieve.streaming.scan_stream import start_view_stream
+
+    out = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    start_view_stream(spark, sf, f"{out}/emails", f"{out}/scans", checkpoint=f"{out}/offsets").awaitTermination()
+    return spark.read.parquet(f"{out}/scans").select("id", "label")

@@ -15,7 +15,8 @@ SELECT d.doc_id,
   CASE d.doc_id % 4 WHEN 0 THEN '<b@bounce.example.org>' ELSE '' END AS return_path,
   CASE d.doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'mx; spf=pass; dkim=pass; dmarc=pass'
        WHEN 2 THEN 'mx; spf=fail smtp.mailfrom=a; dkim=pass' ELSE 'mx; SPF=SoftFail; DKIM = fail; dmarc=FAIL; spf=pass' END AS auth_results,
-  'from a (1.2.3.4) by b; from c (10.0.0.7) by d (1.2.3.4)' AS received,
+  'from a (1.2.3.' || CAST(d.doc_id % 250 AS VARCHAR) || ') by b; from c (10.0.0.' || CAST(d.doc_id % 3 AS VARCHAR)
+    || ') by d (1.2.3.' || CAST(d.doc_id % 250 AS VARCHAR) || ')' AS received,
   '' AS date_hdr,
   d.text || ' ' || CASE d.doc_id % 8
     WHEN 0 THEN '' WHEN 1 THEN 'Urgent: login now' WHEN 2 THEN 'See http://192.168.10.5/login immediately'

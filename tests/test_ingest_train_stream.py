@@ -88,6 +88,35 @@ def test_stream_scan_is_replay_safe(spark, tmpdir_path):
     assert spark.read.parquet(out_e).count() == 2
 
 
+def test_two_streams_into_one_table(spark, tmpdir_path):
+    from mailsieve.streaming.scan_stream import start_mail_stream
+
+    out_e, out_s = os.path.join(tmpdir_path, "emails"), os.path.join(tmpdir_path, "scans")
+    for k, data in enumerate((PLAIN, MULTI)):  # both begin at epoch 0
+        _write(tmpdir_path, f"in{k}/1.eml", data)
+        start_mail_stream(spark, os.path.join(tmpdir_path, f"in{k}"), out_e, out_s,
+                          checkpoint=os.path.join(tmpdir_path, f"ck{k}")).awaitTermination(120)
+    assert spark.read.parquet(out_e).count() == 2
+    assert sorted(r["id"] for r in spark.read.parquet(out_s).collect()) == [1, 2]
+
+
+def test_mime_details(spark):
+    mails = [
+        b"Subject: =?utf-8?Q?caf=C3=A9_=3D?= =?iso-8859-1?B?6Q==?= end\r\nFrom: a@b.c\r\nContent-Type: text/plain; charset=iso-8859-1\r\n"
+        b"Content-Transfer-Encoding: quoted-printable\r\n\r\nna=EFve =\r\nline\r\n",
+        b"\r\nno headers at all", b"", None,
+        b"Content-Type: multipart/mixed; boundary=a.b\r\n\r\nno delimiter here",
+        b"Content-Type: text/html\r\nContent-Transfer-Encoding: base64\r\n\r\nPGI+aGkmZWFjdXRlOzwvYj4=",
+    ]
+    df = spark.createDataFrame(list(enumerate(mails)), "path long, content binary")
+    got = {r["path"]: r for r in ML.parse_rfc822(df.withColumn("path", F.col("path").cast("string"))).collect()}
+    assert got["0"]["subject"] == "café =é end" and got["0"]["body_text"] == "naïve line\n"
+    assert got["1"]["body_text"] == "no headers at all" and got["1"]["subject"] == ""
+    assert got["2"]["body_text"] == got["3"]["body_text"] == ""
+    assert got["4"]["attachments_count"] == 0
+    assert got["5"]["has_html"] == 1 and got["5"]["body_text"] == "hié"
+
+
 def test_entry_contract(spark):
     import __spark_entry__ as E
 
