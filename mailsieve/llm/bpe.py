@@ -21,7 +21,9 @@ LATIN = 0x250
 SPACE, LETTER, NUMBER, OTHER = range(4)
 #: control characters that libraries class differently
 ODD = (0x1C, 0x1D, 0x1E, 0x1F, 0x85)
-CACHE = 400_000
+CACHE = 1_000_000
+#: pre-tokens encoded in one text
+JOIN = 4096
 #: fixed values: the contractions, by their letters
 SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
 
@@ -52,9 +54,9 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.flat, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        """Known pre-tokens: sorted hashes, and where each one's ids stand in ``flat``."""
+        self.known, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint32)
 
     def _simple(self, points: np.ndarray, text: str) -> bool:
         return not (len(points) and points.max() >= LATIN) and not any(chr(c) in text for c in ODD) and not any(
@@ -88,23 +90,49 @@ class Encoder:
         distinct, at, which = np.unique(key, return_index=True, return_inverse=True)
         if len(self.known) > CACHE:
             self._forget()
-        known = self.known
-        new = [j for j, h in enumerate(distinct.tolist()) if h not in known]
-        if new:
-            words = [text[starts[a]:ends[a]] for a in at[new].tolist()]
-            got = [e.ids for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
-            base = len(self.first) - 1
-            for n, h in enumerate(distinct[new].tolist()):
-                known[h] = base + n
-            self.flat = np.concatenate([self.flat, np.fromiter((i for g in got for i in g), np.uint32)])
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(g) for g in got])])
-        row = np.array([known[h] for h in distinct.tolist()], np.int64)[which]
-        lo, n = self.first[row], self.first[row + 1] - self.first[row]
+        place = np.searchsorted(self.known, distinct)
+        new = np.append(self.known, np.uint64(0))[place] != distinct if len(self.known) else np.ones(len(distinct), bool)
+        if new.any():
+            first, count = self._encode_words([text[a:b] for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist())])
+            self.known, self.first, self.count = (
+                np.insert(old, place[new], add) for old, add in ((self.known, distinct[new]), (self.first, first), (self.count, count)))
+            place = np.searchsorted(self.known, distinct)
+        row = place[which]
+        lo, n = self.first[row], self.count[row]
         total = np.cumsum(n)
         ids = self.flat[np.repeat(lo - (total - n), n) + np.arange(total[-1])]
         upto = np.concatenate([[0], total])[np.searchsorted(starts, edge)]
         return ids, np.diff(upto, prepend=0)
 
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Append the ids of pre-tokens to ``flat``; where each one's ids begin and how many there are.
+
+        Those of a space and letters are cut apart again when they are joined, so they go to the tokenizer in one text.
+        """
+        count = np.zeros(len(words), np.int64)
+        order: list[int] = []
+        parts = [self.flat]
+        joined = [i for i, w in enumerate(words) if len(w) > 1 and w[0] == " " and w[1:].isalpha()]
+        rest = [i for i, w in enumerate(words) if not (len(w) > 1 and w[0] == " " and w[1:].isalpha())]
+        for at in range(0, len(joined), JOIN):
+            some = joined[at:at + JOIN]
+            code = self.whole.encode("".join([words[i] for i in some]), add_special_tokens=False)
+            size = np.bincount(np.array(code.word_ids, np.int64), minlength=len(some))
+            if len(size) != len(some):
+                rest += some
+                continue
+            parts.append(np.array(code.ids, np.uint32))
+            count[some] = size
+            order += some
+        for i, e in zip(rest, self.whole.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)):
+            parts.append(np.array(e.ids, np.uint32))
+            count[i] = len(e.ids)
+        order += rest
+        first = np.zeros(len(words), np.int64)
+        first[order] = len(self.flat) + np.cumsum(count[order]) - count[order]
+        self.flat = np.concatenate(parts)
+        return first, count
+
     def _cuts(self, points: np.ndarray, first: np.ndarray, edge: np.ndarray) -> np.ndarray:
         """Start of every pre-token; texts begin at ``first`` and end at ``edge``."""
         n = len(points)
@@ -143,3 +171,13 @@ class Encoder:
         return np.flatnonzero(cut)
 
 
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One encoder per worker process, so that tasks share what it knows."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from mailsieve.llm.bpe import Encoder
+from mailsieve.llm.bpe import encoder
 from mailsieve.session import checkpoint_dir
 
 CAPACITY = 1024
@@ -56,12 +56,12 @@ def _pieces(path: str, capacity: int, end_id: int, with_ids: bool):
 
         context = TaskContext.get()
         part = context.partitionId() if context else 0
-        encoder = Encoder(path)
+        tokens = encoder(path)
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
             keys = batch.column(0)
             rows: dict[str, list] = {x: [] for x in ("at", "piece", "start", "length", "crc", "rank", "ids")}
-            for first, ids, count in encoder.batch(batch.column(1)):
+            for first, ids, count in tokens.batch(batch.column(1)):
                 ids = np.insert(ids, np.cumsum(count), end_id).astype("<u4")
                 ends = np.cumsum(count + 1)
                 for i, (end, n) in enumerate(zip(ends.tolist(), (count + 1).tolist())):
