@@ -61,8 +61,7 @@ def _grams(text: np.ndarray, ngram: int) -> tuple[np.ndarray, np.ndarray]:
     table = _letters()
     breaks = text == 10
     folded = table[text]
-    keep = (folded != 32) | np.append(True, folded[:-1] != 32)
-    keep |= breaks
+    keep = (folded != 32) | np.append(True, (folded[:-1] != 32) | breaks[:-1]) | breaks
     place = np.flatnonzero(keep)
     letters = np.where(breaks[place], 10, folded[place]).astype(np.uint64)
     code = np.zeros(max(len(letters) - ngram + 1, 0), np.uint64)
