@@ -4,10 +4,11 @@ Layout: ``(doc_id, ns, term, value)`` with ``ns`` in {word, char}; a
 ``VectorUDT`` is only built at the pyspark.ml boundary (``to_vectors``).
 
 Plan shape for scale
-* Documents are hash-partitioned by key once (only key + text travel).  Every
-  per-document step after that -- n-gram counts per (doc, term), the L2 norm
-  per (doc, ns) -- is satisfied by that partitioning, so the exploded n-gram
-  rows (about 3 rows per character for char 3-5-grams) are never shuffled.
+* Term counts of a document are made where its text is read (an Arrow task
+  counts the n-grams of one text at a time), so neither the text nor n-gram
+  occurrences are shuffled or persisted; rows are one per distinct term of a document.
+* Only in-vocabulary rows are shuffled, once, by key: the norm and everything that is
+  gathered per document afterwards use that partitioning.
 * Corpus statistics (df, collection frequency) aggregate map-side before the
   exchange: a shuffle of distinct terms per task, not of term occurrences.
 * The vocabulary is capped at ``max_features`` per namespace (a bounded
@@ -16,7 +17,10 @@ Plan shape for scale
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import Counter
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailsieve.functions.constants import (
@@ -26,51 +30,67 @@ from mailsieve.functions.constants import (
     MAX_FEATURES_WORD,
     WORD_NGRAM_RANGE,
 )
-from mailsieve.functions.text import char_ngrams, char_prepare, code_points, word_ngrams, word_tokens
-
-
-def by_key(docs: DataFrame, key: str = "doc_id", text: str = "body_text") -> DataFrame:
-    """Narrow (key, text) projection, hash-partitioned by key."""
-    return docs.select(key, text).repartition(key)
+from mailsieve.functions.text import WORD_TOKEN, char_prepare
+from mailsieve.session import checkpoint_dir
+
+
+def _count_terms(word_range, char_range, stop_words):
+    """Arrow task: (key, words text, chars text) -> (key, ns, term, tf)."""
+    def run(batches):
+        import regex
+
+        token = regex.compile(WORD_TOKEN)
+        stop = frozenset(stop_words or ())
+        for batch in batches:
+            at, names, terms, counts = [], [], [], []
+            for i in range(batch.num_rows):
+                for ns, column, limits in (("word", 1, word_range), ("char", 2, char_range)):
+                    if limits is None:
+                        continue
+                    items = batch.column(column)[i].as_py() or ""
+                    found: Counter = Counter()
+                    if ns == "word":
+                        items = [t for t in token.findall(items) if t not in stop]
+                    for n in range(limits[0], limits[1] + 1):
+                        windows = zip(*(items[k:] for k in range(n))) if n > 1 else ((x,) for x in items)
+                        found.update(map((" " if ns == "word" else "").join, windows))
+                    at += [i] * len(found)
+                    names += [ns] * len(found)
+                    terms += found.keys()
+                    counts += found.values()
+                if len(at) >= 200_000 or i + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(at, pa.int64())), pa.array(names, pa.string()), pa.array(terms, pa.string()),
+                         pa.array(counts, pa.int64())], ["key", "ns", "term", "tf"])
+                    at, names, terms, counts = [], [], [], []
+
+    return run
+
+
+def _terms(docs: DataFrame, key: str, text: str, word_range, char_range, stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
+    kind = docs.schema[key].dataType.simpleString()
+    words = F.lower(F.coalesce(F.col(text), F.lit(""))) if word_range else F.lit("")
+    chars = char_prepare(text) if char_range else F.lit("")
+    counted = docs.select(F.col(key).alias("key"), words.alias("w"), chars.alias("c")).mapInArrow(
+        _count_terms(word_range, char_range, stop_words), f"key {kind}, ns string, term string, tf long")
+    return counted.withColumnRenamed("key", key)
 
 
 def word_terms(docs: DataFrame, key: str = "doc_id", text: str = "body_text",
                ngram_range=WORD_NGRAM_RANGE, stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
-    """(key, ns='word', term, tf) counts of word 1..n-grams."""
-    toks = docs.select(key, word_tokens(text, stop_words).alias("__toks"))
-    x = toks.select(key, F.explode(word_ngrams(F.col("__toks"), *ngram_range)).alias("term"))
-    return x.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")).select(key, F.lit("word").alias("ns"), "term", "tf")
+    """(key, ns='word', term, tf) counts of word 1..n-grams of every row (null text: none)."""
+    return _terms(docs, key, text, ngram_range, None, stop_words)
 
 
 def char_terms(docs: DataFrame, key: str = "doc_id", text: str = "body_text", ngram_range=CHAR_NGRAM_RANGE) -> DataFrame:
     """(key, ns='char', term, tf) counts of character n-grams (whitespace runs collapsed)."""
-    lo, hi = ngram_range
-    chars = docs.select(key, code_points(char_prepare(text)).alias("__c"))
-    x = chars.select(key, F.explode(char_ngrams(F.col("__c"), lo, hi)).alias("term"))
-    return x.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")).select(key, F.lit("char").alias("ns"), "term", "tf")
+    return _terms(docs, key, text, None, ngram_range)
 
 
 def terms(docs: DataFrame, key: str = "doc_id", text: str = "body_text", use_char: bool = False,
-          char_range=CHAR_NGRAM_RANGE, partitioned: bool = False) -> DataFrame:
-    """Word (and optionally char) term counts, stacked as (key, ns, term, tf).
-
-    With both namespaces, tokens and code points come from one projection of
-    the by-key partitioned documents and are exploded by one generator, so
-    the text is shuffled once (two unioned branches would each repartition it).
-    """
-    d = docs if partitioned else by_key(docs, key, text)
-    if not use_char:
-        return word_terms(d, key, text)
-    lo, hi = char_range
-    x = d.select(key, word_tokens(text).alias("__toks"), code_points(char_prepare(text)).alias("__c"))
-    tagged = F.concat(
-        F.transform(word_ngrams(F.col("__toks"), *WORD_NGRAM_RANGE),
-                    lambda t: F.struct(F.lit("word").alias("ns"), t.alias("term"))),
-        F.transform(char_ngrams(F.col("__c"), lo, hi),
-                    lambda t: F.struct(F.lit("char").alias("ns"), t.alias("term"))),
-    )
-    e = x.select(key, F.inline(tagged))
-    return e.groupBy(key, "ns", "term").agg(F.count(F.lit(1)).alias("tf")).select(key, "ns", "term", "tf")
+          char_range=CHAR_NGRAM_RANGE) -> DataFrame:
+    """Word (and optionally char) term counts, stacked as (key, ns, term, tf), from one pass over the text."""
+    return _terms(docs, key, text, WORD_NGRAM_RANGE, char_range if use_char else None)
 
 
 def term_stats(term_counts: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -78,7 +98,7 @@ def term_stats(term_counts: DataFrame, key: str = "doc_id") -> DataFrame:
     return term_counts.groupBy("ns", "term").agg(F.count(key).alias("df"), F.sum("tf").alias("cf"))
 
 
-def fit_vocabulary(term_counts: DataFrame, n_docs: int, key: str = "doc_id",
+def fit_vocabulary(term_counts: DataFrame, n_docs, key: str = "doc_id",
                    max_features: dict | None = None) -> DataFrame:
     """F5 + H22 idf: top ``max_features[ns]`` terms by collection frequency (ties: term
     ascending), with smooth idf = ln((1 + n) / (1 + df)) + 1."""
@@ -90,36 +110,39 @@ def fit_vocabulary(term_counts: DataFrame, n_docs: int, key: str = "doc_id",
     v = parts[0]
     for p in parts[1:]:
         v = v.unionByName(p)
-    idf = F.log(F.lit(1.0 + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
+    n = n_docs if isinstance(n_docs, Column) else F.lit(n_docs)
+    idf = F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)
     return v.select("ns", "term", "df", "cf", idf.alias("idf"))
 
 
 def transform(term_counts: DataFrame, vocab: DataFrame, key: str = "doc_id") -> DataFrame:
     """Sub-linear tf x idf, L2-normalised per document and namespace.
 
-    Terms outside the vocabulary drop in the (broadcast, bounded) join.  The
-    norm window is partitioned by (key, ns), which the by-key partitioning of
-    ``term_counts`` already satisfies.
+    Terms outside the vocabulary drop in the (broadcast, bounded) join.  The norms
+    are windows over the document, so one shuffle by key serves them and what follows per document.
     """
     j = term_counts.join(F.broadcast(vocab.select("ns", "term", "idf")), ["ns", "term"])
     w = (F.lit(1.0) + F.log(F.col("tf"))) * F.col("idf")
     x = j.select(key, "ns", "term", w.alias("__w"))
-    norm = F.sqrt(F.sum(F.col("__w") * F.col("__w")).over(Window.partitionBy(key, "ns")))
-    return x.select(key, "ns", "term", (F.col("__w") / norm).alias("value"))
+    by_doc = Window.partitionBy(key)
+    square = F.col("__w") * F.col("__w")
+    word = F.sum(F.when(F.col("ns") == "word", square)).over(by_doc)
+    char = F.sum(F.when(F.col("ns") == "char", square)).over(by_doc)
+    return x.select(key, "ns", "term", (F.col("__w") / F.sqrt(F.when(F.col("ns") == "word", word).otherwise(char))).alias("value"))
 
 
 def fit_transform(train_docs: DataFrame, other_docs: DataFrame | None = None, key: str = "doc_id",
                   text: str = "body_text", use_char: bool = False, max_features: dict | None = None):
-    """M8: fit on ``train_docs``, transform both.  Returns (vocab, train_features, other_features)."""
-    from pyspark import StorageLevel
+    """M8: fit on ``train_docs``, transform both.  Returns (vocab, train_features, other_features).
 
+    The vocabulary (bounded by the caps) is written once; the texts are counted again for the
+    transform, which is cheaper than keeping about three rows per character.
+    """
+    checkpoint_dir(train_docs.sparkSession)
     caps = max_features or ({"word": MAX_FEATURES_WORD, "char": MAX_FEATURES_CHAR} if use_char else {"word": MAX_FEATURES_WORD})
-    # the training term table feeds the vocabulary fit and the transform (and
-    # model sums downstream): persist it rather than re-tokenising the corpus.
-    # Lost blocks are recomputed from lineage, so executor loss is survivable.
-    tr_terms = terms(train_docs, key, text, use_char).persist(StorageLevel.MEMORY_AND_DISK)
-    n = train_docs.count()
-    vocab = fit_vocabulary(tr_terms, n, key, caps).persist(StorageLevel.MEMORY_AND_DISK)
+    tr_terms = terms(train_docs, key, text, use_char)
+    n = train_docs.agg(F.count(F.lit(1)).alias("n")).scalar()
+    vocab = fit_vocabulary(tr_terms, n, key, caps).checkpoint()
     tr = transform(tr_terms, vocab, key)
     ot = transform(terms(other_docs, key, text, use_char), vocab, key) if other_docs is not None else None
     return vocab, tr, ot

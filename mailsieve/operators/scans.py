@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailsieve.functions.signals import excel_safe, iso_timestamp, parse_rfc2822, parse_ymd, reason_string, recipients
+from mailsieve.functions.signals import excel_safe, iso_timestamp, parse_rfc2822, parse_ymd, reason_string, recipients, token_reason_string
 from mailsieve.functions.text import preview, short_id
 from mailsieve.operators.corpus import first_per_key
 from mailsieve.operators.classify import parsed_from_view, with_header_flags, with_rules
@@ -165,7 +165,7 @@ def scan_emails(parsed: DataFrame, scorer=None, existing_emails: DataFrame | Non
         F.col("e_sender").alias("sender"),
         "body_preview", "label",
         F.col("confidence").cast("double").alias("confidence"),
-        reason_string(reasons_list).alias("reasons"),
+        (reason_string if scorer is rules_scorer else token_reason_string)(reasons_list).alias("reasons"),
         "header_flags", "probs",
         F.struct(F.col("decision.raw_top").alias("raw_top"), F.col("decision.thresholds_used").alias("thresholds_used"),
                  F.col("decision.winner").alias("winner"), F.col("decision.fallback_reason").alias("fallback_reason"),

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailsieve.functions.constants import TOP_K_REASONS
+from mailsieve.functions.constants import CLASSES, TOP_K_REASONS
 from mailsieve.functions.text import _c
 from mailsieve.operators.metrics import softmax, temperature_scale
 
@@ -104,21 +104,56 @@ def load_thresholds_from_rows(thr: DataFrame) -> dict:
     return {r["label"]: float(r["tau"]) for r in rows}
 
 
-def class_scores(features: DataFrame, weights: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Per (doc, label) sum of value x weight.  ``weights`` is bounded by the
-    vocabulary cap, so it is broadcast; the product rows are aggregated per doc."""
-    j = features.join(F.broadcast(weights), ["ns", "term"])
-    return j.groupBy(key, "label").agg(F.sum(F.col("value") * F.col("weight")).alias("dot"))
+def weight_arrays(weights: DataFrame, classes) -> DataFrame:
+    """(ns, term, w): one row per term, the classes' weights in order."""
+    per_class = [F.coalesce(F.max(F.when(F.col("label") == c, F.col("weight"))), F.lit(0.0)) for c in classes]
+    return weights.groupBy("ns", "term").agg(F.array(*per_class).alias("w"))
+
+
+def class_scores(features: DataFrame, weights: DataFrame, key: str = "doc_id", classes=CLASSES) -> DataFrame:
+    """Per (doc, label) sum of value x weight, one joined row per feature."""
+    j = features.join(weight_arrays(weights, classes), ["ns", "term"])
+    per = j.groupBy(key).agg(*[F.sum(F.col("value") * F.col("w")[i]).alias(f"__{i}") for i in range(len(classes))])
+    return per.select(key, F.inline(F.array(*[F.struct(F.lit(c).alias("label"), F.col(f"__{i}").alias("dot"))
+                                             for i, c in enumerate(classes)])))
 
 
 def logits(docs: DataFrame, features: DataFrame, weights: DataFrame, intercepts: dict, classes,
            key: str = "doc_id") -> DataFrame:
     """M10 step 1: logits array (class order) per document, docs without known terms included."""
-    dots = class_scores(features, weights, key)
-    per_doc = dots.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("label", "dot"))).alias("__dots"))
-    out = docs.select(key).join(per_doc, key, "left")
-    arr = F.array(*[F.coalesce(F.col("__dots")[c], F.lit(0.0)) + F.lit(float(intercepts.get(c, 0.0))) for c in classes])
-    return out.select(key, arr.alias("logits"))
+    j = features.join(weight_arrays(weights, classes), ["ns", "term"])
+    per = j.groupBy(key).agg(*[F.sum(F.col("value") * F.col("w")[i]).alias(f"__{i}") for i in range(len(classes))])
+    arr = F.array(*[F.coalesce(F.col(f"__{i}"), F.lit(0.0)) + F.lit(float(intercepts.get(c, 0.0))) for i, c in enumerate(classes)])
+    return docs.select(key).join(per, key, "left").select(key, arr.alias("logits"))
+
+
+def predict_explained(docs: DataFrame, features: DataFrame, weights: DataFrame, intercepts: dict, classes,
+                      thresholds: dict | None = None, temperature: float | None = None, key: str = "doc_id",
+                      k: int = TOP_K_REASONS) -> DataFrame:
+    """``predict`` and ``reasons`` (as ``top_reasons`` for the arg-max class) from one pass over the features.
+
+    A document's in-vocabulary terms meet in one row, with their contributions to every class.
+    """
+    j = features.join(weight_arrays(weights, classes), ["ns", "term"])
+    one = F.struct("ns", "term", F.transform("w", lambda x: x * F.col("value")).alias("c"))
+    per = j.groupBy(key).agg(F.collect_list(one).alias("__t"))
+
+    def score(i: int, c: str) -> Column:
+        total = F.aggregate("__t", F.lit(0.0), lambda acc, t: acc + t["c"][i])
+        return F.coalesce(total, F.lit(0.0)) + F.lit(float(intercepts.get(c, 0.0)))
+
+    x = docs.select(key).join(per, key, "left").withColumn("logits", F.array(*[score(i, c) for i, c in enumerate(classes)]))
+    x = x.withColumn("probs", softmax(temperature_scale(F.col("logits"), temperature) if temperature else F.col("logits")))
+    top = F.array_position("probs", F.array_max("probs")).cast("int")
+    ranked = F.array_sort(F.transform("__t", lambda t: F.struct(
+        (-F.round(F.element_at(t["c"], top), 9)).alias("order"), t["ns"].alias("ns"), t["term"].alias("token"),
+        F.element_at(t["c"], top).alias("weight"))))
+    reasons = F.transform(F.slice(F.filter(ranked, lambda r: r["weight"] > 0), 1, k),
+                          lambda r: F.struct(r["token"].alias("token"), r["weight"].alias("weight"), r["ns"].alias("ns")))
+    x = x.withColumn("reasons", F.coalesce(reasons, F.array().cast("array<struct<token:string,weight:double,ns:string>>")))
+    d = decide(F.col("probs"), classes, thresholds or {})
+    return x.select(key, "logits", "probs", prob_map(F.col("probs"), classes).alias("prob_map"), d.alias("decision"), "reasons") \
+        .withColumn("label", F.col("decision.winner.label")).withColumn("confidence", F.col("decision.winner.prob"))
 
 
 def predict(docs: DataFrame, features: DataFrame, weights: DataFrame, intercepts: dict, classes,
@@ -161,23 +196,20 @@ def top_reasons(features: DataFrame, weights: DataFrame, chosen: DataFrame, key:
 def model_scorer(vocab: DataFrame, weights: DataFrame, intercepts: dict, classes, thresholds: dict | None = None,
                  temperature: float | None = None, k: int = TOP_K_REASONS):
     """M5 with a model: a scorer for ``scans.scan_emails`` (email_id, body_text) -> label,
-    confidence, reasons_list (top-k tokens of the raw arg-max class), decision, probs.
+    confidence, reasons_list (top-k tokens and weights of the raw arg-max class), decision, probs.
 
     The vocabulary and weights are bounded by the vocabulary cap (broadcast);
-    documents are tokenised once, partitioned by e-mail id.
+    documents are tokenised once.
     """
     from mailsieve.operators import features as FE
 
     def score(emails: DataFrame) -> DataFrame:
         docs = emails.select(F.col("email_id"), F.col("body_text"))
-        use_char = vocab.where(F.col("ns") == "char").limit(1).count() > 0
+        use_char = not vocab.where(F.col("ns") == "char").isEmpty()
         feats = FE.transform(FE.terms(docs, "email_id", "body_text", use_char), vocab, "email_id")
-        p = predict(docs.select("email_id"), feats, weights, intercepts, classes, thresholds, temperature, "email_id")
-        chosen = p.select("email_id", F.col("decision.raw_top.label").alias("label"))
-        r = top_reasons(feats, weights, chosen, "email_id", k)
-        return p.join(r, "email_id", "left").select(
-            "email_id", "label", F.col("confidence").cast("double").alias("confidence"),
-            F.transform("reasons", lambda s: s["token"]).alias("reasons_list"),
-            "decision", F.col("prob_map").alias("probs"))
+        p = predict_explained(docs.select("email_id"), feats, weights, intercepts, classes, thresholds, temperature, "email_id", k)
+        return p.select("email_id", "label", F.col("confidence").cast("double").alias("confidence"),
+                        F.transform("reasons", lambda s: F.struct(s["token"].alias("token"), s["weight"].alias("weight"))).alias("reasons_list"),
+                        "decision", F.col("prob_map").alias("probs"))
 
     return score

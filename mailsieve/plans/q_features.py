@@ -98,8 +98,7 @@ cg AS (SELECT doc_id, unnest(list_transform(range(1, length(t) - nn.n + 2), lamb
   FROM cp, (SELECT unnest([3, 4, 5]) AS n) nn)
 SELECT doc_id, count(*) AS n_grams, count(DISTINCT term) AS n_distinct FROM cg GROUP BY doc_id""", bench=True)
 def h24_char_ngrams(spark, sf):
-    d = FE.by_key(read_table(spark, sf, "documents"), "doc_id", "text")
-    t = FE.char_terms(d, "doc_id", "text")
+    t = FE.char_terms(read_table(spark, sf, "documents"), "doc_id", "text")
     return t.groupBy("doc_id").agg(F.sum("tf").alias("n_grams"), F.count(F.lit(1)).alias("n_distinct"))
 
 

@@ -23,11 +23,12 @@ del logistic_regression
 def _nb(spark, sf):
     from mailsieve.operators import features as FE
 
-    s = split_rows(spark, sf)
+    s = split_rows(spark, sf).checkpoint()
     tr = s.where(F.col("split") == "train")
     va = s.where(F.col("split") == "val")
     vocab, f_tr, f_va = FE.fit_transform(tr, va, max_features={"word": SMALL_CAPS["word"]})
     weights, intercepts = naive_bayes(f_tr, tr, vocab, CLASSES)
+    weights = weights.checkpoint()  # bounded by the vocabulary; scoring and explaining do not fit again
     return va, f_va, weights, intercepts
 
 
@@ -115,9 +116,7 @@ SELECT vd.doc_id, coalesce(string_agg(term, ', ' ORDER BY rn), '') AS reasons, c
 FROM vd LEFT JOIN (SELECT * FROM rk WHERE rn <= 6) r ON r.doc_id = vd.doc_id GROUP BY vd.doc_id""")
 def m16_top_reasons(spark, sf):
     va, f_va, w, ic = _nb(spark, sf)
-    p = SC.predict(va.select("doc_id"), f_va, w, ic, CLASSES)
-    chosen = p.select("doc_id", F.col("decision.raw_top.label").alias("label"))
-    r = SC.top_reasons(f_va, w, chosen)
+    r = SC.predict_explained(va.select("doc_id"), f_va, w, ic, CLASSES)
     return r.select("doc_id", F.array_join(F.transform("reasons", lambda s: s["token"]), ", ").alias("reasons"),
                     F.size("reasons").cast("long").alias("n_reasons"))
 
@@ -165,6 +164,7 @@ def m05_scan_with_model(spark, sf):
     tr = s.where(F.col("split") == "train")
     vocab, f_tr, _ = FE.fit_transform(tr, None, max_features={"word": SMALL_CAPS["word"]})
     w, ic = naive_bayes(f_tr, tr, vocab, CLASSES)
+    w = w.checkpoint()
     scorer = SC.model_scorer(vocab, w, ic, CLASSES, THRESHOLDS)
     scans, _ = scan_emails(parsed_from_view(email_view(spark, sf)), scorer=scorer, model_version="nb-word")
     return scans.groupBy("label", F.col("details.raw_top.label").alias("raw_label"),
