@@ -17,7 +17,7 @@ from __future__ import annotations
 import json
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailsieve.functions.constants import CLASSES, PRECISION_TARGET, SPLIT_SEED, VAL_SIZE
@@ -43,8 +43,6 @@ def naive_bayes(features: DataFrame, labels: DataFrame, vocab: DataFrame, classe
     g = grid.join(sums, ["ns", "term", "label"], "left").join(F.broadcast(tot), "label", "left")
     lp = F.log((F.coalesce("s", F.lit(0.0)) + F.lit(alpha)) / (F.coalesce("t", F.lit(0.0)) + F.lit(alpha * v_size)))
     g = g.withColumn("lp", lp)
-    from pyspark.sql import Window
-
     centred = g.withColumn("weight", F.col("lp") - F.avg("lp").over(Window.partitionBy("ns", "term")))
     counts = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = sum(counts.values())
@@ -52,20 +50,26 @@ def naive_bayes(features: DataFrame, labels: DataFrame, vocab: DataFrame, classe
     return centred.select("ns", "term", "label", "weight"), intercepts
 
 
-def weighted_resample(df: DataFrame, label: str = "label", seed: int = SPLIT_SEED) -> DataFrame:
-    """Sampling with replacement, weight 1/n_c, about n rows in total (k classes equally often).
+def with_label_index(df: DataFrame, label: str = "label", out: str = "label_idx") -> DataFrame:
+    """M7 over a column: 0-based alphabetical index of every label present (null labels: null)."""
+    names = df.select(label).distinct().where(F.col(label).isNotNull())
+    index = names.select(F.col(label).alias("__label"), (F.row_number().over(Window.orderBy(label)) - 1).cast("int").alias(out))
+    return df.join(index, F.col(label) == F.col("__label"), "left").drop("__label")
+
+
+def weighted_resample(df: DataFrame, key: str = "doc_id", label: str = "label", seed: int = SPLIT_SEED) -> DataFrame:
+    """Sampling with replacement, weight 1/n_c, about n rows in total (k classes equally often), in one pass.
 
-    Each class is sampled with fraction n / (k n_c); the class counts come
-    from one small aggregate.
+    A row is repeated f = n / (k n_c) times: floor(f), and once more where the hash of its key falls below the
+    fraction, so the result does not depend on the partitions.
     """
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    n, k = sum(counts.values()), len(counts)
-    fractions = {c: n / (k * max(nc, 1)) for c, nc in counts.items()}
-    out = None
-    for i, (c, fr) in enumerate(sorted(fractions.items())):
-        part = df.where(F.col(label) == c).sample(withReplacement=True, fraction=fr, seed=seed + i)
-        out = part if out is None else out.unionByName(part)
-    return out
+    per = df.groupBy(F.col(label).alias("__label")).agg(F.count(F.lit(1)).alias("__c"))
+    every = Window.partitionBy()
+    share = per.select("__label", (F.sum("__c").over(every) / (F.count(F.lit(1)).over(every) * F.col("__c"))).alias("__f"))
+    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+    times = F.floor("__f") + F.when(u < F.col("__f") - F.floor("__f"), 1).otherwise(0)
+    x = df.join(share, F.col(label).eqNullSafe(F.col("__label"))).withColumn("__n", times.cast("int")).where("__n > 0")
+    return x.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__label", "__f", "__n", "__i")
 
 
 def logistic_regression(train_vec: DataFrame, index: DataFrame, classes=CLASSES, reg_param: float = 1e-4,

@@ -74,7 +74,7 @@ _DEDUPE_SQL = f"""WITH {CORPUS_VIEW}, h AS (SELECT *, sha256({sql_normalize('bod
 d AS (SELECT text_hash, label, min(doc_id) AS doc_id FROM h GROUP BY text_hash, label)"""
 
 
-@register("e01_dedupe_keep_first", _DEDUPE_SQL + " SELECT doc_id, text_hash, label FROM d", bench=True)
+@register("e01_dedupe_keep_first", _DEDUPE_SQL + " SELECT doc_id, text_hash, label FROM d")
 def e01_dedupe_keep_first(spark, sf):
     d = C.dedupe_keep_first(corpus_view(spark, sf), order="doc_id")
     return d.select("doc_id", "text_hash", "label")

@@ -96,7 +96,7 @@ def h23_word_ngrams(spark, sf):
 @register("h24_char_ngrams", r"""WITH cp AS (SELECT doc_id, regexp_replace(lower(text), '\s\s+', ' ', 'g') AS t FROM documents),
 cg AS (SELECT doc_id, unnest(list_transform(range(1, length(t) - nn.n + 2), lambda i: substr(t, i, nn.n))) AS term
   FROM cp, (SELECT unnest([3, 4, 5]) AS n) nn)
-SELECT doc_id, count(*) AS n_grams, count(DISTINCT term) AS n_distinct FROM cg GROUP BY doc_id""", bench=True)
+SELECT doc_id, count(*) AS n_grams, count(DISTINCT term) AS n_distinct FROM cg GROUP BY doc_id""")
 def h24_char_ngrams(spark, sf):
     t = FE.char_terms(read_table(spark, sf, "documents"), "doc_id", "text")
     return t.groupBy("doc_id").agg(F.sum("tf").alias("n_grams"), F.count(F.lit(1)).alias("n_distinct"))
@@ -117,7 +117,7 @@ def f05_vocabulary_cap(spark, sf):
     return v.select("ns", "term", "df", "cf", F.round("idf", 6).alias("idf"))
 
 
-@register("h22_tfidf_word", FEAT_WORD_SQL + _SUMMARY.format(split="train"), bench=True)
+@register("h22_tfidf_word", FEAT_WORD_SQL + _SUMMARY.format(split="train"))
 def h22_tfidf_word(spark, sf):
     _, tr, _ = _fit(spark, sf, False)
     return _summary(tr)

@@ -28,8 +28,7 @@ def _ev(spark, sf):
 
 
 @register("m01_classify_text", f"WITH {EMAIL_VIEW}, {rules_cte()} "
-          "SELECT doc_id, label, round(confidence, 6) AS confidence, round(score, 6) AS rule_score, reasons FROM rule",
-          bench=True)
+          "SELECT doc_id, label, round(confidence, 6) AS confidence, round(score, 6) AS rule_score, reasons FROM rule")
 def m01_classify_text(spark, sf):
     r = F.col("rule")
     return with_rules(_ev(spark, sf).select("doc_id", "body_text")).select(

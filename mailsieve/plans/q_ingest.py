@@ -42,7 +42,7 @@ SELECT doc_id, subject, sender, message_id, reply_to,
   array_to_string(list_sort(list_distinct(list_concat({sql_extract_urls('body')}, {sql_extract_urls('html')}))), ' ') AS urls,
   CASE WHEN {_FORM} = 3 THEN 0 ELSE 1 END AS has_text, CASE WHEN {_FORM} IN (2, 3) THEN 1 ELSE 0 END AS has_html,
   CASE WHEN {_FORM} = 2 THEN 1 ELSE 0 END AS attachments_count, CASE WHEN {_FORM} = 2 THEN 'a b.pdf' ELSE '' END AS attachments,
-  sha256(body) AS body_sha FROM m""", bench=True)
+  sha256(body) AS body_sha FROM m""")
 def m03_parse_rfc822(spark, sf):
     p = ML.parse_rfc822(_messages(spark, sf))
     return p.select(_doc_id(), "subject", "sender", "message_id", "reply_to", "spf_result", "dkim_result",

@@ -120,7 +120,7 @@ def d14_fbeta_curve(spark, sf):
 
 
 @register("d15_pr_curve", EVAL_SQL + CUM_SQL + """ SELECT threshold, round(precision, 6) AS precision, round(recall, 6) AS recall,
-  CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp FROM pr""", bench=True)
+  CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp FROM pr""")
 def d15_pr_curve(spark, sf):
     pr = M.pr_curve(eval_view(spark, sf), "p_pos", "y")
     return pr.select("threshold", r6("precision").alias("precision"), r6("recall").alias("recall"),
@@ -205,9 +205,9 @@ def d19_cross_entropy(spark, sf):
     ev = eval_view(spark, sf)
     w = M.class_weights(ev, "label", "balanced")
     x = M.with_sample_weight(ev, w).withColumn("probs", M.softmax(F.col("logits")))
-    nll = -F.log(F.element_at(F.col("probs"), F.col("label_idx") + 1))
-    return x.agg(r6(F.avg(nll)).alias("cross_entropy"),
-                 r6(F.sum(F.col("weight") * nll) / F.sum("weight")).alias("weighted_cross_entropy"))
+    plain = M.cross_entropy(x, "probs", "label_idx").select(r6("cross_entropy").alias("cross_entropy"))
+    weighted = M.cross_entropy(x, "probs", "label_idx", "weight").select(r6("cross_entropy").alias("weighted")).scalar()
+    return plain.select("cross_entropy", weighted.alias("weighted_cross_entropy"))
 
 
 _TGRID_SQL = EVAL_SQL + """, t AS (SELECT unnest([""" + ", ".join(f"CAST({t} AS DOUBLE)" for t in TEMPS) + """]) AS T),
@@ -314,7 +314,7 @@ def h25_prob_map(spark, sf):
   SELECT doc_id, {sql_canonical('raw_label')} AS label FROM email), t AS (SELECT * FROM ev WHERE label IN ('phishing', 'safe', 'spam')),
 r AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS rn,
   count(*) OVER (PARTITION BY label) AS n FROM t)
-SELECT doc_id, label, CASE WHEN rn <= ceil(n * 0.2) THEN 'val' ELSE 'train' END AS split FROM r""", bench=True)
+SELECT doc_id, label, CASE WHEN rn <= ceil(n * 0.2) THEN 'val' ELSE 'train' END AS split FROM r""")
 def m06_stratified_split(spark, sf):
     ev = eval_view(spark, sf).select("doc_id", "label")
     return M.stratified_split(ev, "doc_id", "label", 0.2, 42, stratify=True).select("doc_id", "label", "split")

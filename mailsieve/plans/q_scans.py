@@ -90,13 +90,13 @@ def _scans(spark, sf):
     return SC.scan_view(spark, sf)[0]
 
 
-@register("m05_scan_batch", scans_sql() + " " + _FLAT_SQL, bench=True)
+@register("m05_scan_batch", scans_sql() + " " + _FLAT_SQL)
 def m05_scan_batch(spark, sf):
     return _flat(_scans(spark, sf))
 
 
 @register("m05_scan_summary", scans_sql() + """ SELECT label, count(*) AS n_scans,
-  count(DISTINCT email_id) AS n_emails, round(avg(confidence), 6) AS mean_confidence FROM scans GROUP BY label""", bench=True)
+  count(DISTINCT email_id) AS n_emails, round(avg(confidence), 6) AS mean_confidence FROM scans GROUP BY label""")
 def m05_scan_summary(spark, sf):
     return _scans(spark, sf).groupBy("label").agg(
         F.count(F.lit(1)).alias("n_scans"), F.countDistinct("email_id").alias("n_emails"),
@@ -188,12 +188,13 @@ def b08_date_range(spark, sf):
     return SC.filter_scans(_scans(spark, sf), date_from="2024-01-10", date_to="2024-01-12").select("id", "label")
 
 
-@register("b12_confidence_check", scans_sql() + """ SELECT count(*) AS n_checked,
-  CAST(sum(CASE WHEN confidence BETWEEN 0 AND 1 THEN 0 ELSE 1 END) AS BIGINT) AS n_violations FROM scans""")
+@register("b12_confidence_check", scans_sql() + """ SELECT id, round(confidence + 1.0, 6) AS confidence FROM scans
+  WHERE id % 7 = 0 AND confidence + 1.0 > 1.0""")
 def b12_confidence_check(spark, sf):
     s = _scans(spark, sf)
-    return s.agg(F.count(F.lit(1)).alias("n_checked"),
-                 F.sum(F.when(F.col("confidence").between(0.0, 1.0), 0).otherwise(1)).cast("long").alias("n_violations"))
+    # every seventh confidence is moved out of the range
+    s = s.withColumn("confidence", F.col("confidence") + F.when(F.col("id") % 7 == 0, 1.0).otherwise(0.0))
+    return SC.confidence_violations(s).select("id", F.round("confidence", 6).alias("confidence"))
 
 
 @register("b14_recipients", f"""WITH {EMAIL_VIEW} SELECT doc_id,
@@ -233,12 +234,7 @@ def b17_scan_pasted_texts(spark, sf):
     """B17 text-only requests (no headers): pasted texts sharing subject+sender share an e-mail (Q7)."""
     req = pasted_texts(spark, sf)
     parsed = req.select(
-        "req_id", F.col("text").alias("body_text"), "subject", "sender",
-        F.lit("").alias("message_id"), F.lit("").alias("date_hdr"), F.lit("").alias("reply_to"),
-        F.lit("").alias("return_path"), F.lit(None).cast("string").alias("spf_result"),
-        F.lit(None).cast("string").alias("dkim_result"), F.lit(None).cast("string").alias("dmarc_result"),
-        F.array().cast("array<string>").alias("urls"), F.array().cast("array<string>").alias("received_ips"),
-        F.when(F.coalesce("text", F.lit("")) != "", 1).otherwise(0).alias("has_text"), F.lit(0).alias("has_html"))
+        "req_id", F.col("text").alias("body_text"), "subject", "sender")  # the operator supplies every other column
     scans, _ = SC.scan_emails(parsed, order="req_id", scan_id="req_id", created_at=None)
     return scans.select("id", "email_id", "label", F.round("confidence", 6).alias("confidence"), "reasons",
                         F.col("header_flags.has_text").alias("has_text"))

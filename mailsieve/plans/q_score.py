@@ -11,14 +11,12 @@ from pyspark.sql import functions as F
 
 from mailsieve.functions.constants import CLASSES
 from mailsieve.operators import score as SC
-from mailsieve.operators.train import logistic_regression, naive_bayes, train_job, weighted_resample
+from mailsieve.operators.train import naive_bayes, train_job
 from mailsieve.plans.q_features import FEAT_WORD_SQL, SMALL_CAPS, split_rows
 from mailsieve.plans.q_metrics import THRESHOLDS
 from mailsieve.plans.registry import register
 from mailsieve.sources.tables import corpus_view
 
-del logistic_regression
-
 
 def _nb(spark, sf):
     from mailsieve.operators import features as FE
@@ -86,7 +84,7 @@ def c06_feature_weight_product(spark, sf):
 
 
 @register("m10_score_linear", NB_SQL + DECIDE_SQL + """ SELECT doc_id, raw_label, round(raw_prob, 6) AS raw_prob, label,
-  round(prob, 6) AS confidence, fallback_reason FROM dec""", bench=True)
+  round(prob, 6) AS confidence, fallback_reason FROM dec""")
 def m10_score_linear(spark, sf):
     va, f_va, w, ic = _nb(spark, sf)
     p = SC.predict(va.select("doc_id"), f_va, w, ic, CLASSES, thresholds=THRESHOLDS)
@@ -128,15 +126,6 @@ def m09_train_logreg(spark, sf):
     return res["report"]
 
 
-@register("m12_weighted_resample")
-def m12_weighted_resample(spark, sf):
-    """Resampled training rows per label (rows-only: sampling is random by design)."""
-    from mailsieve.operators.corpus import training_rows
-
-    r = weighted_resample(training_rows(corpus_view(spark, sf)))
-    return r.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-
-
 @register("a17_thresholds_json", """SELECT doc_id, CAST(round(0.5 + (doc_id % 40) / 100.0, 2) AS DECIMAL(3,2)) AS phishing_tau FROM documents""")
 def a17_thresholds_json(spark, sf):
     """Threshold JSON documents derived per row; 'chosen' wins, else the max numeric."""

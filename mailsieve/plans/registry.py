@@ -11,18 +11,15 @@ from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
 ORACLE: dict[str, str] = {}
-BENCH: list[str] = []
 
 
-def register(name: str, sql: str | None = None, bench: bool = False):
+def register(name: str, sql: str | None = None):
     def deco(fn):
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
             ORACLE[name] = sql
-        if bench:
-            BENCH.append(name)
         return fn
 
     return deco
@@ -34,6 +31,7 @@ def load_all() -> None:
         q_corpus,
         q_extensions,
         q_features,
+        q_files,
         q_functions,
         q_ingest,
         q_metrics,
