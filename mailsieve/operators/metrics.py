@@ -140,10 +140,16 @@ def with_sample_weight(df: DataFrame, weights: DataFrame, label: str = "label",
 # --- curves -------------------------------------------------------------------------
 
 def score_bucket(score, n_buckets: int = N_BUCKETS) -> Column:
-    """Order-preserving bucket of a probability on the logit scale (clipped to +-40)."""
-    p = F.least(F.greatest(_c(score).cast("double"), F.lit(1e-300)), F.lit(1.0 - 1e-16))
-    z = F.least(F.greatest(F.log(p / (F.lit(1.0) - p)), F.lit(-40.0)), F.lit(40.0))
-    return F.least(F.floor((z + 40.0) / 80.0 * n_buckets), F.lit(n_buckets - 1)).cast("int")
+    """Order-preserving bucket of a probability, fine at both ends.
+
+    Half of the buckets divide 0..1/2 by octaves (down to the smallest double), the other half 1/2..1 by
+    octaves of 1 - p, so scores of a saturated model spread over as many buckets as doubles can tell apart.
+    """
+    p = F.least(F.greatest(_c(score).cast("double"), F.lit(0.0)), F.lit(1.0))
+    half = n_buckets // 2
+    low = F.floor((F.log2(F.greatest(p, F.lit(5e-324))) + 1075.0) / 1074.0 * (half - 1))
+    high = half + F.floor((-F.log2(F.greatest(F.lit(1.0) - p, F.lit(2.0**-54))) - 1.0) / 53.0 * (half - 1))
+    return F.least(F.when(p < 0.5, low).otherwise(high), F.lit(n_buckets - 1)).cast("int")
 
 
 def score_counts(df: DataFrame, score: str, y: str) -> DataFrame:
@@ -155,7 +161,7 @@ def score_counts(df: DataFrame, score: str, y: str) -> DataFrame:
 
 def cumulative_counts(df: DataFrame, score: str, y: str, n_buckets: int = N_BUCKETS) -> DataFrame:
     """For each distinct score s: tp/fp = positives/negatives with score >= s,
-    plus totals P and N on every row.  See the module notes for the plan shape."""
+    plus totals P and N and the score's own pos and neg on every row.  See the module notes for the plan shape."""
     sc = score_counts(df, score, y).withColumn("bucket", score_bucket("score", n_buckets))
     tot = sc.groupBy("bucket").agg(F.sum("pos").alias("b_pos"), F.sum("neg").alias("b_neg"))
     wall = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
@@ -174,7 +180,7 @@ def cumulative_counts(df: DataFrame, score: str, y: str, n_buckets: int = N_BUCK
         "score",
         (F.col("off_pos") + F.sum("pos").over(wb)).alias("tp"),
         (F.col("off_neg") + F.sum("neg").over(wb)).alias("fp"),
-        "P", "N",
+        "P", "N", "pos", "neg",
     )
 
 
@@ -199,9 +205,7 @@ def average_precision(df: DataFrame, score: str, y: str) -> DataFrame:
     R_(n-1) is recall at the next higher score, i.e. (tp - pos at this score)/P;
     written that way the sum needs no ordered ``lag``.
     """
-    c = cumulative_counts(df, score, y)
-    sc = score_counts(df, score, y)
-    j = c.join(sc, "score")
+    j = cumulative_counts(df, score, y)
     term = F.when(F.col("P") == 0, F.lit(0.0)).otherwise(
         (F.col("pos") / F.col("P")) * (F.col("tp") / (F.col("tp") + F.col("fp"))))
     return j.agg(F.sum(term).alias("average_precision"))
@@ -219,9 +223,7 @@ def roc_points(df: DataFrame, score: str, y: str) -> DataFrame:
 
 def roc_auc(df: DataFrame, score: str, y: str) -> DataFrame:
     """Trapezoid area; ties share a segment.  Previous point = counts above this score."""
-    c = cumulative_counts(df, score, y)
-    sc = score_counts(df, score, y)
-    j = c.join(sc, "score")
+    j = cumulative_counts(df, score, y)
     prev_tp = F.col("tp") - F.col("pos")
     prev_fp = F.col("fp") - F.col("neg")
     area = (F.col("fp") - prev_fp) * (F.col("tp") + prev_tp) / F.lit(2.0)
@@ -234,23 +236,22 @@ def best_candidate(df: DataFrame, score: str, order: str, ascending_order: bool
     return df.orderBy(F.desc(score), o).limit(1)
 
 
-def threshold_candidates(df: DataFrame, score: str, y: str) -> DataFrame:
-    """PR points plus the appended (precision 1, recall 0, threshold 1.0) point."""
-    pr = pr_curve(df, score, y).select("threshold", "precision", "recall", F.lit(0).alias("final"))
-    last = df.agg(F.lit(1.0).alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"),
-                  F.lit(1).alias("final"))
-    return pr.unionByName(last)
-
-
 def tune_threshold(df: DataFrame, score: str, y: str, metric: str = "f1",
                    precision_target: float | None = None) -> DataFrame:
-    """Best threshold for f1 / f2 / f0.5 / recall (at precision >= target) / precision.
+    """Best threshold for f1 / f2 / f0.5 / recall (at precision >= target) / precision."""
+    return tune_on_curve(pr_curve(df, score, y), metric, precision_target)
+
 
-    Candidates are visited in increasing threshold order with a strict ``>``,
-    so ties keep the lowest threshold (the appended 1.0 point comes last).
+def tune_on_curve(curve: DataFrame, metric: str = "f1", precision_target: float | None = None) -> DataFrame:
+    """M14 over a PR curve (one row per distinct score), so several metrics can share it.
+
+    Candidates are the points and an appended (precision 1, recall 0, threshold 1.0) one, visited in
+    increasing threshold order with a strict ``>``, so ties keep the lowest threshold (the appended point comes last).
     When no candidate qualifies the answer is the initial 0.5.
     """
-    cand = threshold_candidates(df, score, y)
+    one = curve.sparkSession.range(1)
+    last = one.select(F.lit(1.0).alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"), F.lit(1).alias("final"))
+    cand = curve.select("threshold", "precision", "recall", F.lit(0).alias("final")).unionByName(last)
     p, r = F.col("precision"), F.col("recall")
     if metric in ("f1", "f2", "f0.5"):
         s = fbeta(p, r, {"f1": 1.0, "f2": 2.0, "f0.5": 0.5}[metric])
@@ -264,7 +265,7 @@ def tune_threshold(df: DataFrame, score: str, y: str, metric: str = "f1",
         s = fbeta(p, r, 1.0)
     scored = cand.withColumn("metric_score", s)
     best = scored.orderBy(F.desc("metric_score"), F.asc("final"), F.asc("threshold")).limit(1)
-    fallback = df.agg(F.lit(0.5).alias("threshold"), F.lit(-1.0).alias("metric_score"))
+    fallback = one.select(F.lit(0.5).alias("threshold"), F.lit(-1.0).alias("metric_score"))
     both = best.select("threshold", "metric_score").unionByName(fallback)
     return both.orderBy(F.desc("metric_score")).limit(1).select(F.lit(metric).alias("metric"), "threshold", "metric_score")
 
@@ -370,17 +371,28 @@ def stratified_split(df: DataFrame, key: str, label: str = "label", val_size: fl
                      stratify: bool | None = None) -> DataFrame:
     """M6: adds ``split`` in {train, val}.
 
-    Rows are ranked inside their label by md5("seed:key"); the first
-    ceil(n_c * val_size) are validation.  When a class has fewer than two rows
+    Rows are ranked inside their label by md5("seed:key"); the first are validation:
+    floor(n_c * val_size) of each label, and one more of the labels with the largest remainders (ties: the smaller
+    label) until there are ceil(n * val_size) in all.  When a class has fewer than two rows
     (D9) the rank runs over all rows instead.  See ``hash_rank`` for the plan.
     """
     if stratify is None:
         m = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("m")).first()["m"]
         stratify = (m or 0) >= 2
     r = hash_rank(df, key, [label] if stratify else [], seed)
-    n_val = F.ceil(F.col("__n") * F.lit(float(val_size)))
-    return r.withColumn("split", F.when(F.col("__rank") <= n_val, F.lit("val")).otherwise(F.lit("train"))) \
-        .drop("__rank", "__n")
+    if not stratify:
+        n_val = F.ceil(F.col("__n") * F.lit(float(val_size)))
+        return r.withColumn("split", F.when(F.col("__rank") <= n_val, F.lit("val")).otherwise(F.lit("train"))).drop("__rank", "__n")
+    # one row per label
+    per = df.groupBy(F.col(label).alias("__label")).agg(F.count(F.lit(1)).alias("__c"))
+    share = F.col("__c") * F.lit(float(val_size))
+    every = Window.partitionBy()
+    order = Window.orderBy(F.desc(F.round(share - F.floor(share), 9)), F.asc_nulls_first("__label"))
+    left = F.ceil(F.round(F.sum("__c").over(every) * F.lit(float(val_size)), 9)) - F.sum(F.floor(share)).over(every)
+    quota = per.select("__label", (F.floor(share) + F.when(F.row_number().over(order) <= left, 1).otherwise(0)).alias("__quota"))
+    j = r.join(quota, F.col(label).eqNullSafe(F.col("__label")))
+    return j.withColumn("split", F.when(F.col("__rank") <= F.col("__quota"), F.lit("val")).otherwise(F.lit("train"))) \
+        .drop("__rank", "__n", "__label", "__quota")
 
 
 def balanced_mix(df: DataFrame, key: str, label: str = "label", target: int = 100_000, seed: int = 42) -> DataFrame:

@@ -30,10 +30,12 @@ def split_rows(spark, sf):
     return M.stratified_split(rows.select("doc_id", "body_text", "label"), "doc_id", "label", 0.2, 42, stratify=True)
 
 
-SPLIT_SQL = f"""WITH {CORPUS_VIEW}, {TRAIN_VIEW}, split AS (
-  SELECT doc_id, label, body_text, CASE WHEN rn <= ceil(n * 0.2) THEN 'val' ELSE 'train' END AS split FROM (
-    SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS rn,
-      count(*) OVER (PARTITION BY label) AS n FROM train))"""
+QUOTA_SQL = """q AS (SELECT label, floor(n * 0.2) + CASE WHEN row_number() OVER (ORDER BY round(n * 0.2 - floor(n * 0.2), 9) DESC, label) <=
+    ceil(round(sum(n) OVER () * 0.2, 9)) - sum(floor(n * 0.2)) OVER () THEN 1 ELSE 0 END AS quota FROM (SELECT label, count(*) AS n FROM %s GROUP BY label))"""
+SPLIT_SQL = f"""WITH {CORPUS_VIEW}, {TRAIN_VIEW}, {QUOTA_SQL % 'train'}, split AS (
+  SELECT doc_id, r.label, body_text, CASE WHEN rn <= quota THEN 'val' ELSE 'train' END AS split FROM (
+    SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS rn FROM train) r
+  JOIN q ON r.label = q.label)"""
 
 WORD_SQL = f""", tok AS (
   SELECT doc_id, split, list_filter(regexp_extract_all(lower(body_text), '{WORD_RE}'), lambda t: NOT list_contains({STOP_SQL}, t)) AS toks

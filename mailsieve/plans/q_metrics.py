@@ -14,6 +14,7 @@ from mailsieve.operators import metrics as M
 from mailsieve.operators.classify import with_rules
 from mailsieve.operators.corpus import canonical_label
 from mailsieve.operators.score import decide
+from mailsieve.plans.q_features import QUOTA_SQL
 from mailsieve.plans.registry import register
 from mailsieve.plans.sqlviews import EMAIL_VIEW, rules_cte, sql_canonical
 from mailsieve.sources.tables import labelled_email_view
@@ -245,10 +246,11 @@ def _tune_sql():
 
 @register("m14_tune_threshold", _tune_sql())
 def m14_tune_threshold(spark, sf):
-    ev = eval_view(spark, sf)
+    # the curve (a row per distinct score) is written once for all metrics
+    curve = M.pr_curve(eval_view(spark, sf), "p_pos", "y").checkpoint()
     out = None
     for metric, target in (("f1", None), ("f2", None), ("f0.5", None), ("recall", 0.9), ("precision", None)):
-        t = M.tune_threshold(ev, "p_pos", "y", metric, target).select("metric", "threshold", r6("metric_score").alias("metric_score"))
+        t = M.tune_on_curve(curve, metric, target).select("metric", "threshold", r6("metric_score").alias("metric_score"))
         out = t if out is None else out.unionByName(t)
     return out
 
@@ -312,9 +314,9 @@ def h25_prob_map(spark, sf):
 
 @register("m06_stratified_split", f"""WITH {EMAIL_VIEW}, ev AS (
   SELECT doc_id, {sql_canonical('raw_label')} AS label FROM email), t AS (SELECT * FROM ev WHERE label IN ('phishing', 'safe', 'spam')),
-r AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS rn,
-  count(*) OVER (PARTITION BY label) AS n FROM t)
-SELECT doc_id, label, CASE WHEN rn <= ceil(n * 0.2) THEN 'val' ELSE 'train' END AS split FROM r""")
+{QUOTA_SQL % 't'},
+r AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS rn FROM t)
+SELECT doc_id, r.label, CASE WHEN rn <= quota THEN 'val' ELSE 'train' END AS split FROM r JOIN q ON r.label = q.label""")
 def m06_stratified_split(spark, sf):
     ev = eval_view(spark, sf).select("doc_id", "label")
     return M.stratified_split(ev, "doc_id", "label", 0.2, 42, stratify=True).select("doc_id", "label", "split")
@@ -333,3 +335,22 @@ def m18_eval_report(spark, sf):
 
 
 
+
+
+_SAT_SQL = EVAL_SQL + """, sat AS (SELECT doc_id, y, CASE WHEN doc_id % 2 = 0 THEN pow(10.0, -(doc_id % 300)) / (1 + doc_id)
+  ELSE 1 - pow(2.0, -(doc_id % 50)) / (1 + doc_id) END AS s FROM ev),
+g AS (SELECT s, sum(y) AS pos, count(*) - sum(y) AS neg FROM sat GROUP BY s),
+cum AS (SELECT s, pos, neg, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp, sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM g
+  WINDOW w AS (ORDER BY s DESC))
+"""
+
+
+@register("d15_saturated_scores", _SAT_SQL + "SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(P AS BIGINT) AS p_all, "
+          "CAST(N AS BIGINT) AS n_all FROM cum")
+def d15_saturated_scores(spark, sf):
+    """The curve over scores that are all different and crowd at 0 and 1."""
+    i = F.col("doc_id")
+    s = F.when(i % 2 == 0, F.pow(F.lit(10.0), -(i % 300).cast("double")) / (1 + i)).otherwise(
+        1 - F.pow(F.lit(2.0), -(i % 50).cast("double")) / (1 + i))
+    c = M.cumulative_counts(eval_view(spark, sf).withColumn("s", s), "s", "y")
+    return c.select(*[F.col(a).cast("long").alias(b) for a, b in (("tp", "tp"), ("fp", "fp"), ("P", "p_all"), ("N", "n_all"))])

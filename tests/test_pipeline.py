@@ -82,6 +82,9 @@ def test_split_is_disjoint_complete_and_stratified(spark):
     per = {(r["label"], r["split"]): r["count"] for r in s.groupBy("label", "split").count().collect()}
     for lab, n in (("safe", 1200), ("spam", 600), ("phishing", 200)):
         assert per[(lab, "val")] == math.ceil(n * 0.2)
+    odd = spark.range(17).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 7, "a").when(F.col("id") < 13, "b").otherwise("c").alias("label"))
+    per = {(r["label"], r["split"]): r["count"] for r in M.stratified_split(odd, "doc_id", "label", 0.2, 42).groupBy("label", "split").count().collect()}
+    assert sum(n for (_, part), n in per.items() if part == "val") == math.ceil(17 * 0.2)  # 7, 6 and 4 rows: 1 + 1 + 1 and one more
 
 
 def test_no_single_partition_exchange_on_rows(spark):
