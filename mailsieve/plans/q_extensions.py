@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mailsieve.functions import signals as S
 from mailsieve.functions import text as T
 from mailsieve.operators import metrics as M
 from mailsieve.operators import scans as SC
@@ -74,15 +73,29 @@ def x07_history_filters(spark, sf):
                         sender_domain="host1.example.com")
     return s.select("id", "label")
 
-
-del S
-
-
 @register("x02_near_duplicates")
 def x02_near_duplicates(spark, sf):
-    """Documents kept after near-duplicate removal (MinHash LSH + label propagation).
-    Iterative, so rows-only; the fixture test checks the clustering."""
+    """Documents kept after near-duplicate removal (MinHash LSH and components); its MinHash has no SQL form,
+    its clustering is compared in x02_band_clusters."""
     from mailsieve.operators.neardup import drop_near_duplicates
 
     kept = drop_near_duplicates(corpus_view(spark, sf).select("doc_id", "body_text"))
     return kept.select("doc_id")
+
+
+@register("x02_band_clusters", """WITH RECURSIVE lines AS (SELECT DISTINCT doc_id, md5(line) AS band
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE length(line) >= 100),
+first AS (SELECT band, min(doc_id) AS f FROM lines GROUP BY band),
+e AS (SELECT DISTINCT f AS a, doc_id AS b FROM lines JOIN first USING (band) WHERE f <> doc_id),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT DISTINCT doc_id AS doc, doc_id AS root FROM lines UNION SELECT b.b, r.root FROM reach r JOIN both_ways b ON b.a = r.doc)
+SELECT doc AS doc_id, min(root) AS cluster FROM reach GROUP BY doc""")
+def x02_band_clusters(spark, sf):
+    """X2's clustering with long lines as bands, which both engines hash alike."""
+    from mailsieve.operators.neardup import clusters_of_bands
+    from mailsieve.session import checkpoint_dir, read_table
+
+    checkpoint_dir(spark)
+    line = read_table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    banded = line.where(F.length("line") >= 100).select("doc_id", F.md5("line").alias("band")).distinct()
+    return clusters_of_bands(banded.checkpoint())

@@ -5,6 +5,8 @@ as CTEs.  RE2 (DuckDB) treats ``\\s`` as ASCII, which is exact on the supplied
 tables (they hold no non-ASCII whitespace).
 """
 
+from mailsieve.functions.constants import CREDENTIAL_PHRASES, MARKETING_PHRASES, URGENT_PHRASES
+
 EMAIL_VIEW = r"""
 email AS (
 SELECT d.doc_id,
@@ -32,10 +34,6 @@ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 )"""
 
 # Rule signals (M1) per e-mail, as SQL over ``email``.
-URGENT = ("urgent", "immediately", "verify your account", "password expiry", "final notice", "suspend",
-          "limited time", "unauthorized", "confirm your identity")
-CRED = ("update your password", "login now", "re-enter your details")
-MARKETING = ("free trial", "special offer", "unsubscribe", "act now", "win a")
 IP_RE = r"(?i)^https?://([^/?#]*@)?([0-9]{1,3}\.){3}[0-9]{1,3}(:[^/?#]*)?([/?#]|$)"
 
 
@@ -52,11 +50,11 @@ rsig AS (
   FROM {src}
 ), rflag AS (
   SELECT k,
-    {any_contains('tl', URGENT)} AS urgent,
+    {any_contains('tl', URGENT_PHRASES)} AS urgent,
     len(list_filter(urls, lambda u: regexp_matches(u, '{IP_RE}'))) > 0 AS ip,
     len(list_filter(urls, lambda u: contains(u, 'xn--'))) > 0 AS puny,
-    {any_contains('tl', CRED)} AS cred,
-    {any_contains('tl', MARKETING)} AS spammy,
+    {any_contains('tl', CREDENTIAL_PHRASES)} AS cred,
+    {any_contains('tl', MARKETING_PHRASES)} AS spammy,
     len(urls) > 0 AS any_url
   FROM rsig
 ), rscore AS (

@@ -38,11 +38,14 @@ def get_spark(app: str = "mailsieve", cpus: int | str = "*", shuffle_partitions:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
-    A cluster names it in ``spark.checkpoint.dir``; we only pick a folder of our
-    own when the setting is absent (local tests).
+    A cluster names it in ``spark.checkpoint.dir`` and must do so; a folder of our
+    own is picked only for a local master (tests), where all tasks share the machine.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="mailsieve-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
