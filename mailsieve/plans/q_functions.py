@@ -183,7 +183,10 @@ def h13_received_ips(spark, sf):
 
 
 def _phrase_sql():
-    from mailsieve.plans.sqlviews import CRED, MARKETING, URGENT, any_contains
+    from mailsieve.functions.constants import CREDENTIAL_PHRASES as CRED
+    from mailsieve.functions.constants import MARKETING_PHRASES as MARKETING
+    from mailsieve.functions.constants import URGENT_PHRASES as URGENT
+    from mailsieve.plans.sqlviews import any_contains
 
     return (f"WITH {EMAIL_VIEW} SELECT doc_id, CAST({any_contains('lower(body_text)', URGENT)} AS INTEGER) AS urgent, "
             f"CAST({any_contains('lower(body_text)', CRED)} AS INTEGER) AS credential, "
