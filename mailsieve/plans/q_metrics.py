@@ -20,7 +20,7 @@ from mailsieve.plans.sqlviews import EMAIL_VIEW, rules_cte, sql_canonical
 from mailsieve.sources.tables import labelled_email_view
 
 # FIXED VALUES: per-class thresholds of the decision examples
-THRESHOLDS = {"phishing": 0.72, "spam": 0.91}
+THRESHOLDS = {"phishing": 0.72, "safe": 0.55, "spam": 0.91}
 TEMPS = (0.25, 0.5, 1.0, 1.5, 2.0, 3.0, 5.0, 8.0)
 
 
@@ -269,7 +269,7 @@ def m15_selection_score(spark, sf):
 _DECIDE_SQL = EVAL_SQL + _SOFTMAX_SQL + """, d AS (
   SELECT doc_id, p, list_position(p, list_max(p)) AS top_i,
     list_filter([{'label': 'phishing', 'prob': p[1], 'ok': p[1] >= 0.72},
-                 {'label': 'safe', 'prob': p[2], 'ok': p[2] >= 0.0},
+                 {'label': 'safe', 'prob': p[2], 'ok': p[2] >= 0.55},
                  {'label': 'spam', 'prob': p[3], 'ok': p[3] >= 0.91}], lambda s: s.ok) AS passed
   FROM pr3
 ), d2 AS (

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from mailsieve.functions.constants import CLASSES
 from mailsieve.operators import score as SC
 from mailsieve.operators.train import naive_bayes, train_job
-from mailsieve.plans.q_features import FEAT_WORD_SQL, SMALL_CAPS, split_rows
+from mailsieve.plans.q_features import FEAT_WORD_SQL, SMALL_CAPS, STOP_SQL, WORD_RE, split_rows
 from mailsieve.plans.q_metrics import THRESHOLDS
+from mailsieve.plans.q_scans import scans_sql
 from mailsieve.plans.registry import register
 from mailsieve.sources.tables import corpus_view
 
@@ -56,7 +57,7 @@ pr3 AS (SELECT doc_id, list_transform(e, lambda v: v / list_sum(e)) AS p FROM sm
 DECIDE_SQL = """, d AS (
   SELECT doc_id, p, list_position(p, list_max(p)) AS top_i,
     list_filter([{'label': 'phishing', 'prob': p[1], 'ok': p[1] >= 0.72},
-                 {'label': 'safe', 'prob': p[2], 'ok': p[2] >= 0.0},
+                 {'label': 'safe', 'prob': p[2], 'ok': p[2] >= 0.55},
                  {'label': 'spam', 'prob': p[3], 'ok': p[3] >= 0.91}], lambda s: s.ok) AS passed
   FROM pr3
 ), d2 AS (
@@ -95,7 +96,7 @@ def m10_score_linear(spark, sf):
 
 @register("c08_attach_thresholds", NB_SQL + """ SELECT doc_id, c.label, round(p[c.i], 6) AS prob, c.tau,
   CAST(p[c.i] >= c.tau AS INTEGER) AS passed FROM pr3,
-  (SELECT * FROM (VALUES ('phishing', 1, 0.72), ('safe', 2, 0.0), ('spam', 3, 0.91)) t(label, i, tau)) c""")
+  (SELECT * FROM (VALUES ('phishing', 1, 0.72), ('safe', 2, 0.55), ('spam', 3, 0.91)) t(label, i, tau)) c""")
 def c08_attach_thresholds(spark, sf):
     va, f_va, w, ic = _nb(spark, sf)
     p = SC.predict(va.select("doc_id"), f_va, w, ic, CLASSES, thresholds=THRESHOLDS)
@@ -140,10 +141,34 @@ def a17_thresholds_json(spark, sf):
     return t.select("doc_id", F.round(F.col("thresholds")["phishing"], 2).cast("decimal(3,2)").alias("phishing_tau"))
 
 
-@register("m05_scan_with_model")
+# the model's tables from NB_SQL, the e-mails and survivors from the scan; the survivors' texts are scored
+_SCAN_NB_SQL = NB_SQL + ", " + scans_sql()[len("WITH "):] + f""", etok AS (SELECT email_id,
+  list_filter(regexp_extract_all(lower(body_text), '{WORD_RE}'), lambda t: NOT list_contains({STOP_SQL}, t)) AS toks FROM surv),
+eg AS (SELECT email_id, unnest(toks) AS term FROM etok
+  UNION ALL SELECT email_id, unnest(list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1])) FROM etok),
+etf AS (SELECT email_id, term, count(*) AS tf FROM eg GROUP BY email_id, term),
+ew AS (SELECT t.email_id, v.ns, t.term, (1.0 + ln(t.tf)) * v.idf AS w FROM etf t JOIN vocab v ON v.ns = 'word' AND v.term = t.term),
+ef AS (SELECT email_id, ns, term, w / sqrt(sum(w * w) OVER (PARTITION BY email_id)) AS value FROM ew),
+ed AS (SELECT e.email_id, w.label, sum(e.value * w.weight) AS dot FROM ef e JOIN wt w ON e.ns = w.ns AND e.term = w.term GROUP BY 1, 2),
+ez AS (SELECT s.email_id, [""" + ", ".join(
+    f"coalesce((SELECT dot FROM ed WHERE ed.email_id = s.email_id AND ed.label = '{c}'), 0.0) + (SELECT intercept FROM prior WHERE label = '{c}')"
+    for c in ("phishing", "safe", "spam")) + """] AS z FROM surv s),
+ee AS (SELECT email_id, list_transform(z, lambda v: exp(v - list_max(z))) AS e FROM ez),
+ep AS (SELECT email_id, list_transform(e, lambda v: v / list_sum(e)) AS p FROM ee),
+""" + DECIDE_SQL.lstrip(", \n").replace("FROM pr3", "FROM ep").replace("doc_id", "email_id") + """,
+ec AS (SELECT e.email_id, e.term, e.value * w.weight AS c FROM ef e JOIN dec ON dec.email_id = e.email_id
+  JOIN wt w ON w.ns = e.ns AND w.term = e.term AND w.label = dec.raw_label WHERE e.value * w.weight > 0),
+er AS (SELECT email_id, string_agg(term, ', ' ORDER BY rn) AS reasons, sum(c) AS weight FROM (
+  SELECT *, row_number() OVER (PARTITION BY email_id ORDER BY round(c, 9) DESC, term) AS rn FROM ec) WHERE rn <= 6 GROUP BY email_id)
+SELECT p0.doc_id + 1 AS id, dec.label, dec.raw_label, dec.fallback_reason, round(dec.prob, 6) AS confidence,
+  coalesce(er.reasons, '') AS reasons, round(coalesce(er.weight, 0.0), 6) AS reason_weight
+FROM p0 JOIN dec ON dec.email_id = p0.email_id LEFT JOIN er ON er.email_id = p0.email_id"""
+
+
+@register("m05_scan_with_model", _SCAN_NB_SQL)
 def m05_scan_with_model(spark, sf):
     """M5 with a model: NB fit on the labelled training split, then the batch scan of every
-    e-mail of the view scored by it (thresholds applied, top-6 token reasons).  Rows-only."""
+    e-mail of the view scored by it (thresholds applied, top-6 reasons with token and weight)."""
     from mailsieve.operators import features as FE
     from mailsieve.operators.classify import parsed_from_view
     from mailsieve.operators.scans import scan_emails
@@ -156,6 +181,7 @@ def m05_scan_with_model(spark, sf):
     w = w.checkpoint()
     scorer = SC.model_scorer(vocab, w, ic, CLASSES, THRESHOLDS)
     scans, _ = scan_emails(parsed_from_view(email_view(spark, sf)), scorer=scorer, model_version="nb-word")
-    return scans.groupBy("label", F.col("details.raw_top.label").alias("raw_label"),
-                         F.col("details.fallback_reason").alias("fallback_reason")).agg(
-        F.count(F.lit(1)).alias("n_scans"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))
+    weight = F.aggregate("details.reasons", F.lit(0.0), lambda a, r: a + r["weight"])
+    return scans.select("id", "label", F.col("details.raw_top.label").alias("raw_label"),
+                        F.col("details.fallback_reason").alias("fallback_reason"), F.round("confidence", 6).alias("confidence"),
+                        "reasons", F.round(weight, 6).alias("reason_weight"))
