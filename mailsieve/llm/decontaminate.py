@@ -18,8 +18,6 @@ counts.  Nothing is shuffled.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -210,5 +208,3 @@ def digest(found: DataFrame) -> DataFrame:
         F.size(items).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"),
         (hit_words() > 0).alias("contaminated"))
 
-
-EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
