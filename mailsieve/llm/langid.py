@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailsieve.llm.textbytes import mix, slices
+from mailsieve.session import checkpoint_dir
 
 DIM = 512
 NGRAM = 3
@@ -56,24 +57,48 @@ def letter_vectors(points: np.ndarray, dim: int) -> np.ndarray:
     return bits.astype(np.int8) * 2 - 1
 
 
-def _grams(text: np.ndarray, ngram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of a slice (newline after each document) -> n-gram codes and the index of their last letter."""
-    table = _letters()
+def _letter_ids(text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of a slice (newline after each document) -> the letters and spaces kept, as indexes into the
+    distinct code points, and their places.  Index 0 is the newline."""
     breaks = text == 10
-    folded = table[text]
-    keep = (folded != 32) | np.append(True, (folded[:-1] != 32) | breaks[:-1]) | breaks
+    folded = np.where(breaks, 10, _letters()[text])
+    keep = (folded != 32) | np.append(True, folded[:-1] != 32)
     place = np.flatnonzero(keep)
-    letters = np.where(breaks[place], 10, folded[place]).astype(np.uint64)
-    code = np.zeros(max(len(letters) - ngram + 1, 0), np.uint64)
-    whole = np.ones(len(code), bool)
-    some = np.zeros(len(code), bool)
+    kept = folded[place]
+    points = np.flatnonzero(np.bincount(kept))  # 10 is the smallest
+    index = np.zeros(int(points[-1]) + 1, np.int64)
+    index[points] = np.arange(len(points))
+    return index[kept], place, points
+
+
+def _gram_counts(text: np.ndarray, ends: np.ndarray, ngram: int):
+    """(document, n-gram code, count) of a slice, the distinct codes and the code points that they index."""
+    ids, place, points = _letter_ids(text)
+    base = len(points)
+    space = int(np.searchsorted(points, 32))
+    n = max(len(ids) - ngram + 1, 0)
+    code = np.zeros(n, np.int64)
+    usable, letter = np.ones(n, bool), np.zeros(n, bool)
     for k in range(ngram):
-        part = letters[k:k + len(code)]
-        code = (code << np.uint64(21)) | part
-        whole &= part != 10
-        some |= part != 32
-    ok = whole & some
-    return code[ok], place[np.flatnonzero(ok) + ngram - 1]
+        part = ids[k:k + n]
+        code = code * base + part
+        usable &= part != 0
+        letter |= part != space
+    usable &= letter
+    owner = np.searchsorted(ends, place[np.flatnonzero(usable) + ngram - 1], "right")
+    key = owner * base**ngram + code[usable]
+    key.sort()
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    count = np.diff(np.append(first, len(key)))
+    owner, code = np.divmod(key[first], base**ngram)
+    if base**ngram <= 1 << 21:
+        here = np.zeros(base**ngram, bool)
+        here[code] = True
+        distinct = np.flatnonzero(here)
+        which = (np.cumsum(here) - 1)[code]
+    else:
+        distinct, which = np.unique(code, return_inverse=True)
+    return owner, which, count, distinct, points
 
 
 def bundles(texts: pa.Array, dim: int = DIM, ngram: int = NGRAM):
@@ -88,24 +113,22 @@ def bundles(texts: pa.Array, dim: int = DIM, ngram: int = NGRAM):
         size = np.array([len(p) + 1 for p in parts])
         points = np.frombuffer(("\n".join(parts) + "\n").encode("utf-32-le"), np.uint32)
         ends = np.cumsum(size)
-        code, at = _grams(points, ngram)
-        owner = np.searchsorted(ends, at, "right")
+        owner, which, count, distinct, letters = _gram_counts(points, ends, ngram)
+        base = len(letters)
         has = np.zeros(n, bool)
         has[owner] = True
         out = np.zeros((n, dim), np.float32)
-        distinct, which = np.unique(code, return_inverse=True)
-        order = np.argsort(which, kind="stable")
-        which, owner = which[order], owner[order]
-        cuts = np.searchsorted(which, np.arange(0, len(distinct) + CHUNK, CHUNK))
-        for c, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])):
-            grams = distinct[c * CHUNK:(c + 1) * CHUNK]
-            count = np.bincount(owner[lo:hi] * len(grams) + which[lo:hi] - c * CHUNK, minlength=n * len(grams))
+        vector = letter_vectors(letters, dim)
+        for lo in range(0, len(distinct), CHUNK):
+            grams = distinct[lo:lo + CHUNK]
+            mine = (which >= lo) & (which < lo + CHUNK)
+            counts = np.zeros((n, len(grams)), np.float32)
+            counts[owner[mine], which[mine] - lo] = count[mine]
             bound = np.ones((len(grams), dim), np.int8)
             for k in range(ngram):
-                point = (grams >> np.uint64(21 * (ngram - 1 - k))) & np.uint64((1 << 21) - 1)
-                own, back = np.unique(point, return_inverse=True)
-                bound *= np.roll(letter_vectors(own, dim), ngram - 1 - k, axis=1)[back]
-            out += count.reshape(n, len(grams)).astype(np.float32) @ bound.astype(np.float32)
+                digit = grams // base ** (ngram - 1 - k) % base
+                bound *= np.roll(vector, ngram - 1 - k, axis=1)[digit]
+            out += counts @ bound.astype(np.float32)
         yield piece.first, out, has
 
 
@@ -139,6 +162,8 @@ def prototypes(training: DataFrame, text: str = "text", lang: str = "lang", dim:
 def predict(docs: DataFrame, profiles: DataFrame, text: str = "text", dim: int = DIM, ngram: int = NGRAM) -> DataFrame:
     """``docs`` and struct ``__language`` (lang, score): the nearest prototype and its cosine, cut to 0..1."""
     spark = docs.sparkSession
+    checkpoint_dir(spark)
+    profiles = profiles.checkpoint()  # languages x dimensions; read twice below
     names = [r[0] for r in profiles.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect()]
     if len(names) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
