@@ -30,6 +30,8 @@ from mailsieve.llm import gramtables as G
 from mailsieve.llm.textbytes import slices
 
 DEPTH = 5
+#: a chunk has some 400,000 different words besides its n-grams, so it is smaller than for n-grams alone
+CHUNK_BYTES = 16 << 20
 FOLDS, FOLD = 7, 2
 HALF = np.log(0.5)
 
@@ -171,7 +173,7 @@ def lm_scores(docs: DataFrame, text: str = "text", key: str = "doc_id", depth: i
     kind = docs.schema[key].dataType.simpleString()
     flat = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), held_out(key).alias("held_out"))
     flat = flat.withColumn("train", ~F.col("held_out"))
-    rows, n_chunks, shards, merged = G.prepare(flat, "text", "train", depth, lower=True, with_words=True)
+    rows, n_chunks, shards, merged = G.prepare(flat, "text", "train", depth, lower=True, with_words=True, chunk_bytes=CHUNK_BYTES)
 
     def shallow(batches):
         for batch in batches:

@@ -10,7 +10,7 @@ one chunk or one shard of at most FAN chunks, and nothing passes through the dri
 Chunks are made once and written to the checkpoint folder: documents and
 requests of a chunk come from the same task, so a lost executor cannot mix two cuts.
 
-An n-gram of order D is D context bytes and the next byte.  A text's bytes are followed by END
+An n-gram of order D (at most 6) is D context bytes and the next byte.  A text's bytes are followed by END
 and preceded by START; neither byte occurs in UTF-8.  The key has the latest
 context byte first, so the nodes of a context tree are prefixes of keys and all contexts with the
 same two latest bytes are in one shard.
@@ -92,9 +92,9 @@ def gram_codes(piece, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_keys(piece) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of a slice and the document's index."""
+    """Hash of every word of a slice (62 bits, odd) and the document's index."""
     w = words(piece, SPACE_WORD)
-    key = span_hash(piece.data, w.starts, w.ends) | np.uint64(1)
+    key = (span_hash(piece.data, w.starts, w.ends) >> np.uint64(1)) | np.uint64(1)
     return key, np.repeat(np.arange(len(piece.starts)), np.diff(w.first))
 
 
@@ -111,14 +111,15 @@ def distinct_keys(texts: pa.Array, train: np.ndarray, depth: int, shards: int, l
     grams: list = [[], []]
     tokens: list = [[], []]
     for piece in slices(texts, lower=lower):
-        own = train[piece.first:piece.first + len(piece.starts)]
+        own = train[piece.first:piece.first + len(piece.starts)].astype(np.uint64)
         for code, doc, (keys, counts) in ((*gram_codes(piece, depth), grams), *([(*word_keys(piece), tokens)] if with_words else ())):
-            order = np.argsort(code)
-            code, flag = code[order], own[doc][order]
-            if len(code):
+            if len(code):  # the flag in the lowest bit, so that one plain sort groups keys and keeps their flags
+                both = (code << np.uint64(1)) | own[doc]
+                both.sort()
+                code = both >> np.uint64(1)
                 first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
                 keys.append(code[first])
-                counts.append(np.add.reduceat(flag.astype(np.int64), first))
+                counts.append(np.add.reduceat((both & np.uint64(1)).astype(np.int64), first))
         for keys, counts in (grams, tokens):
             if len(keys) >= 8:
                 a, b = sum_by_key(keys, counts)
@@ -135,7 +136,8 @@ def distinct_keys(texts: pa.Array, train: np.ndarray, depth: int, shards: int, l
     return out
 
 
-def chunks(docs: DataFrame, text: str, train: str, depth: int, shards: int, lower: bool, with_words: bool) -> DataFrame:
+def chunks(docs: DataFrame, text: str, train: str, depth: int, shards: int, lower: bool, with_words: bool,
+           chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """ROWS: per chunk its documents (shard DOCS) and its requests (keys, counts) per shard; written."""
 
     def emit(batches, chunk):
@@ -153,7 +155,7 @@ def chunks(docs: DataFrame, text: str, train: str, depth: int, shards: int, lowe
         rows = [(DOCS, sink.getvalue().to_pybytes())] + [(s, pack(k, c.astype(np.uint32))) for s, (k, c) in sorted(found.items())]
         for shard, payload in rows:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk]), pa.array([shard], pa.int32()), pa.array([chunk % 1_000_003 % FAN], pa.int32()),
+                [pa.array([chunk]), pa.array([shard], pa.int32()), pa.array([0], pa.int32()),
                  pa.array([payload], pa.binary())], ["chunk", "shard", "salt", "payload"])
 
     def run(batches):
@@ -167,11 +169,11 @@ def chunks(docs: DataFrame, text: str, train: str, depth: int, shards: int, lowe
             total = np.cumsum(length)
             while at < batch.num_rows:
                 base = total[at - 1] if at else 0
-                end = min(max(int(np.searchsorted(total, base + CHUNK_BYTES - size, "right")), at + 1), batch.num_rows)
+                end = min(max(int(np.searchsorted(total, base + chunk_bytes - size, "right")), at + 1), batch.num_rows)
                 held.append(batch.slice(at, end - at))
                 size += int(total[end - 1] - base)
                 at = end
-                if size >= CHUNK_BYTES or at < batch.num_rows:
+                if size >= chunk_bytes or at < batch.num_rows:
                     yield from emit(held, chunk)
                     chunk, held, size = chunk + 1, [], 0
         if held:
@@ -284,10 +286,10 @@ def scored(rows: DataFrame, answers: DataFrame, text: str, train: str, depth: in
     return rows.where(F.col("shard") == DOCS).unionByName(answers).groupBy("chunk").applyInArrow(run, schema)
 
 
-def prepare(docs: DataFrame, text: str, train: str, depth: int, lower: bool, with_words: bool):
+def prepare(docs: DataFrame, text: str, train: str, depth: int, lower: bool, with_words: bool, chunk_bytes: int = CHUNK_BYTES):
     """(rows, number of chunks, number of shards, merged counts)."""
     checkpoint_dir(docs.sparkSession)
     shards = shard_count(docs, text)
-    rows = chunks(docs, text, train, depth, shards, lower, with_words)
+    rows = chunks(docs, text, train, depth, shards, lower, with_words, chunk_bytes)
     n_chunks = rows.where(F.col("shard") == DOCS).count()
     return rows, n_chunks, shards, merge(rows, n_chunks)
