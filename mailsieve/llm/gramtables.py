@@ -153,6 +153,8 @@ def chunks(docs: DataFrame, text: str, train: str, depth: int, shards: int, lowe
         with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as w:
             w.write_table(table)
         rows = [(DOCS, sink.getvalue().to_pybytes())] + [(s, pack(k, c.astype(np.uint32))) for s, (k, c) in sorted(found.items())]
+        del table, column, found, sink
+        pa.default_memory_pool().release_unused()  # what the pool keeps counts as the worker's memory
         for shard, payload in rows:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([chunk]), pa.array([shard], pa.int32()), pa.array([0], pa.int32()),
@@ -281,7 +283,11 @@ def scored(rows: DataFrame, answers: DataFrame, text: str, train: str, depth: in
             keys = np.concatenate([found[s][0] for s in mine]) if mine else np.zeros(0, np.uint64)
             values = [unpack(where[s].as_py())[0] for s in mine]
             tables.append(Lookup(keys, np.concatenate(values) if mine else np.zeros(0, np.float32)))
-        return pa.Table.from_batches([score(docs, column, *tables)])
+        del where, found, table
+        out = pa.Table.from_batches([score(docs, column, *tables)])
+        del docs, column, tables
+        pa.default_memory_pool().release_unused()
+        return out
 
     return rows.where(F.col("shard") == DOCS).unionByName(answers).groupBy("chunk").applyInArrow(run, schema)
 
