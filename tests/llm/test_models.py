@@ -180,6 +180,23 @@ def test_junk_is_rejected_and_clean_text_kept(spark):
     assert share[1] > 0.99 and share[0] < 0.3
 
 
+def test_odd_trusted_documents_do_not_open_a_language(spark):
+    r = random.Random(5)
+    prose = {x: [" ".join(r.choice(w) for _ in range(60)) for _ in range(300)] for x, w in
+             (("en", ("the", "house", "stands", "there", "again")), ("de", ("das", "Haus", "steht", "dort", "wieder")))}
+    noise = ["".join(chr(r.randrange(33, 126)) for _ in range(300)) for _ in range(41)]
+    held = [i for i in range(1000) if zlib.crc32(str(i).encode()) % Q.FOLDS == Q.FOLD]
+    rows = [(i, prose["de" if i % 4 == 0 else "en"][i % 300], "de" if i % 4 == 0 else "en") for i in range(1000)]
+    odd = next(i for i in held if i % 4 == 0)
+    rows[odd] = (odd, noise[0] * 2, "de")  # one odd trusted document among 20 to 199 that set the threshold
+    assert Q.MIN_CALIBRATION <= sum(i % 4 == 0 for i in held) < 200
+    rows += [(2000 + i, x + " das Haus", "de") for i, x in enumerate(noise[1:])]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x.keep for x in Q.classify(d, d.where("doc_id < 1000").select("doc_id")).collect()}
+    assert not any(got[i] for i in got if i >= 2000) and not got[odd]
+    assert sum(got[i] for i in held) >= 0.95 * len(held)
+
+
 def test_classify_on_odd_rows(edge, nothing, spark):
     trusted = spark.createDataFrame([(1,), (5,), (None,), (5,)], "doc_id long")
     got = Q.classify(edge, trusted)
