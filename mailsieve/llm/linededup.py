@@ -19,7 +19,7 @@ narrow row per distinct line of a document.  Owners come from a combinable aggre
 the join back has a shuffle on both sides and AQE can split a hot line.  Only a
 document's own shared lines meet in one task.
 
-Lines are the pieces between newlines; lines without a word are never linked.  Null or empty texts have none and
+Lines are the pieces between newlines; lines without a word are neither linked nor counted: the lines before and after them are neighbours.  Null or empty texts have none and
 stay as they are.  Rows of the same key and text are one document (all of them are kept and
 changed alike); a null key comes after all others.  Empty tables give empty results.
 """
@@ -110,7 +110,10 @@ def _deleted(rows: list[dict], min_words: int, long_words: int, rare_docs: int)
 def _align(min_words: int, long_words: int, rare_docs: int):
     def run(batches):
         for batch in batches:
-            gone = [_deleted(rows.as_py(), min_words, long_words, rare_docs) for rows in batch.column(2)]
+            gone = []
+            for rows in batch.column(2).to_pylist():
+                place = {p: line for x in rows for p, line in zip(x["at"], x["lines"])}
+                gone.append([place[p] for p in _deleted(rows, min_words, long_words, rare_docs)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))],
                                              ["__key", "__hash", "__gone"])
 
@@ -122,20 +125,23 @@ def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min
     """(__key, __hash of the text, __gone: positions of the lines to delete)."""
     checkpoint_dir(docs.sparkSession)
     line = docs.where(F.col(text).isNotNull()).select(
-        F.col(key).alias("__key"), F.xxhash64(text).alias("__hash"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    line = line.where(F.col("line").rlike(r"\S")).select(
-        "__key", "__hash", "pos", F.xxhash64("line").alias("h"),
+        F.col(key).alias("__key"), F.xxhash64(text).alias("__hash"), F.posexplode(F.filter(
+            F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(x.alias("line"), i.alias("at"))),
+            lambda x: x["line"].rlike(r"\S"))).alias("pos", "x"))
+    line = line.select("*", "x.line").select(
+        "__key", "__hash", F.struct("pos", F.col("x.at").alias("line")).alias("pos"), F.xxhash64("line").alias("h"),
         F.size(F.split(F.trim("line"), r"\s+")).alias("words"))
     # each distinct line of a document with its positions
     occurrence = line.groupBy("h", "__key", "__hash").agg(
-        F.sort_array(F.collect_set("pos")).alias("at"), F.max("words").alias("words")).checkpoint()
+        F.sort_array(F.collect_set("pos")).alias("pos"), F.max("words").alias("words")).select(
+            "h", "__key", "__hash", F.col("pos.pos").alias("at"), F.col("pos.line").alias("lines"), "words").checkpoint()
     order = F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("owner"), F.col("__hash").alias("owner_hash"),
                      F.col("at").alias("owner_at"))
     owners = occurrence.groupBy("h").agg(F.count(F.lit(1)).alias("n_docs"), F.min(order).alias("first")).where("n_docs > 1")
     owners = owners.select("h", "n_docs", "first.owner", "first.owner_hash", "first.owner_at").checkpoint()
     later = occurrence.join(owners, "h").where(
         ~(F.col("__key").eqNullSafe(F.col("owner")) & (F.col("__hash") == F.col("owner_hash"))))
-    shared = F.struct("at", "owner", "owner_hash", "owner_at", "words", "n_docs")
+    shared = F.struct("at", "lines", "owner", "owner_hash", "owner_at", "words", "n_docs")
     per_doc = later.groupBy("__key", "__hash").agg(F.collect_list(shared).alias("rows"))
     kind = docs.schema[key].dataType.simpleString()
     gone = per_doc.mapInArrow(_align(min_words, long_words, rare_docs), f"__key {kind}, __hash long, __gone array<int>")

@@ -122,6 +122,13 @@ def test_passages_go_and_clean_lines_stay(spark):
         assert all("passage" not in got[i] and f"own end {i}" in got[i] and "licence line" in got[i] for i in range(1, 40))
 
 
+def test_blank_lines_do_not_break_a_block(spark):
+    lines = [f"short line {k} of it" for k in range(4)]
+    rows = [(1, "start\n" + "\n\n".join(lines)), (2, "\n \n".join(lines) + "\nend"), (3, "\n".join(lines))]
+    got = {x["doc_id"]: x["text"] for x in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == rows[0][1] and got[2].split() == ["end"] and got[3] == ""
+
+
 def test_line_dedup_on_odd_rows(edge, nothing):
     got = L.dedup_lines(edge)
     assert got.columns == edge.columns and got.count() == edge.count()
