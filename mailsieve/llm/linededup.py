@@ -10,9 +10,8 @@ Each pair is aligned by patience diff: lines that occur once in both are the
 anchors, the longest increasing chain of anchors fixes the order, and matches
 grow from the chain through neighbouring equal lines.  Runs of aligned lines
 are blocks.  A block is deleted from the later document if it has at least
-``min_words`` words and holds a rare line (in at most ``rare_docs`` documents),
-or has at least ``long_words`` words whatever its lines' frequency; common short
-lines alone (headings, licence lines) stay.
+``min_words`` words, whatever its lines' frequency and the table's size; shorter ones (headings, licence lines) stay.
+``long_words`` and ``rare_docs`` are accepted for older calls and decide nothing.
 
 Scale: the lines are hashed where the text is read; what is shuffled is a
 narrow row per distinct line of a document.  Owners come from a combinable aggregate and are written, so that
@@ -99,10 +98,8 @@ def _deleted(rows: list[dict], min_words: int, long_words: int, rare_docs: int)
     gone: set[int] = set()
     for shared in by_owner.values():
         words = {p: x["words"] for x in shared for p in x["at"]}
-        rare = {p for x in shared if x["n_docs"] <= rare_docs for p in x["at"]}
         for block in blocks(patience(shared)):
-            n = sum(words[p] for p in block)
-            if n >= long_words or n >= min_words and not rare.isdisjoint(block):
+            if sum(words[p] for p in block) >= min_words:
                 gone.update(block)
     return sorted(gone)
 

@@ -129,6 +129,15 @@ def test_blank_lines_do_not_break_a_block(spark):
     assert got[1] == rows[0][1] and got[2].split() == ["end"] and got[3] == ""
 
 
+def test_a_short_block_goes_at_every_size(spark):
+    block = "one line of twelve words that is repeated in all the documents"
+    for n in (3, 40):
+        rows = [(i, f"own line {i}\n{block}") for i in range(n)] + [(1000 + i, block) for i in range(n)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {x["doc_id"]: x["text"] for x in L.dedup_lines(df, rare_docs=10).collect()}
+        assert got == {0: rows[0][1]} | {i: f"own line {i}" for i in range(1, n)} | {1000 + i: "" for i in range(n)}
+
+
 def test_line_dedup_on_odd_rows(edge, nothing):
     got = L.dedup_lines(edge)
     assert got.columns == edge.columns and got.count() == edge.count()
