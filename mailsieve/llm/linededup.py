@@ -7,8 +7,9 @@ of the later document: linear in the lines, also where a line or a whole text
 is in a third of all documents; no pairs within a group are made.
 
 Each pair is aligned by patience diff: lines that occur once in both are the
-anchors, the longest increasing chain of anchors fixes the order, and matches
-grow from the chain through neighbouring equal lines.  Runs of aligned lines
+anchors, the longest increasing chain of anchors fixes the order, matches
+grow from the chain through neighbouring equal lines, and the gaps between them are aligned in the same way.  What the
+owner still has of the remainder (further copies, passages in another order) is aligned run by run.  Runs of aligned lines
 are blocks.  A block is deleted from the later document if it has at least
 ``min_words`` words, whatever its lines' frequency and the table's size; shorter ones (headings, licence lines) stay.
 ``long_words`` and ``rare_docs`` are accepted for older calls and decide nothing.
@@ -61,21 +62,42 @@ def increasing_chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def patience(lines: list[dict]) -> list[tuple[int, int]]:
     """Aligned (later, owner) positions of two documents from their shared lines (``at``, ``owner_at``: all positions)."""
-    where = {p: set(x["owner_at"]) for x in lines for p in x["at"]}
-    anchors = sorted((x["at"][0], x["owner_at"][0]) for x in lines if len(x["at"]) == 1 and len(x["owner_at"]) == 1)
-    chain = increasing_chain(anchors)
-    if not chain:  # nothing unique: the first occurrences stand in
-        chain = increasing_chain(sorted((min(x["at"]), min(x["owner_at"])) for x in lines))
-    matched = dict(chain)
-    taken = set(matched.values())
-    for step in (1, -1):
-        for p, q in (chain if step == 1 else chain[::-1]):
-            p, q = p + step, q + step
-            while p in where and p not in matched and q in where[p] and q not in taken:
-                matched[p] = q
-                taken.add(q)
+    mine = {p: i for i, x in enumerate(lines) for p in x["at"]}
+    theirs = {q: i for i, x in enumerate(lines) for q in x["owner_at"]}
+    todo = [(sorted(mine), sorted(theirs))]
+    out: list[tuple[int, int]] = []
+    while todo:
+        ps, qs = todo.pop()
+        at: dict[int, list[int]] = {}
+        owner_at: dict[int, list[int]] = {}
+        for place, positions, line in ((at, ps, mine), (owner_at, qs, theirs)):
+            for p in positions:
+                place.setdefault(line[p], []).append(p)
+        both = [(at[i], owner_at[i]) for i in at if i in owner_at]
+        anchors = [(p[0], q[0]) for p, q in both if len(p) == len(q) == 1]
+        # nothing unique: the first occurrences stand in
+        chain = increasing_chain(sorted(anchors or [(p[0], q[0]) for p, q in both]))
+        if not chain:
+            continue
+        matched = dict(chain)
+        taken = set(matched.values())
+        free, open_ = set(ps), set(qs)
+        for step in (1, -1):
+            for p, q in (chain if step == 1 else chain[::-1]):
                 p, q = p + step, q + step
-    return increasing_chain(sorted(matched.items()))
+                while p in free and p not in matched and q in open_ and q not in taken and mine[p] == theirs[q]:
+                    matched[p] = q
+                    taken.add(q)
+                    p, q = p + step, q + step
+        found = increasing_chain(sorted(matched.items()))
+        out += found
+        i = j = 0
+        for p, q in [*found, (ps[-1] + 1, qs[-1] + 1)]:  # the gaps between the matches are aligned in the same way
+            k, m = bisect.bisect_left(ps, p), bisect.bisect_left(qs, q)
+            if k > i and m > j:
+                todo.append((ps[i:k], qs[j:m]))
+            i, j = k + 1, m + 1
+    return sorted(out)
 
 
 def blocks(matched: list[tuple[int, int]]) -> list[list[int]]:
@@ -91,17 +113,44 @@ def blocks(matched: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
+def runs(lines: dict[int, int], words: list[int], min_words: int):
+    """(lines, start, stop) of the shortest runs of neighbours with ``min_words`` words from every position on and up to it.
+
+    Any block of ``min_words`` words is covered by those inside it.
+    """
+    for step in (1, -1):
+        for p in lines:
+            n, k, found = 0, p, []
+            while n < min_words and k in lines:
+                found.append(lines[k])
+                n += words[lines[k]]
+                k += step
+            if n >= min_words:
+                yield (tuple(found), p, k) if step == 1 else (tuple(found[::-1]), k + 1, p + 1)
+
+
+def repeated(shared: list[dict], min_words: int) -> set[int]:
+    """Positions of the later document in blocks that the owner has too, from their shared lines."""
+    words = [x["words"] for x in shared]
+    mine = {p: i for i, x in enumerate(shared) for p in x["at"]}
+    theirs = {q: i for i, x in enumerate(shared) for q in x["owner_at"]}
+    gone: set[int] = set()
+    for block in blocks(patience(shared)):
+        if sum(words[mine[p]] for p in block) >= min_words:
+            gone.update(block)
+    # the remainder (further copies, other order) is aligned run by run until the owner has none of it
+    known = {found for found, _, _ in runs(theirs, words, min_words)}
+    for found, start, stop in runs(mine, words, min_words):
+        if found in known:
+            gone.update(range(start, stop))
+    return gone
+
+
 def _deleted(rows: list[dict], min_words: int, long_words: int, rare_docs: int) -> list[int]:
     by_owner: dict = {}
     for x in rows:
         by_owner.setdefault((x["owner"], x["owner_hash"]), []).append(x)
-    gone: set[int] = set()
-    for shared in by_owner.values():
-        words = {p: x["words"] for x in shared for p in x["at"]}
-        for block in blocks(patience(shared)):
-            if sum(words[p] for p in block) >= min_words:
-                gone.update(block)
-    return sorted(gone)
+    return sorted(set().union(*(repeated(shared, min_words) for shared in by_owner.values())))
 
 
 def _align(min_words: int, long_words: int, rare_docs: int):

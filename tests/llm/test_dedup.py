@@ -138,6 +138,18 @@ def test_a_short_block_goes_at_every_size(spark):
         assert got == {0: rows[0][1]} | {i: f"own line {i}" for i in range(1, n)} | {1000 + i: "" for i in range(n)}
 
 
+def test_copies_and_other_order_within_a_document_go(spark):
+    one, two = ("\n".join(f"{x} line {k} " + " ".join(f"{x}{k}{j}" for j in range(18)) for k in range(3)) for x in "ab")
+    rows = [(1, f"unique\n{one}\nmiddle\n{two}"), (2, f"{two}\nown text\n{one}"), (3, f"unique\n{one}\nmine\n{one}\nother\n{two}\n{two}")]
+    got = {x["doc_id"]: x["text"] for x in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == rows[0][1] and got[2] == "own text" and set(got[3].split("\n")) <= {"unique", "mine", "other"}
+
+
+def test_patience_between_the_anchors():
+    a = [{"at": [0], "owner_at": [0]}, {"at": [9], "owner_at": [9]}, {"at": [3, 12], "owner_at": [4, 15]}]
+    assert L.patience(a) == [(0, 0), (3, 4), (9, 9), (12, 15)]
+
+
 def test_line_dedup_on_odd_rows(edge, nothing):
     got = L.dedup_lines(edge)
     assert got.columns == edge.columns and got.count() == edge.count()
