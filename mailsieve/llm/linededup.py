@@ -1,10 +1,11 @@
 """Operator 3: line dedup by pairwise alignment.
 
-Overlapping documents are found through shared lines: every line that two or
-more documents have is linked to its *owner*, the earliest document with it
-(smallest key).  So a pair is (owner, later document), one row per shared line
-of the later document: linear in the lines, also where a line or a whole text
-is in a third of all documents; no pairs within a group are made.
+Overlapping documents are found through runs: the shortest runs of neighbouring
+lines with ``min_words`` words, from every line on and up to it.  A block of so many words that two documents share is
+covered by runs that both have.  Every run that two or more documents have is linked to its *owner*, the earliest document with it
+(smallest key), so a pair is (owner, later document): linear in the lines, also where a line or a whole text
+is in a third of all documents; no pairs within a group are made.  All lines of both documents of a pair are then fetched
+and aligned.  So a line goes if and only if it lies in a block of ``min_words`` words that any earlier document has too.
 
 Each pair is aligned by patience diff: lines that occur once in both are the
 anchors, the longest increasing chain of anchors fixes the order, matches
@@ -14,10 +15,9 @@ are blocks.  A block is deleted from the later document if it has at least
 ``min_words`` words, whatever its lines' frequency and the table's size; shorter ones (headings, licence lines) stay.
 ``long_words`` and ``rare_docs`` are accepted for older calls and decide nothing.
 
-Scale: the lines are hashed where the text is read; what is shuffled is a
-narrow row per distinct line of a document.  Owners come from a combinable aggregate and are written, so that
-the join back has a shuffle on both sides and AQE can split a hot line.  Only a
-document's own shared lines meet in one task.
+Scale: the lines are hashed where the text is read; what is written is a narrow row of line hashes per document, what is
+shuffled that and a row per run.  Owners come from a combinable aggregate and are written, so that
+the join back has a shuffle on both sides and AQE can split a hot run or owner.  Only the lines of one pair meet in a row.
 
 Lines are the pieces between newlines; lines without a word are neither linked nor counted: the lines before and after them are neighbours.  Null or empty texts have none and
 stay as they are.  Rows of the same key and text are one document (all of them are kept and
@@ -35,8 +35,6 @@ from pyspark.sql import functions as F
 from mailsieve.session import checkpoint_dir
 
 MIN_WORDS = 10
-LONG_WORDS = 50
-RARE_DOCS = 1000
 
 
 def increasing_chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -146,20 +144,39 @@ def repeated(shared: list[dict], min_words: int) -> set[int]:
     return gone
 
 
-def _deleted(rows: list[dict], min_words: int, long_words: int, rare_docs: int) -> list[int]:
-    by_owner: dict = {}
-    for x in rows:
-        by_owner.setdefault((x["owner"], x["owner_hash"]), []).append(x)
-    return sorted(set().union(*(repeated(shared, min_words) for shared in by_owner.values())))
+def _runs(min_words: int):
+    """(__run, __key, __hash): the distinct runs of every document, as hashes."""
+    def run(batches):
+        for batch in batches:
+            at, found = [], []
+            for i, (lines, words) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                size = dict(zip(lines, words))
+                code = {h: k for k, h in enumerate(size)}
+                own = {hash(tuple(lines[a:b])) for _, a, b in
+                       runs({p: code[h] for p, h in enumerate(lines)}, list(size.values()), min_words)}
+                at += [i] * len(own)
+                found += own
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), batch.column(0).take(at), batch.column(1).take(at)],
+                                             ["__run", "__key", "__hash"])
+
+    return run
 
 
-def _align(min_words: int, long_words: int, rare_docs: int):
+def _align(min_words: int):
+    """(__key, __hash, __gone): positions in the text of the lines that a pair's later document loses."""
     def run(batches):
         for batch in batches:
             gone = []
-            for rows in batch.column(2).to_pylist():
-                place = {p: line for x in rows for p, line in zip(x["at"], x["lines"])}
-                gone.append([place[p] for p in _deleted(rows, min_words, long_words, rare_docs)])
+            for lines, words, place, owner in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
+                shared: dict = {}
+                for p, (h, n) in enumerate(zip(lines, words)):
+                    shared.setdefault(h, {"at": [], "owner_at": [], "words": n})["at"].append(p)
+                for q, h in enumerate(owner):
+                    if h in shared:
+                        shared[h]["owner_at"].append(q)
+                found = repeated([x for x in shared.values() if x["owner_at"]], min_words)
+                gone.append([place[p] for p in sorted(found)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))],
                                              ["__key", "__hash", "__gone"])
 
@@ -167,30 +184,32 @@ def _align(min_words: int, long_words: int, rare_docs: int):
 
 
 def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS,
-                   long_words: int = LONG_WORDS, rare_docs: int = RARE_DOCS) -> DataFrame:
+                   long_words: int | None = None, rare_docs: int | None = None) -> DataFrame:
     """(__key, __hash of the text, __gone: positions of the lines to delete)."""
     checkpoint_dir(docs.sparkSession)
-    line = docs.where(F.col(text).isNotNull()).select(
-        F.col(key).alias("__key"), F.xxhash64(text).alias("__hash"), F.posexplode(F.filter(
-            F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(x.alias("line"), i.alias("at"))),
-            lambda x: x["line"].rlike(r"\S"))).alias("pos", "x"))
-    line = line.select("*", "x.line").select(
-        "__key", "__hash", F.struct("pos", F.col("x.at").alias("line")).alias("pos"), F.xxhash64("line").alias("h"),
-        F.size(F.split(F.trim("line"), r"\s+")).alias("words"))
-    # each distinct line of a document with its positions
-    occurrence = line.groupBy("h", "__key", "__hash").agg(
-        F.sort_array(F.collect_set("pos")).alias("pos"), F.max("words").alias("words")).select(
-            "h", "__key", "__hash", F.col("pos.pos").alias("at"), F.col("pos.line").alias("lines"), "words").checkpoint()
-    order = F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("owner"), F.col("__hash").alias("owner_hash"),
-                     F.col("at").alias("owner_at"))
-    owners = occurrence.groupBy("h").agg(F.count(F.lit(1)).alias("n_docs"), F.min(order).alias("first")).where("n_docs > 1")
-    owners = owners.select("h", "n_docs", "first.owner", "first.owner_hash", "first.owner_at").checkpoint()
-    later = occurrence.join(owners, "h").where(
-        ~(F.col("__key").eqNullSafe(F.col("owner")) & (F.col("__hash") == F.col("owner_hash"))))
-    shared = F.struct("at", "lines", "owner", "owner_hash", "owner_at", "words", "n_docs")
-    per_doc = later.groupBy("__key", "__hash").agg(F.collect_list(shared).alias("rows"))
     kind = docs.schema[key].dataType.simpleString()
-    gone = per_doc.mapInArrow(_align(min_words, long_words, rare_docs), f"__key {kind}, __hash long, __gone array<int>")
+    worded = F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(x.alias("line"), i.alias("at"))),
+                      lambda x: x["line"].rlike(r"\S"))
+    one = F.struct(F.transform("x", lambda x: F.xxhash64(x["line"])).alias("lines"),
+                   F.transform("x", lambda x: F.regexp_count(x["line"], F.lit(r"\S+"))).alias("words"),
+                   F.col("x.at").alias("place"))
+    lined = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("__key"), F.xxhash64(text).alias("__hash"), worded.alias("x"))
+    lined = lined.where(F.size("x") > 0).select("__key", "__hash", one.alias("x")).groupBy("__key", "__hash").agg(
+        F.first("x").alias("x")).select("__key", "__hash", "x.lines", "x.words", "x.place").checkpoint()
+    each = lined.select("__key", "__hash", "lines", "words").mapInArrow(_runs(min_words), f"__run long, __key {kind}, __hash long")
+    order = F.struct(F.col("__key").isNull().alias("none"), F.col("__key").alias("owner"), F.col("__hash").alias("owner_hash"))
+    owners = each.groupBy("__run").agg(F.min(order).alias("first"), F.max(order).alias("last")).where(
+        ~F.col("first").eqNullSafe(F.col("last"))).select("__run", "first.owner", "first.owner_hash").checkpoint()
+    pairs = each.join(owners, "__run").where(
+        ~(F.col("__key").eqNullSafe(F.col("owner")) & (F.col("__hash") == F.col("owner_hash"))))
+    pairs = pairs.select("__key", "__hash", "owner", "owner_hash").distinct().checkpoint()
+    whole = lined.select(F.col("__key").alias("k"), F.col("__hash").alias("x"), F.col("lines").alias("owner_lines"))
+    pairs = pairs.join(whole, F.col("owner").eqNullSafe(F.col("k")) & (F.col("owner_hash") == F.col("x"))).select(
+        F.col("__key").alias("later"), F.col("__hash").alias("later_hash"), "owner_lines")
+    pairs = pairs.join(lined, F.col("later").eqNullSafe(F.col("__key")) & (F.col("later_hash") == F.col("__hash")))
+    gone = pairs.select("__key", "__hash", "lines", "words", "place", "owner_lines").mapInArrow(
+        _align(min_words), f"__key {kind}, __hash long, __gone array<int>")
+    gone = gone.groupBy("__key", "__hash").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("__gone")))).alias("__gone"))
     return gone.where(F.size("__gone") > 0)
 
 

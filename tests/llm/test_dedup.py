@@ -150,6 +150,41 @@ def test_patience_between_the_anchors():
     assert L.patience(a) == [(0, 0), (3, 4), (9, 9), (12, 15)]
 
 
+def _shared_blocks(docs, min_words):
+    """Positions of the lines in a block of ``min_words`` words that any earlier document has too, from all pairs."""
+    worded = {i: [(p, x) for p, x in enumerate((t or "").split("\n")) if x.strip()] for i, t in docs}
+    out = {i: set() for i in worded}
+    for i, mine in worded.items():
+        for theirs in (worded[j] for j in worded if j < i):
+            for p in range(len(mine)):
+                for q in range(len(theirs)):
+                    n = 0
+                    while p + n < len(mine) and q + n < len(theirs) and mine[p + n][1] == theirs[q + n][1]:
+                        n += 1
+                    if sum(len(x.split()) for _, x in mine[p:p + n]) >= min_words:
+                        out[i].update(place for place, _ in mine[p:p + n])
+    return out
+
+
+def test_line_dedup_matches_all_pairs(spark):
+    r = random.Random(11)
+    lines = [" ".join(r.choice("abcdefgh") for _ in range(r.choice((1, 3, 4, 8, 20)))) for _ in range(40)] + [""]
+    docs = [(i, "\n".join(r.choice(lines) for _ in range(r.randrange(0, 25)))) for i in range(60)]
+    docs += [(100 + i, "a heading\n" + docs[i][1] + "\nown line number %d of this text" % i) for i in range(20)]
+    for min_words in (10, 25):
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+        got = {x["doc_id"]: set(x["__gone"] or ()) for x in L.dedup_lines(df, report=True, min_words=min_words).collect()}
+        assert got == _shared_blocks(docs, min_words)
+
+
+def test_a_line_of_another_document_does_not_split_an_exact_copy(spark):
+    lines = [f"line {k} " + " ".join(f"w{k}{j}" for j in range(12)) for k in range(6)]
+    rows = [(1, "Heading\nown text of one"), (5, "\n".join([*lines[:3], "Heading", *lines[3:]]))]
+    rows += [(7, rows[1][1]), (8, "something else")]
+    got = L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), drop_emptied=True)
+    assert {x["doc_id"]: x["text"] for x in got.collect()} == {i: t for i, t in rows if i != 7}
+
+
 def test_line_dedup_on_odd_rows(edge, nothing):
     got = L.dedup_lines(edge)
     assert got.columns == edge.columns and got.count() == edge.count()
