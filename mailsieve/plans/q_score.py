@@ -123,7 +123,7 @@ def m16_top_reasons(spark, sf):
 @register("m09_train_logreg")
 def m09_train_logreg(spark, sf):
     """Spark-ML class-weighted multinomial LR, best regParam on the validation split (rows-only)."""
-    res = train_job(corpus_view(spark, sf), reg_params=(1e-3, 1e-2), max_features={"word": SMALL_CAPS["word"]})
+    res = train_job(corpus_view(spark, sf), max_features={"word": SMALL_CAPS["word"]})
     return res["report"]
 
 

@@ -141,3 +141,17 @@ def test_view_stream_matches_batch(spark, tmpdir_path):
     assert streamed.count() == batch.count()
     assert streamed.exceptAll(batch.select("id", "label")).count() == 0
     assert spark.read.parquet(out_e).count() == emails.count()
+
+
+def test_training_query_selects_over_the_whole_grid(monkeypatch):
+    import inspect
+
+    from mailsieve.operators.train import train_job
+    from mailsieve.plans import q_score
+
+    asked = {}
+    monkeypatch.setattr(q_score, "corpus_view", lambda spark, sf: None)
+    monkeypatch.setattr(q_score, "train_job", lambda corpus, **kw: asked.update(kw) or {"report": None})
+    q_score.m09_train_logreg(None, "")
+    default = inspect.signature(train_job).parameters["reg_params"].default
+    assert asked.get("reg_params", default) == default
