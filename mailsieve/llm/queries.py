@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsieve.llm import ctw, decontaminate, kneserney, langid, linededup, packing, secrets, simhash, topk, urlfilter
+from mailsieve.llm import ctw, decontaminate, fingerprint, kneserney, langid, linededup, packing, secrets, simhash, topk, urlfilter
 from mailsieve.session import read_table
 
 #: the tokenizer file of the packing query
@@ -127,3 +127,24 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read_table(spark, sf_dir, "labels")
     trusted = labels.where((F.col("quality") == 1) & (F.col("toxic") == 0)).select("doc_id")
     return kneserney.classify(read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text"), trusted)
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, lead(t) OVER w AS after, first_value(t) OVER w AS first FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST)),
+e AS (SELECT doc_id, t, coalesce(after, first) AS nt, substr(t, 1, length(t) - length(t) // 2) || substr(coalesce(after, first), 1, length(t) // 2) AS et FROM n),
+x AS (SELECT *, list_transform([t, et, nt], lambda s: list_filter(string_split_regex(s, '[\x20\x09-\x0D]+'), lambda y: y <> '')) AS ws FROM e),
+h AS (SELECT doc_id, t, et, list_transform(ws, lambda w: list_sort(list_distinct(list_transform(
+  CASE WHEN len(w) = 0 THEN CAST([] AS BIGINT[]) ELSE range(1, greatest(len(w) - 4, 1) + 1) END,
+  lambda i: md5(array_to_string(list_slice(w, i, i + 4), ' '))[1:16])))[1:64]) AS s FROM x),
+u AS (SELECT *, list_sort(list_distinct(list_concat(s[1], s[2])))[1:64] AS ue, list_sort(list_distinct(list_concat(s[1], s[3])))[1:64] AS un FROM h)
+SELECT doc_id, length(t) AS n_chars, sha256(et) AS edited_sha256, array_to_string(s[1], '') AS fingerprint, array_to_string(s[2], '') AS edited_fingerprint,
+  CASE WHEN len(ue) = 0 THEN 1.0 ELSE len(list_filter(ue, lambda y: list_contains(s[1], y) AND list_contains(s[2], y))) / len(ue) END AS near_edited,
+  CASE WHEN len(un) = 0 THEN 1.0 ELSE len(list_filter(un, lambda y: list_contains(s[1], y) AND list_contains(s[3], y))) / len(un) END AS near_next
+FROM u
+"""
+
+
+@query(OP13_SQL)
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.digest(fingerprint.edited(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
