@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsieve.llm import ctw, decontaminate, fingerprint, kneserney, langid, linededup, packing, secrets, simhash, topk, urlfilter
+from mailsieve.llm import ctw, decontaminate, divergence, fingerprint, kneserney, langid, linededup, packing, secrets, simhash, topk, urlfilter
 from mailsieve.session import read_table
 
 #: the tokenizer file of the packing query
@@ -148,3 +148,32 @@ FROM u
 @query(OP13_SQL)
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.digest(fingerprint.edited(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS l, coalesce(source, '') AS s,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT r, l, s, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM d),
+c AS (SELECT l, s, w, count(*) AS n, count(DISTINCT r) AS docs FROM w GROUP BY l, s, w),
+k AS (SELECT l, w, sum(n) AS total FROM c GROUP BY l, w HAVING sum(docs) >= 30),
+v AS (SELECT l, count(*) AS v, sum(total) AS ln FROM k GROUP BY l),
+gn AS (SELECT l, s, sum(n) AS gn FROM c JOIN k USING (l, w) GROUP BY l, s),
+g AS (SELECT l, s, coalesce(gn, 0) AS gn, coalesce(v, 0) AS v, coalesce(ln, 0) AS ln
+  FROM (SELECT DISTINCT l, s FROM d) LEFT JOIN gn USING (l, s) LEFT JOIN v USING (l)),
+p AS (SELECT g.l AS l, g.s AS s, k.w AS w, coalesce(c.n, 0) AS n,
+    1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 5)) // (gn + 5 * v) AS p,
+    1 + (CAST(1000000000 AS HUGEINT) * (total + 5)) // (ln + 5 * v) AS q
+  FROM g JOIN k ON g.l = k.l LEFT JOIN c ON c.l = g.l AND c.s = g.s AND c.w = k.w),
+pairs AS (SELECT a.l AS l, a.s AS s, b.s AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.l = b.l AND a.w = b.w AND a.s <> b.s GROUP BY a.l, a.s, b.s),
+ways AS (SELECT a.l AS l, a.s AS s, b.s AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.l = b.l AND a.s <> b.s LEFT JOIN pairs x ON x.l = a.l AND x.s = a.s AND x.item = b.s),
+found AS (SELECT l, s, 'pair' AS part, item, value FROM ways UNION ALL SELECT l, s, 'term', w, p - q FROM p WHERE n > 0 AND p > q)
+SELECT l AS lang, s AS source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY l, s, part ORDER BY value DESC, item) AS rank FROM found) WHERE part = 'pair' OR rank <= 50
+"""
+
+
+@query(OP11_SQL)
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.digest(divergence.Audit(read_table(spark, sf_dir, "documents").select("text", "lang", "source")))
