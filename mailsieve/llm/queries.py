@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsieve.llm import ctw, decontaminate, divergence, fingerprint, kneserney, langid, linededup, packing, secrets, simhash, topk, urlfilter
+from mailsieve.llm import ctw, decontaminate, divergence, fingerprint, kneserney, langid, linededup, packing, prefixtrie, secrets, simhash, topk, urlfilter
 from mailsieve.session import read_table
 
 #: the tokenizer file of the packing query
@@ -177,3 +177,34 @@ SELECT l AS lang, s AS source, part, item, CAST(value AS BIGINT) AS value, CAST(
 @query(OP11_SQL)
 def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.digest(divergence.Audit(read_table(spark, sf_dir, "documents").select("text", "lang", "source")))
+
+
+OP12_SQL = r"""
+WITH ids AS (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL),
+hs AS (SELECT c, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], [CAST(0 AS BIGINT), 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 9 AS h FROM ids),
+t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+r AS (SELECT hs.c AS c, 0 AS part, pos, role, text FROM hs JOIN t ON t.c = hs.c - hs.c % 5 AND pos <= h
+  UNION ALL SELECT t.c, 1, pos, role, text FROM t JOIN hs ON t.c = hs.c AND pos > h),
+p AS (SELECT c, row_number() OVER w AS d, string_agg(md5(length(role) || ':' || role || text), '') OVER w AS path, strlen(text) AS b FROM r
+  WINDOW w AS (PARTITION BY c ORDER BY part, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+members AS (SELECT c, d, path, b FROM p UNION ALL SELECT c, 0, '', 0 FROM ids),
+nodes AS (SELECT path, d, min(c) AS c, count(*) AS n, max(b) AS b FROM members GROUP BY path, d),
+kids AS (SELECT path[1:32 * (d - 1)] AS path, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+full_nodes AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k ON k.path = n.path),
+sums AS (SELECT v.path AS path, sum((u.n - 1) * u.b) AS saved, count(*) FILTER (WHERE u.n_children = 0) AS leaves
+  FROM full_nodes v JOIN full_nodes u ON starts_with(u.path, v.path) GROUP BY v.path),
+ends AS (SELECT path, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS h FROM (
+  SELECT c, path, row_number() OVER (PARTITION BY c ORDER BY d DESC) AS k FROM members) WHERE k = 1 GROUP BY path)
+SELECT n.c AS conv_id, n.d AS depth, up.c AS parent_conv_id, n.n AS n_convs, n.n_children AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, coalesce(h, sha256('')) AS ends_sha256
+FROM full_nodes n JOIN sums s ON s.path = n.path LEFT JOIN nodes up ON n.d > 0 AND up.d = n.d - 1 AND up.path = n.path[1:32 * (n.d - 1)]
+LEFT JOIN ends e ON e.path = n.path
+"""
+
+
+@query(OP12_SQL)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = prefixtrie.rebuilt(prefixtrie.numbered(read_table(spark, sf_dir, "conversations")))
+    return prefixtrie.trie(turns, convs)
