@@ -65,7 +65,7 @@ def _add_up(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[at], *[np.add.reduceat(v[order], at) if len(at) else v for v in values]
 
 
-def _slice_counts(piece, lang, source_of, sources, times, source_names, lang_names):
+def _slice_counts(piece, lang, source_of, sources, times, source_names, lang_names, max_rows):
     """Tables (lang, source, term, n, d) of one slice of texts."""
     at = words(piece, LETTERS)
     if not len(at.starts):
@@ -80,7 +80,7 @@ def _slice_counts(piece, lang, source_of, sources, times, source_names, lang_nam
     key, n = np.unique(doc * len(names) + code, return_counts=True)
     doc, term = key // len(names) + piece.first, key % len(names)
     copies = source_of[doc + 1] - source_of[doc]
-    cut = np.searchsorted(np.cumsum(copies), np.arange(4 * ROWS, int(copies.sum()) + 4 * ROWS, 4 * ROWS))
+    cut = np.searchsorted(np.cumsum(copies), np.arange(4 * max_rows, int(copies.sum()) + 4 * max_rows, 4 * max_rows))
     for a, b in zip(np.concatenate([[0], cut]), np.concatenate([cut, [len(doc)]])):
         if a == b:
             continue
@@ -100,34 +100,37 @@ def _combined(held: list[pa.Table]) -> pa.Table:
     return out.rename_columns(["lang", "source", "term", "n", "d"])
 
 
-def _counts(batches):
+def _counts(max_rows: int):
     """(lang, source, term, n: occurrences, d: documents), combined within a task."""
-    held, rows, combined = [], 0, 0
-    for batch in batches:
-        lists = batch.column("sources")
-        flat = lists.flatten()
-        source = flat.field("source").cast(pa.large_string()).dictionary_encode()
-        lang = batch.column("lang").cast(pa.large_string()).dictionary_encode()
-        offsets = np.asarray(lists.offsets).astype(np.int64)
-        for piece in slices(batch.column("text")):
-            for table in _slice_counts(piece, lang.indices.to_numpy().astype(np.int64), offsets - offsets[0],
-                                       source.indices.to_numpy().astype(np.int64), np.asarray(flat.field("n")).astype(np.int64),
-                                       source.dictionary, lang.dictionary):
-                held.append(table)
-                rows += table.num_rows
-                if rows > 2 * combined + ROWS:
-                    held = [_combined(held)]
-                    rows = combined = held[0].num_rows
-                    if rows > ROWS:
-                        yield from held[0].combine_chunks().to_batches()
-                        held, rows, combined = [], 0, 0
-    if held:
-        yield from _combined(held).combine_chunks().to_batches()
+    def run(batches):
+        held, rows, combined = [], 0, 0
+        for batch in batches:
+            lists = batch.column("sources")
+            flat = lists.flatten()
+            source = flat.field("source").cast(pa.large_string()).dictionary_encode()
+            lang = batch.column("lang").cast(pa.large_string()).dictionary_encode()
+            offsets = np.asarray(lists.offsets).astype(np.int64)
+            for piece in slices(batch.column("text")):
+                for table in _slice_counts(piece, lang.indices.to_numpy().astype(np.int64), offsets - offsets[0],
+                                           source.indices.to_numpy().astype(np.int64), np.asarray(flat.field("n")).astype(np.int64),
+                                           source.dictionary, lang.dictionary, max_rows):
+                    held.append(table)
+                    rows += table.num_rows
+                    if rows > 2 * combined + max_rows:
+                        held = [_combined(held)]
+                        rows = combined = held[0].num_rows
+                        if rows > max_rows:
+                            yield from held[0].combine_chunks().to_batches()
+                            held, rows, combined = [], 0, 0
+        if held:
+            yield from _combined(held).combine_chunks().to_batches()
+
+    return run
 
 
 def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """(lang, term, n_docs, total, sources: array of (source, n)) of the terms that a language keeps."""
-    counted = collapse(docs, text, lang, source).mapInArrow(_counts, "lang string, source string, term string, n long, d long")
+    counted = collapse(docs, text, lang, source).mapInArrow(_counts(ROWS), "lang string, source string, term string, n long, d long")
     counted = counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
     kept = counted.groupBy("lang", "term").agg(F.sum("d").alias("n_docs"), F.sum("n").alias("total"),
                                                F.collect_list(F.struct("source", "n")).alias("sources"))
@@ -142,44 +145,47 @@ def _share(count: Column | str, n: str, v: str = "v") -> Column:
     return F.when(F.col(v) > 0, F.get(whole, F.lit(0))).otherwise(F.lit(0)).cast("long")
 
 
-def _both(batches):
+def _both(max_rows: int):
     """(lang, a, b, value): what terms of two sources change, summed over the terms of a task, a < b."""
-    held: dict[str, list] = {}
-    rows = 0
-
-    def emit():
-        for name, parts in held.items():
-            width = max(int(w) for w, _, _ in parts)
-            keys = np.concatenate([k // w * width + k % w for w, k, _ in parts])
-            keys, value = _add_up(keys, np.concatenate([v for _, _, v in parts]))
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys // width, pa.int32()),
-                                              pa.array(keys % width, pa.int32()), pa.array(value, pa.int64())], ["lang", "a", "b", "value"])
-        held.clear()
-
-    for batch in batches:
-        lang = batch.column("lang").dictionary_encode()
-        names, of_row = lang.dictionary.to_pylist(), lang.indices.to_numpy()
-        lists = batch.column("x")
-        flat = lists.flatten()
-        offsets = np.asarray(lists.offsets).astype(np.int64)
-        row = np.repeat(np.arange(len(of_row)), np.diff(offsets))
-        i, p, z = (np.asarray(flat.field(c)).astype(np.int64) for c in ("i", "p", "z"))
-        group, width = of_row[row], int(i.max(initial=0)) + 1
-        step = 1
-        while (near := np.flatnonzero(row[step:] == row[:-step])).size:  # entries that far apart in one term's list
-            a, b = near, near + step
-            change = np.abs(p[a] - p[b]) - np.abs(p[a] - z[b]) - np.abs(z[a] - p[b]) + np.abs(z[a] - z[b])
-            key, change = _add_up((group[a] * width + i[a]) * width + i[b], change)
-            for k, name in enumerate(names):
-                own = slice(*np.searchsorted(key, [k * width * width, (k + 1) * width * width]))
-                if key[own].size:
-                    held.setdefault(name, []).append((width, key[own] - k * width * width, change[own]))
-                    rows += key[own].size
-            if rows > 4 * ROWS:
-                yield from emit()
-                rows = 0
-            step += 1
-    yield from emit()
+    def run(batches):
+        held: dict[str, list] = {}
+        rows = 0
+
+        def emit():
+            for name, parts in held.items():
+                width = max(int(w) for w, _, _ in parts)
+                keys = np.concatenate([k // w * width + k % w for w, k, _ in parts])
+                keys, value = _add_up(keys, np.concatenate([v for _, _, v in parts]))
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys // width, pa.int32()),
+                                                  pa.array(keys % width, pa.int32()), pa.array(value, pa.int64())], ["lang", "a", "b", "value"])
+            held.clear()
+
+        for batch in batches:
+            lang = batch.column("lang").dictionary_encode()
+            names, of_row = lang.dictionary.to_pylist(), lang.indices.to_numpy()
+            lists = batch.column("x")
+            flat = lists.flatten()
+            offsets = np.asarray(lists.offsets).astype(np.int64)
+            row = np.repeat(np.arange(len(of_row)), np.diff(offsets))
+            i, p, z = (np.asarray(flat.field(c)).astype(np.int64) for c in ("i", "p", "z"))
+            group, width = of_row[row], int(i.max(initial=0)) + 1
+            step = 1
+            while (near := np.flatnonzero(row[step:] == row[:-step])).size:  # entries that far apart in one term's list
+                a, b = near, near + step
+                change = np.abs(p[a] - p[b]) - np.abs(p[a] - z[b]) - np.abs(z[a] - p[b]) + np.abs(z[a] - z[b])
+                key, change = _add_up((group[a] * width + i[a]) * width + i[b], change)
+                for k, name in enumerate(names):
+                    own = slice(*np.searchsorted(key, [k * width * width, (k + 1) * width * width]))
+                    if key[own].size:
+                        held.setdefault(name, []).append((width, key[own] - k * width * width, change[own]))
+                        rows += key[own].size
+                if rows > 4 * max_rows:
+                    yield from emit()
+                    rows = 0
+                step += 1
+        yield from emit()
+
+    return run
 
 
 class Audit:
@@ -205,7 +211,7 @@ class Audit:
     def pairs(self) -> DataFrame:
         """(lang, source, item, value): every two sources of a language, both ways round."""
         lists = self.counts.groupBy("lang", "term").agg(F.sort_array(F.collect_list(F.struct("i", "p", "z"))).alias("x"))
-        both = lists.select("lang", "x").mapInArrow(_both, "lang string, a int, b int, value long")
+        both = lists.select("lang", "x").mapInArrow(_both(ROWS), "lang string, a int, b int, value long")
         values = self.counts.groupBy("lang", "i", "p").agg(F.count(F.lit(1)).alias("n"))
         values = values.groupBy("lang", "i").agg(F.collect_list(F.struct("p", "n")).alias("have"))
         others = self.groups.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "z"))).alias("others"))

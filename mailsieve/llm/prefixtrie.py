@@ -110,7 +110,7 @@ class SlotTable:
 class _Paths:
     """The nodes on the paths of a shard's segments, one row per segment and depth (and the root on first segments)."""
 
-    def __init__(self, batch: pa.RecordBatch):
+    def __init__(self, batch: pa.RecordBatch, segment: int):
         seg = batch.column("seg").to_numpy().astype(np.int64)
         items = batch.column("items")
         flat = items.flatten()
@@ -119,7 +119,7 @@ class _Paths:
         rows = n + rooted
         self.first = np.cumsum(rows) - rows
         #: depth of a segment's first row, and its last row
-        self.top = np.where(rooted == 1, 0, seg * SEGMENT + 1)
+        self.top = np.where(rooted == 1, 0, seg * segment + 1)
         self.last = self.first + rows - 1
         total = int(rows.sum())
         self.seg_of = np.repeat(np.arange(len(seg)), rows)
@@ -156,14 +156,14 @@ class _Paths:
         return out
 
 
-def _shards(batches):
-    """Batches of at most about SHARD_ROWS path rows."""
+def _shards(batches, shard_rows: int):
+    """Batches of at most about ``shard_rows`` path rows."""
     for batch in batches:
         ends = np.asarray(batch.column("items").offsets).astype(np.int64)
         ends = (ends - ends[0])[1:] + np.arange(1, batch.num_rows + 1)
         at = 0
         while at < batch.num_rows:
-            full = (ends[at - 1] if at else 0) + SHARD_ROWS
+            full = (ends[at - 1] if at else 0) + shard_rows
             stop = max(at + 1, int(np.searchsorted(ends, full, "right")))
             yield pa.RecordBatch.from_arrays([pa.concat_arrays([c.slice(at, stop - at)]) for c in batch.columns], schema=batch.schema)
             at = stop
@@ -176,47 +176,53 @@ def _signed(x: np.ndarray) -> pa.Array:
 NODE_PARTS = "lo long, hi long, depth long, parent_lo long, parent_hi long, turn_hash long, size long, n long, conv long"
 
 
-def _count_nodes(batches):
+def _count_nodes(segment: int, shard_rows: int):
     """NODE_PARTS: per shard and digest, the members and the smallest of them."""
-    for shard in _shards(batches):
-        p = _Paths(shard)
-        conv = shard.column("conv").to_numpy().astype(np.int64)[p.seg_of]
-        least = np.full(p.table.n, np.iinfo(np.int64).max)
-        np.minimum.at(least, p.slot, conv)
-        same = [p.one_per_slot(x) for x in (p.depth, p.parent_lo, p.parent_hi, p.turn_hash, p.size)]
-        columns = [p.table.lo, p.table.hi, *same, np.bincount(p.slot, minlength=p.table.n).astype(np.int64), least]
-        yield pa.RecordBatch.from_arrays([_signed(x) for x in columns], [x.split()[0] for x in NODE_PARTS.split(", ")])
+    def run(batches):
+        for shard in _shards(batches, shard_rows):
+            p = _Paths(shard, segment)
+            conv = shard.column("conv").to_numpy().astype(np.int64)[p.seg_of]
+            least = np.full(p.table.n, np.iinfo(np.int64).max)
+            np.minimum.at(least, p.slot, conv)
+            same = [p.one_per_slot(x) for x in (p.depth, p.parent_lo, p.parent_hi, p.turn_hash, p.size)]
+            columns = [p.table.lo, p.table.hi, *same, np.bincount(p.slot, minlength=p.table.n).astype(np.int64), least]
+            yield pa.RecordBatch.from_arrays([_signed(x) for x in columns], [x.split()[0] for x in NODE_PARTS.split(", ")])
 
+    return run
 
-def _sum_subtrees(batches):
+
+def _sum_subtrees(segment: int, shard_rows: int):
     """(lo, hi, saved, leaves): per shard and digest, what the shard's conversations bring in from its subtree."""
-    for shard in _shards(batches):
-        p = _Paths(shard)
-        parent = p.table.slots(p.parent_lo, p.parent_hi)
-        # later segments hand on at the end of the segment before
-        parent[(p.depth == 0) | ((p.depth > 1) & (p.depth % SEGMENT == 1))] = -1
-        up = np.full(p.table.n, -1)
-        up[p.slot] = parent
-        depth = p.one_per_slot(p.depth)
-        own = shard.column("own")
-        flat = own.flatten()
-        of = np.repeat(np.arange(shard.num_rows), np.diff(np.asarray(own.offsets)))
-        at = p.slot[p.first[of] + np.asarray(flat.field("depth")).astype(np.int64) - p.top[of]] if len(of) else np.zeros(0, np.int64)
-        sums = []
-        for name in ("saved", "leaves"):
-            flat_sum = np.zeros(p.table.n, np.int64)
-            np.add.at(flat_sum, at, np.asarray(flat.field(name)).astype(np.int64))
-            np.add.at(flat_sum, p.slot[p.last], shard.column(f"later_{name}").to_numpy().astype(np.int64))
-            sums.append(flat_sum)
-        order = np.argsort(-depth, kind="stable")
-        cut = np.flatnonzero(np.diff(depth[order])) + 1
-        for level in np.split(order, cut):
-            level = level[up[level] >= 0]
-            for flat_sum in sums:
-                np.add.at(flat_sum, up[level], flat_sum[level])
-        some = np.flatnonzero((sums[0] != 0) | (sums[1] != 0))
-        columns = [p.table.lo, p.table.hi, *sums]
-        yield pa.RecordBatch.from_arrays([_signed(x[some]) for x in columns], ["lo", "hi", "saved", "leaves"])
+    def run(batches):
+        for shard in _shards(batches, shard_rows):
+            p = _Paths(shard, segment)
+            parent = p.table.slots(p.parent_lo, p.parent_hi)
+            # later segments hand on at the end of the segment before
+            parent[(p.depth == 0) | ((p.depth > 1) & (p.depth % segment == 1))] = -1
+            up = np.full(p.table.n, -1)
+            up[p.slot] = parent
+            depth = p.one_per_slot(p.depth)
+            own = shard.column("own")
+            flat = own.flatten()
+            of = np.repeat(np.arange(shard.num_rows), np.diff(np.asarray(own.offsets)))
+            at = p.slot[p.first[of] + np.asarray(flat.field("depth")).astype(np.int64) - p.top[of]] if len(of) else np.zeros(0, np.int64)
+            sums = []
+            for name in ("saved", "leaves"):
+                flat_sum = np.zeros(p.table.n, np.int64)
+                np.add.at(flat_sum, at, np.asarray(flat.field(name)).astype(np.int64))
+                np.add.at(flat_sum, p.slot[p.last], shard.column(f"later_{name}").to_numpy().astype(np.int64))
+                sums.append(flat_sum)
+            order = np.argsort(-depth, kind="stable")
+            cut = np.flatnonzero(np.diff(depth[order])) + 1
+            for level in np.split(order, cut):
+                level = level[up[level] >= 0]
+                for flat_sum in sums:
+                    np.add.at(flat_sum, up[level], flat_sum[level])
+            some = np.flatnonzero((sums[0] != 0) | (sums[1] != 0))
+            columns = [p.table.lo, p.table.hi, *sums]
+            yield pa.RecordBatch.from_arrays([_signed(x[some]) for x in columns], ["lo", "hi", "saved", "leaves"])
+
+    return run
 
 
 def _hash_members(batches):
@@ -274,7 +280,7 @@ def trie(turns: DataFrame, convs: DataFrame | None = None) -> DataFrame:
     convs = turns.select("conv") if convs is None else convs
     segments = _segments(turns, convs.select("conv").distinct())
     paths = ["conv", "seg", "items", "before_lo", "before_hi"]
-    parts = segments.select(*paths).mapInArrow(_count_nodes, NODE_PARTS)
+    parts = segments.select(*paths).mapInArrow(_count_nodes(SEGMENT, SHARD_ROWS), NODE_PARTS)
     nodes = parts.groupBy("lo", "hi").agg(F.sum("n").alias("n"), F.min("conv").alias("conv"), *[
         _same(c) for c in ("depth", "parent_lo", "parent_hi", "turn_hash", "size")]).checkpoint()
     key = ["lo", "hi"]
@@ -292,7 +298,7 @@ def trie(turns: DataFrame, convs: DataFrame | None = None) -> DataFrame:
         "conv", "seg", *[F.sum(c).over(after).alias(f"later_{c}") for c in ("saved", "leaves")])
     whole = segments.select(*paths).join(own.select("conv", "seg", "own"), ["conv", "seg"], "left").join(later, ["conv", "seg"], "left")
     whole = whole.withColumn("own", F.coalesce("own", F.array().cast(dict(own.dtypes)["own"]))).fillna(0, ["later_saved", "later_leaves"])
-    sums = whole.mapInArrow(_sum_subtrees, "lo long, hi long, saved long, leaves long").groupBy(*key).agg(
+    sums = whole.mapInArrow(_sum_subtrees(SEGMENT, SHARD_ROWS), "lo long, hi long, saved long, leaves long").groupBy(*key).agg(
         F.sum("saved").alias("saved_tokens"), F.sum("leaves").alias("n_leaves"))
     ends = segments.where("last").select(F.col("end_lo").alias("lo"), F.col("end_hi").alias("hi"), "conv")
     chunk = F.floor(F.col("conv") / MEMBERS).alias("chunk")
