@@ -127,6 +127,81 @@ def m09_train_logreg(spark, sf):
     return res["report"]
 
 
+SOFTMAX = {"epochs": 3, "batches": 3, "lr": 0.05, "weight_decay": 1e-4}
+
+
+def _softmax_sql() -> str:
+    """The trainer's steps restated: one set of CTEs a batch, then the recall of every epoch on the validation rows."""
+    n, lr, decay = SOFTMAX["batches"], SOFTMAX["lr"], SOFTMAX["weight_decay"]
+    sql = FEAT_WORD_SQL + f""",
+cls AS (SELECT unnest(['phishing', 'safe', 'spam']) AS label),
+cw AS (SELECT label, count(*) AS c FROM split WHERE split = 'train' GROUP BY label),
+cwt AS (SELECT label, (SELECT sum(c) FROM cw) / ((SELECT count(*) FROM cw) * CAST(c AS DOUBLE)) AS weight FROM cw),
+docs AS MATERIALIZED (SELECT doc_id, s.split AS split, s.label AS y, weight, CAST('0x' || md5('42:' || CAST(doc_id AS VARCHAR))[1:8] AS BIGINT) % {n} AS b
+  FROM split s LEFT JOIN cwt ON cwt.label = s.label),
+rows0 AS MATERIALIZED (SELECT doc_id, ns, term, value FROM feat UNION ALL SELECT doc_id, 'bias', '', 1.0 FROM docs),
+tot AS (SELECT b, sum(weight) AS total FROM docs WHERE split = 'train' GROUP BY b),
+s0 AS (SELECT ns, term, label, CAST(0 AS DOUBLE) AS w, CAST(0 AS DOUBLE) AS m, CAST(0 AS DOUBLE) AS v
+  FROM (SELECT ns, term FROM vocab UNION ALL SELECT 'bias', '') CROSS JOIN cls)"""
+
+    def logits(state: str, where: str) -> str:
+        return (f"SELECT r.doc_id AS doc_id, s.label AS label, sum(value * w) AS z FROM rows0 r JOIN docs USING (doc_id) "
+                f"JOIN {state} s ON s.ns = r.ns AND s.term = r.term WHERE {where} GROUP BY 1, 2")
+
+    t = 0
+    for epoch in range(1, SOFTMAX["epochs"] + 1):
+        for b in range(n):
+            t += 1
+            sql += f""",
+z{t} AS MATERIALIZED ({logits(f's{t - 1}', f"split = 'train' AND b = {b}")}),
+e{t} AS (SELECT doc_id, label, exp(z - max(z) OVER (PARTITION BY doc_id)) AS e FROM z{t}),
+d{t} AS MATERIALIZED (SELECT doc_id, label, weight * (e / sum(e) OVER (PARTITION BY doc_id) - CASE WHEN y = label THEN 1.0 ELSE 0.0 END) / total AS d
+  FROM e{t} JOIN docs USING (doc_id) JOIN tot USING (b)),
+g{t} AS (SELECT ns, term, label, sum(value * d) AS g FROM rows0 JOIN d{t} USING (doc_id) GROUP BY 1, 2, 3),
+n{t} AS (SELECT ns, term, label, w, m * 0.9::DOUBLE + coalesce(g, 0) * 0.1::DOUBLE AS m, v * 0.999::DOUBLE + coalesce(g, 0) * coalesce(g, 0) * 0.001::DOUBLE AS v
+  FROM s{t - 1} LEFT JOIN g{t} USING (ns, term, label)),
+s{t} AS MATERIALIZED (SELECT ns, term, label, w * (1 - {lr * decay}::DOUBLE) -
+  {lr}::DOUBLE * (m / (1 - pow(0.9::DOUBLE, {t}))) / (sqrt(v / (1 - pow(0.999::DOUBLE, {t}))) + 1e-8::DOUBLE) AS w, m, v FROM n{t})"""
+        sql += f""",
+v{epoch} AS ({logits(f's{t}', "split = 'val'")}),
+p{epoch} AS (SELECT doc_id, arg_min(label, (-z, label)) AS pred FROM (SELECT doc_id, label, round(z, 12) AS z FROM v{epoch}) GROUP BY doc_id),
+r{epoch} AS (SELECT {epoch} AS epoch, avg(recall) AS macro_recall FROM (SELECT c.label, coalesce(avg(CAST(pred = y AS DOUBLE)), 0.0) AS recall
+  FROM cls c LEFT JOIN (SELECT * FROM docs JOIN p{epoch} USING (doc_id)) x ON x.y = c.label GROUP BY c.label))"""
+    return sql
+
+
+def _softmax(spark, sf):
+    """M9: AdamW steps over the training split's TF-IDF rows, three epochs of three batches."""
+    from mailsieve.operators import features as FE
+    from mailsieve.operators import softmax
+
+    s = split_rows(spark, sf).checkpoint()
+    tr, va = (s.where(F.col("split") == x) for x in ("train", "val"))
+    vocab, f_tr, f_va = FE.fit_transform(tr, va, max_features={"word": SMALL_CAPS["word"]})
+    return softmax.train(f_tr, tr, vocab, f_va, va, classes=CLASSES, **SOFTMAX)
+
+
+_SOFTMAX_STEPS = SOFTMAX["epochs"] * SOFTMAX["batches"]
+
+
+@register("m09_train_softmax", _softmax_sql() + f" SELECT ns, term, label, round(w, 6) AS weight FROM s{_SOFTMAX_STEPS}")
+def m09_train_softmax(spark, sf):
+    """Every weight after the last epoch."""
+    last = _softmax(spark, sf)["last"]
+    names = F.array(*[F.lit(c) for c in CLASSES])
+    return last.select("ns", "term", F.posexplode("w").alias("i", "weight")).select(
+        "ns", "term", names[F.col("i")].alias("label"), F.round("weight", 6).alias("weight"))
+
+
+@register("m09_softmax_epochs", _softmax_sql() + ", r AS (" + " UNION ALL ".join(f"SELECT * FROM r{e}" for e in range(1, SOFTMAX["epochs"] + 1)) + """)
+SELECT epoch, round(macro_recall, 6) AS macro_recall, epoch = (SELECT min(epoch) FROM r WHERE macro_recall = (SELECT max(macro_recall) FROM r)) AS chosen FROM r""")
+def m09_softmax_epochs(spark, sf):
+    """The selection score of every epoch, and the epoch whose state is the model."""
+    model = _softmax(spark, sf)
+    rows = [(e, round(float(score), 6), e == model["best_epoch"]) for e, score in model["history"]]
+    return spark.createDataFrame(rows, "epoch int, macro_recall double, chosen boolean")
+
+
 @register("a17_thresholds_json", """SELECT doc_id, CAST(round(0.5 + (doc_id % 40) / 100.0, 2) AS DECIMAL(3,2)) AS phishing_tau FROM documents""")
 def a17_thresholds_json(spark, sf):
     """Threshold JSON documents derived per row; 'chosen' wins, else the max numeric."""
