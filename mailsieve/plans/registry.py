@@ -37,4 +37,5 @@ def load_all() -> None:
         q_metrics,
         q_scans,
         q_score,
+        q_streams,
     )
