@@ -1,6 +1,6 @@
 """Operator 11: source divergence audit, with duplicate-text collapse.
 
-Identical texts of a language are grouped (by SHA-256) with how often every
+Identical texts of a language are grouped (by 128 bits of SHA-256) with how often every
 source has them, and each is tokenized once; its counts enter every source's
 weighted by that multiplicity.  Terms are runs of ASCII letters and of anything beyond ASCII, A-Z
 lower-cased.  A language keeps the V terms in at least ``min_docs`` of its documents.  Every
@@ -50,7 +50,7 @@ LETTERS = byte_class((0x61, 0x7A), (0x80, 0xFF))
 def collapse(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """(lang, text, sources: array of (source, n)): every distinct text of a language once."""
     flat = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))])
-    flat = flat.withColumn("h", F.unhex(F.sha2("text", 256)))
+    flat = flat.withColumn("h", F.unhex(F.substring(F.sha2("text", 256), 1, 32)))
     copies = flat.groupBy("lang", "h", "source").agg(F.count(F.lit(1)).alias("n"))
     copies = copies.groupBy("lang", "h").agg(F.collect_list(F.struct("source", "n")).alias("sources"))
     once = flat.groupBy("lang", "h").agg(F.first("text").alias("text"))
@@ -131,7 +131,8 @@ def _counts(max_rows: int):
 def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """(lang, term, n_docs, total, sources: array of (source, n)) of the terms that a language keeps."""
     counted = collapse(docs, text, lang, source).mapInArrow(_counts(ROWS), "lang string, source string, term string, n long, d long")
-    counted = counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    # combined in the tasks already: one shuffle serves both sums, with at most a row a task and source for a term
+    counted = counted.repartition("lang", "term").groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
     kept = counted.groupBy("lang", "term").agg(F.sum("d").alias("n_docs"), F.sum("n").alias("total"),
                                                F.collect_list(F.struct("source", "n")).alias("sources"))
     return kept.where(F.col("n_docs") >= min_docs).checkpoint()
