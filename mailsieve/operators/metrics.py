@@ -5,15 +5,13 @@ Scale notes
   aggregation on every map task, a one-row result), then reshaped.
 * Curve tables need running sums in score order.  An unpartitioned window
   would pull every row into one task, so ``cumulative_counts``:
-    1. reduces to one row per distinct score (combinable aggregate);
-    2. buckets scores on the logit scale into ``n_buckets`` ranges, so the
-       bucket table is bounded (65,536 rows by default) no matter the data;
-    3. prefix-sums the bucket totals (a window over that bounded table) and
+    1. reduces to one row per distinct score (combinable aggregate), written once;
+    2. sketches their quantiles and cuts them into ``n_buckets`` ranges of about equally many
+       distinct scores, wherever the scores lie (uniform, saturated or all the same);
+    3. prefix-sums the bucket totals (a window over at most ``n_buckets`` rows) and
        joins the offsets back on the bucket key;
     4. runs the per-bucket window and adds the offset.
-  Probabilities cluster near 0 and 1; on the logit scale they spread out, so
-  no bucket holds a large share of the distinct scores in practice.
-* Stratified split uses the same idea (hash buckets per label), never one
+* Stratified split uses hash buckets per label, never one
   window per label.
 """
 
@@ -23,8 +21,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailsieve.functions.text import _c
+from mailsieve.operators.ranges import quantile_bounds, range_of
+from mailsieve.session import checkpoint_dir
 
-N_BUCKETS = 65536
+N_BUCKETS = 1024
 SEED_DEFAULT = 42
 
 
@@ -139,19 +139,6 @@ def with_sample_weight(df: DataFrame, weights: DataFrame, label: str = "label",
 
 # --- curves -------------------------------------------------------------------------
 
-def score_bucket(score, n_buckets: int = N_BUCKETS) -> Column:
-    """Order-preserving bucket of a probability, fine at both ends.
-
-    Half of the buckets divide 0..1/2 by octaves (down to the smallest double), the other half 1/2..1 by
-    octaves of 1 - p, so scores of a saturated model spread over as many buckets as doubles can tell apart.
-    """
-    p = F.least(F.greatest(_c(score).cast("double"), F.lit(0.0)), F.lit(1.0))
-    half = n_buckets // 2
-    low = F.floor((F.log2(F.greatest(p, F.lit(5e-324))) + 1075.0) / 1074.0 * (half - 1))
-    high = half + F.floor((-F.log2(F.greatest(F.lit(1.0) - p, F.lit(2.0**-54))) - 1.0) / 53.0 * (half - 1))
-    return F.least(F.when(p < 0.5, low).otherwise(high), F.lit(n_buckets - 1)).cast("int")
-
-
 def score_counts(df: DataFrame, score: str, y: str) -> DataFrame:
     """One row per distinct score: positives and negatives at that score."""
     return df.groupBy(F.col(score).alias("score")).agg(
@@ -159,10 +146,19 @@ def score_counts(df: DataFrame, score: str, y: str) -> DataFrame:
         F.sum((F.lit(1) - F.col(y)).cast("long")).alias("neg"))
 
 
+def bucketed_counts(df: DataFrame, score: str, y: str, n_buckets: int = N_BUCKETS) -> DataFrame:
+    """``score_counts`` with an order-preserving ``bucket`` of about equally many distinct scores (null scores: the lowest)."""
+    checkpoint_dir(df.sparkSession)
+    counts = score_counts(df, score, y).checkpoint()
+    bounds = quantile_bounds(counts, "score", n_buckets)
+    # a bound is the greatest score of its range
+    return counts.withColumn("bounds", bounds).withColumn("bucket", range_of(F.col("score"), F.col("bounds"), n_buckets)).drop("bounds")
+
+
 def cumulative_counts(df: DataFrame, score: str, y: str, n_buckets: int = N_BUCKETS) -> DataFrame:
     """For each distinct score s: tp/fp = positives/negatives with score >= s,
     plus totals P and N and the score's own pos and neg on every row.  See the module notes for the plan shape."""
-    sc = score_counts(df, score, y).withColumn("bucket", score_bucket("score", n_buckets))
+    sc = bucketed_counts(df, score, y, n_buckets)
     tot = sc.groupBy("bucket").agg(F.sum("pos").alias("b_pos"), F.sum("neg").alias("b_neg"))
     wall = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     wtot = Window.partitionBy()

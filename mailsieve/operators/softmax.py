@@ -81,6 +81,17 @@ def _update(state: DataFrame, gradient: DataFrame, t: int, k: int, lr: float, we
     return x.select("ns", "term", F.zip_with("w", move, lambda w, d: w * (1 - lr * weight_decay) - d * lr).alias("w"), "m", "v")
 
 
+def _partitioned(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """Rows written once, partitioned and sorted by key in a way that later plans know of (an adaptive plan doesn't tell)."""
+    conf, name = rows.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return rows.repartition(n, key).sortWithinPartitions(key).checkpoint()
+    finally:
+        conf.set(name, before)
+
+
 def macro_recall_score(scored: DataFrame, classes) -> float:
     """Mean recall over the classes of (y, pred), the multiclass selection score."""
     return M.macro_recall(scored, "y", "pred", list(classes)).first()["macro_recall"] or 0.0
@@ -114,12 +125,13 @@ def train(features: DataFrame, labels: DataFrame, vocab: DataFrame, val_features
     spark = labels.sparkSession
     folder = f"{checkpoint_dir(spark).rstrip('/')}/softmax-{uuid.uuid4().hex}"
     k, n = len(classes), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    known = labels.select(key, "label").where(F.col("label").isin(*classes))
+    known = labels.select(key, "label").where(F.col("label").isin(*classes) & F.col(key).isNotNull())
     weighted = M.with_sample_weight(known, M.class_weights(known, "label", class_weight))
     weighted = weighted.withColumn("batch", batch_of(key, seed, batches))
-    _rows(features, weighted, key, classes).write.partitionBy("batch").parquet(f"{folder}/rows")
-    stored = spark.read.parquet(f"{folder}/rows")
-    parts = [stored.where(F.col("batch") == b).repartition(n, key).sortWithinPartitions(key).checkpoint() for b in range(batches)]
+    rows = _rows(features, weighted, key, classes)
+    rows.write.partitionBy("batch").parquet(f"{folder}/rows")
+    stored = spark.read.schema(rows.schema).parquet(f"{folder}/rows")
+    parts = [_partitioned(stored.where(F.col("batch") == b), key, n) for b in range(batches)]
     # one number a batch
     totals = {r["batch"]: r["total"] for r in stored.where(F.col("ns") == BIAS).groupBy("batch").agg(F.sum("weight").alias("total")).collect()}
     held = val_labels.select(key, "label").withColumn("weight", F.lit(1.0)).withColumn("batch", F.lit(0))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from mailsieve.functions import signals as S
 from mailsieve.functions import text as T
 from mailsieve.operators import scans as SC
 from mailsieve.operators.classify import parsed_from_view
+from mailsieve.operators.scan_store import ScanStore
 from mailsieve.plans.registry import register
 from mailsieve.plans.sqlviews import EMAIL_VIEW, rules_cte, sql_auth, sql_domain, sql_extract_urls, sql_iso, sql_short_id
+from mailsieve.session import checkpoint_dir
 from mailsieve.sources.tables import email_view, pasted_texts
 
 CUTOFF = "2024-01-15 00:00:00"  # e-mails seen before this instant form the stored table
@@ -90,6 +94,13 @@ def _scans(spark, sf):
     return SC.scan_view(spark, sf)[0]
 
 
+def _stored(spark, sf) -> ScanStore:
+    """The scans of the view, stored below the shared checkpoint folder."""
+    store = ScanStore(spark, f"{checkpoint_dir(spark).rstrip('/')}/scans-{uuid.uuid4().hex}")
+    store.append(_scans(spark, sf))
+    return store
+
+
 @register("m05_scan_batch", scans_sql() + " " + _FLAT_SQL)
 def m05_scan_batch(spark, sf):
     return _flat(_scans(spark, sf))
@@ -146,7 +157,8 @@ def c04_cascade_delete(spark, sf):
 
 @register("c05_point_lookup", scans_sql() + " " + _FLAT_SQL.replace("FROM scans", "FROM scans WHERE id = 42"))
 def c05_point_lookup(spark, sf):
-    return _flat(_scans(spark, sf).where(F.col("id") == 42))
+    """C5 on stored scans: partition and row-group pruning by the rank index, the id pushed down to the bloom filter."""
+    return _flat(_stored(spark, sf).lookup(42))
 
 
 @register("f01_page_scans", scans_sql() + """, cnt AS (SELECT count(*) AS n FROM scans),
@@ -154,7 +166,8 @@ pg AS (SELECT least(3, greatest(1, CAST(ceil(n / 10.0) AS BIGINT))) AS page FROM
 ranked AS (SELECT id, email_id, label, round(confidence, 6) AS confidence, row_number() OVER (ORDER BY id DESC) AS rn FROM scans)
 SELECT id, email_id, label, confidence FROM ranked, pg WHERE rn > (page - 1) * 10 AND rn <= page * 10""")
 def f01_page_scans(spark, sf):
-    rows = SC.page_by_rank(_scans(spark, sf), page=3, page_size=10)
+    """F1 on stored scans: the page is one range of the rank index."""
+    rows, _ = _stored(spark, sf).page(3, 10)
     return rows.select("id", "email_id", "label", F.round("confidence", 6).alias("confidence"))
 
 
@@ -185,7 +198,8 @@ def b07_label_filter(spark, sf):
 @register("b08_date_range", scans_sql() + """ SELECT id, label FROM scans
   WHERE created_at >= TIMESTAMP '2024-01-10' AND created_at < TIMESTAMP '2024-01-12' + INTERVAL 1 DAY""")
 def b08_date_range(spark, sf):
-    return SC.filter_scans(_scans(spark, sf), date_from="2024-01-10", date_to="2024-01-12").select("id", "label")
+    """B8 on stored scans: the dates are a partition filter."""
+    return _stored(spark, sf).between("2024-01-10", "2024-01-12").select("id", "label")
 
 
 @register("b12_confidence_check", scans_sql() + """ SELECT id, round(confidence + 1.0, 6) AS confidence FROM scans
@@ -243,9 +257,6 @@ def b17_scan_pasted_texts(spark, sf):
 @register("t01_stream_scan", scans_sql() + " SELECT id, label FROM scans")
 def t01_stream_scan(spark, sf):
     """T1 + T2: ``documents`` drained as a stream into tables in the shared checkpoint folder; equal to the batch scan."""
-    import uuid
-
-    from mailsieve.session import checkpoint_dir
     from mailsieve.streaming.scan_stream import start_view_stream
 
     out = f"{checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
