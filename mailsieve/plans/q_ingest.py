@@ -24,24 +24,28 @@ def _doc_id():
     return F.regexp_extract("path", r"(\d+)$", 1).cast("long").alias("doc_id")
 
 
-# M3 body of a message form: HTML alone is read as text (white space collapsed)
-_FORM = "doc_id % 5"
-_BODY = f"CASE WHEN {_FORM} = 3 THEN {sql_normalize('body_text', lower=False)} ELSE body_text END"
+# M3 body of a message form: HTML alone is read as text (white space collapsed), the last forms add or leave out chars
+_FORM = "doc_id % 9"
+_ASCII = r"regexp_replace(body_text, '[^\x00-\x7F]', '', 'g')"
+_BODY = f"""CASE {_FORM} WHEN 3 THEN {sql_normalize('body_text', lower=False)} WHEN 5 THEN body_text || chr(1) || ' end'
+  WHEN 6 THEN body_text || chr(10) || 'boundary=zz' || chr(10) || '--zz' || chr(10) || 'after'
+  WHEN 7 THEN 'It’s 5 € ' || {_ASCII} WHEN 8 THEN 'Привет ' || {_ASCII} ELSE body_text END"""
 _CORPUS = sql_strip(_BODY)
-_TYPE = f"CASE {_FORM} WHEN 2 THEN 'multipart/mixed' WHEN 3 THEN 'text/html' ELSE 'text/plain' END"
+_TYPE = f"CASE {_FORM} WHEN 2 THEN 'multipart/mixed' WHEN 5 THEN 'multipart/mixed' WHEN 6 THEN 'multipart/mixed' WHEN 3 THEN 'text/html' ELSE 'text/plain' END"
 _HTML = ("'<html><!-- a > b --><body><p>' || replace(replace(replace(body_text, '&', '&amp;'), '<', '&lt;'), '>', '&#62;') "
          "|| '</p></body></html>'")
 
 
 @register("m03_parse_rfc822", f"""WITH {EMAIL_VIEW}, m AS (SELECT *, {_BODY} AS body,
   CASE WHEN {_FORM} IN (2, 3) THEN {_HTML} ELSE '' END AS html FROM email)
-SELECT doc_id, subject, sender, message_id, reply_to,
+SELECT doc_id, CASE WHEN {_FORM} = 8 THEN 'Привет ' ELSE '' END || subject AS subject, sender, message_id, reply_to,
   {sql_auth('auth_results', 'spf')} AS spf_result, {sql_auth('auth_results', 'dkim')} AS dkim_result,
   {sql_auth('auth_results', 'dmarc')} AS dmarc_result,
   '1.2.3.' || CAST(doc_id % 250 AS VARCHAR) || ',10.0.0.' || CAST(doc_id % 3 AS VARCHAR) AS received_ips,
   array_to_string(list_sort(list_distinct(list_concat({sql_extract_urls('body')}, {sql_extract_urls('html')}))), ' ') AS urls,
   CASE WHEN {_FORM} = 3 THEN 0 ELSE 1 END AS has_text, CASE WHEN {_FORM} IN (2, 3) THEN 1 ELSE 0 END AS has_html,
-  CASE WHEN {_FORM} = 2 THEN 1 ELSE 0 END AS attachments_count, CASE WHEN {_FORM} = 2 THEN 'a b.pdf' ELSE '' END AS attachments,
+  CASE WHEN {_FORM} IN (2, 5, 6) THEN 1 ELSE 0 END AS attachments_count,
+  CASE {_FORM} WHEN 2 THEN 'a b.pdf' WHEN 5 THEN 'long name.txt' WHEN 6 THEN 'naïve b.txt' ELSE '' END AS attachments,
   sha256(body) AS body_sha FROM m""")
 def m03_parse_rfc822(spark, sf):
     p = ML.parse_rfc822(_messages(spark, sf))
