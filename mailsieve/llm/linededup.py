@@ -7,13 +7,13 @@ covered by runs that both have.  Every run that two or more documents have is li
 is in a third of all documents; no pairs within a group are made.  All lines of both documents of a pair are then fetched
 and aligned.  So a line goes if and only if it lies in a block of ``min_words`` words that any earlier document has too.
 
-Each pair is aligned by patience diff: lines that occur once in both are the
+Each pair is aligned by patience diff over its runs (a run is what plain diff calls a line, so whatever is aligned has
+``min_words`` words): runs that occur once in both are the
 anchors, the longest increasing chain of anchors fixes the order, matches
-grow from the chain through neighbouring equal lines, and the gaps between them are aligned in the same way.  What the
-owner still has of the remainder (further copies, passages in another order) is aligned run by run.  Runs of aligned lines
-are blocks.  A block is deleted from the later document if it has at least
-``min_words`` words, whatever its lines' frequency and the table's size; shorter ones (headings, licence lines) stay.
-``long_words`` and ``rare_docs`` are accepted for older calls and decide nothing.
+grow from the chain through neighbouring runs, and the gaps between them are aligned in the same way.  The remainder
+(passages in another order) is aligned again until nothing is left to match; further copies of an aligned run count as aligned.
+Aligned runs are blocks, and exactly these are deleted from the later document, whatever their lines' frequency
+and the table's size; shorter ones (headings, licence lines) stay.
 
 Scale: the lines are hashed where the text is read; what is written is a narrow row of line hashes per document, what is
 shuffled that and a row per run.  Owners come from a combinable aggregate and are written, so that
@@ -98,49 +98,66 @@ def patience(lines: list[dict]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def blocks(matched: list[tuple[int, int]]) -> list[list[int]]:
-    """Runs of neighbouring aligned lines, as positions in the later document."""
-    out: list[list[int]] = []
-    last = None
-    for p, q in matched:
-        if last and (p, q) == (last[0] + 1, last[1] + 1):
-            out[-1].append(p)
-        else:
-            out.append([p])
-        last = (p, q)
-    return out
-
+def runs(lines: list[int], words: list[int], min_words: int, step: int):
+    """(lines, start, stop) of the shortest runs of neighbours with ``min_words`` words from every position on (1) or up to it (-1).
 
-def runs(lines: dict[int, int], words: list[int], min_words: int):
-    """(lines, start, stop) of the shortest runs of neighbours with ``min_words`` words from every position on and up to it.
-
-    Any block of ``min_words`` words is covered by those inside it.
+    Any block of ``min_words`` words is covered by those of both directions inside it.
+    """
+    for p in range(len(lines)):
+        n, k = 0, p
+        while n < min_words and 0 <= k < len(lines):
+            n += words[lines[k]]
+            k += step
+        if n >= min_words:
+            start, stop = (p, k) if step == 1 else (k + 1, p + 1)
+            yield tuple(lines[start:stop]), start, stop
+
+
+def aligned(items: list[dict]) -> set[int]:
+    """Indices of the items that repeated patience alignment of two documents matches.
+
+    ``items`` are what both documents have, with all their places (``at``, ``owner_at``).  What an alignment matches is done
+    with all its copies; the remainder is aligned again, with the owner read forwards and backwards (the longer alignment counts, so
+    passages in another order end soon), until nothing is left to match.
+    """
+    left = dict(enumerate(items))
+    done: set[int] = set()
+    while left:
+        names = list(left)
+        ways = [patience([{"at": left[i]["at"], "owner_at": sorted(sign * q for q in left[i]["owner_at"])} for i in names]) for sign in (1, -1)]
+        at = {p: i for i in names for p in left[i]["at"]}
+        matched = {at[p] for p, _ in max(ways, key=len)}
+        if not matched:
+            break
+        done |= matched
+        for i in matched:
+            del left[i]
+    return done
+
+
+def repeated(mine: list[int], theirs: list[int], words: list[int], min_words: int) -> set[int]:
+    """Positions of the later document in blocks that the owner has too; documents are lists of line numbers with their words.
+
+    The sequences aligned are the documents' runs (of both directions), so all that is matched is a common block of ``min_words``
+    words, and only that is deleted.
     """
-    for step in (1, -1):
-        for p in lines:
-            n, k, found = 0, p, []
-            while n < min_words and k in lines:
-                found.append(lines[k])
-                n += words[lines[k]]
-                k += step
-            if n >= min_words:
-                yield (tuple(found), p, k) if step == 1 else (tuple(found[::-1]), k + 1, p + 1)
-
-
-def repeated(shared: list[dict], min_words: int) -> set[int]:
-    """Positions of the later document in blocks that the owner has too, from their shared lines."""
-    words = [x["words"] for x in shared]
-    mine = {p: i for i, x in enumerate(shared) for p in x["at"]}
-    theirs = {q: i for i, x in enumerate(shared) for q in x["owner_at"]}
     gone: set[int] = set()
-    for block in blocks(patience(shared)):
-        if sum(words[mine[p]] for p in block) >= min_words:
-            gone.update(block)
-    # the remainder (further copies, other order) is aligned run by run until the owner has none of it
-    known = {found for found, _, _ in runs(theirs, words, min_words)}
-    for found, start, stop in runs(mine, words, min_words):
-        if found in known:
-            gone.update(range(start, stop))
+    for step in (1, -1):
+        shared: dict[tuple, dict] = {}
+        for found, start, stop in runs(mine, words, min_words, step):
+            one = shared.setdefault(found, {"at": [], "owner_at": [], "spans": []})
+            one["at"].append(start)
+            one["spans"].append((start, stop))
+        if step == -1:  # a run is known by its last line
+            for one in shared.values():
+                one["at"] = [stop - 1 for _, stop in one["spans"]]
+        for found, start, stop in runs(theirs, words, min_words, step):
+            if found in shared:
+                shared[found]["owner_at"].append(start if step == 1 else stop - 1)
+        items = [x for x in shared.values() if x["owner_at"]]
+        for i in aligned(items):
+            for start, stop in items[i]["spans"]:
+                gone.update(range(start, stop))
     return gone
 
 
@@ -152,8 +169,8 @@ def _runs(min_words: int):
             for i, (lines, words) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                 size = dict(zip(lines, words))
                 code = {h: k for k, h in enumerate(size)}
-                own = {hash(tuple(lines[a:b])) for _, a, b in
-                       runs({p: code[h] for p, h in enumerate(lines)}, list(size.values()), min_words)}
+                own = {hash(tuple(lines[a:b])) for step in (1, -1) for _, a, b in
+                       runs([code[h] for h in lines], list(size.values()), min_words, step)}
                 at += [i] * len(own)
                 found += own
             at = pa.array(at, pa.int64())
@@ -169,13 +186,12 @@ def _align(min_words: int):
         for batch in batches:
             gone = []
             for lines, words, place, owner in zip(*(batch.column(k).to_pylist() for k in range(2, 6))):
-                shared: dict = {}
-                for p, (h, n) in enumerate(zip(lines, words)):
-                    shared.setdefault(h, {"at": [], "owner_at": [], "words": n})["at"].append(p)
-                for q, h in enumerate(owner):
-                    if h in shared:
-                        shared[h]["owner_at"].append(q)
-                found = repeated([x for x in shared.values() if x["owner_at"]], min_words)
+                code: dict = {}
+                mine = [code.setdefault(h, len(code)) for h in lines]
+                size = dict(zip(mine, words))
+                # a line that the later document doesn't have is in no common block
+                theirs = [code.setdefault(h, len(code)) for h in owner]
+                found = repeated(mine, theirs, [size.get(k, 0) for k in range(len(code))], min_words)
                 gone.append([place[p] for p in sorted(found)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.list_(pa.int32()))],
                                              ["__key", "__hash", "__gone"])
@@ -183,8 +199,7 @@ def _align(min_words: int):
     return run
 
 
-def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS,
-                   long_words: int | None = None, rare_docs: int | None = None) -> DataFrame:
+def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
     """(__key, __hash of the text, __gone: positions of the lines to delete)."""
     checkpoint_dir(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()

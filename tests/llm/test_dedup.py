@@ -81,26 +81,10 @@ def test_one_of_each_group_stays(edge, nothing):
     assert H.drop_near_duplicates(nothing).count() == 0 and H.near_duplicates(nothing).count() == 0
 
 
-def _reference(docs, **limits):
-    """Line dedup restated over plain dictionaries."""
-    limits = {"min_words": L.MIN_WORDS, "long_words": L.LONG_WORDS, "rare_docs": L.RARE_DOCS} | limits
-    at, first, count = {}, {}, {}
-    for i, t in sorted(docs):
-        mine = {}
-        for p, line in enumerate((t or "").split("\n")):
-            if line.strip():
-                mine.setdefault(line, []).append(p)
-        at[i] = mine
-        for line in mine:
-            first.setdefault(line, i)
-            count[line] = count.get(line, 0) + 1
-    out = {}
-    for i, t in docs:
-        rows = [{"at": p, "owner": first[x], "owner_hash": 0, "owner_at": at[first[x]][x], "words": len(x.split()), "n_docs": count[x]}
-                for x, p in at[i].items() if first[x] != i]
-        gone = set(L._deleted(rows, **limits))
-        out[i] = "\n".join(x for p, x in enumerate((t or "").split("\n")) if p not in gone)
-    return out
+def _reference(docs, min_words=L.MIN_WORDS):
+    """The texts without the lines of blocks that an earlier document has, from all pairs of documents."""
+    gone = _shared_blocks(docs, min_words)
+    return {i: "\n".join(x for p, x in enumerate((t or "").split("\n")) if p not in gone[i]) for i, t in docs}
 
 
 def test_line_dedup_matches_brute_force(spark):
@@ -116,10 +100,9 @@ def test_line_dedup_matches_brute_force(spark):
 def test_passages_go_and_clean_lines_stay(spark):
     passage = "\n".join(f"passage line {k} " + " ".join(f"w{k}{j}" for j in range(20)) for k in range(3))
     rows = [(i, f"own start of document {i}\n{passage}\nown end {i}\nlicence line") for i in range(40)] + [(99, "alone\nlicence line")]
-    for rare in (1000, 5):  # also where the passage is not rare
-        got = {x["doc_id"]: x["text"] for x in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), rare_docs=rare).collect()}
-        assert got[0] == rows[0][1] and got[99] == "alone\nlicence line"
-        assert all("passage" not in got[i] and f"own end {i}" in got[i] and "licence line" in got[i] for i in range(1, 40))
+    got = {x["doc_id"]: x["text"] for x in L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == rows[0][1] and got[99] == "alone\nlicence line"
+    assert all("passage" not in got[i] and f"own end {i}" in got[i] and "licence line" in got[i] for i in range(1, 40))
 
 
 def test_blank_lines_do_not_break_a_block(spark):
@@ -134,7 +117,7 @@ def test_a_short_block_goes_at_every_size(spark):
     for n in (3, 40):
         rows = [(i, f"own line {i}\n{block}") for i in range(n)] + [(1000 + i, block) for i in range(n)]
         df = spark.createDataFrame(rows, "doc_id long, text string")
-        got = {x["doc_id"]: x["text"] for x in L.dedup_lines(df, rare_docs=10).collect()}
+        got = {x["doc_id"]: x["text"] for x in L.dedup_lines(df).collect()}
         assert got == {0: rows[0][1]} | {i: f"own line {i}" for i in range(1, n)} | {1000 + i: "" for i in range(n)}
 
 
@@ -156,8 +139,13 @@ def _shared_blocks(docs, min_words):
     out = {i: set() for i in worded}
     for i, mine in worded.items():
         for theirs in (worded[j] for j in worded if j < i):
+            places = {}
+            for q, (_, x) in enumerate(theirs):
+                places.setdefault(x, []).append(q)
             for p in range(len(mine)):
-                for q in range(len(theirs)):
+                for q in places.get(mine[p][1], ()):
+                    if p and q and mine[p - 1][1] == theirs[q - 1][1]:
+                        continue  # the block began before
                     n = 0
                     while p + n < len(mine) and q + n < len(theirs) and mine[p + n][1] == theirs[q + n][1]:
                         n += 1
@@ -177,6 +165,34 @@ def test_line_dedup_matches_all_pairs(spark):
         assert got == _shared_blocks(docs, min_words)
 
 
+def test_patience_decides(spark, monkeypatch):
+    r = random.Random(13)
+    lines = [r.randrange(12) for _ in range(40)], [r.randrange(12) for _ in range(40)]
+    words = [r.choice((1, 4, 12)) for _ in range(12)]
+
+    def both(a, b, n):
+        """Lines of ``a`` in common blocks of ``n`` words, by brute force."""
+        out = set()
+        for p in range(len(a)):
+            for q in range(len(b)):
+                k = 0
+                while p + k < len(a) and q + k < len(b) and a[p + k] == b[q + k]:
+                    k += 1
+                if sum(words[x] for x in a[p:p + k]) >= n:
+                    out |= set(range(p, p + k))
+        return out
+
+    assert L.repeated(*lines, words, 10) == both(*lines, 10) != set()
+    for _ in range(300):
+        a, b = ([r.randrange(r.choice((3, 12))) for _ in range(r.randrange(30))] for _ in range(2))
+        assert L.repeated(a, b, words, 10) == both(a, b, 10)
+    long = list(range(400))
+    assert L.repeated(long[::-1], long, [12] * 400, 10) == set(long)  # in reverse order
+    assert L.repeated([0] * 3000, [0], [12], 10) == set(range(3000))
+    monkeypatch.setattr(L, "patience", lambda items: [])
+    assert L.repeated(*lines, words, 10) == set()  # nothing else deletes
+
+
 def test_a_line_of_another_document_does_not_split_an_exact_copy(spark):
     lines = [f"line {k} " + " ".join(f"w{k}{j}" for j in range(12)) for k in range(6)]
     rows = [(1, "Heading\nown text of one"), (5, "\n".join([*lines[:3], "Heading", *lines[3:]]))]
@@ -197,5 +213,4 @@ def test_line_dedup_on_odd_rows(edge, nothing):
 def test_patience():
     a = [{"at": [0], "owner_at": [5]}, {"at": [1], "owner_at": [6]}, {"at": [2, 4], "owner_at": [7]}, {"at": [3], "owner_at": [1]}]
     assert L.patience(a) == [(0, 5), (1, 6), (2, 7)]
-    assert L.blocks([(0, 5), (1, 6), (3, 7), (4, 8)]) == [[0, 1], [3, 4]]
     assert L.patience([]) == []
