@@ -17,13 +17,14 @@ from __future__ import annotations
 import json
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailsieve.functions.constants import CLASSES, PRECISION_TARGET, SPLIT_SEED, VAL_SIZE
 from mailsieve.operators import features as FE
 from mailsieve.operators import metrics as M
 from mailsieve.operators.corpus import binary_label, training_rows
+from mailsieve.session import checkpoint_dir
 
 
 def label_index(classes) -> dict:
@@ -57,19 +58,69 @@ def with_label_index(df: DataFrame, label: str = "label", out: str = "label_idx"
     return df.join(index, F.col(label) == F.col("__label"), "left").drop("__label")
 
 
-def weighted_resample(df: DataFrame, key: str = "doc_id", label: str = "label", seed: int = SPLIT_SEED) -> DataFrame:
-    """Sampling with replacement, weight 1/n_c, about n rows in total (k classes equally often), in one pass.
+#: largest Poisson mean that is drawn at once, and the count that it practically never passes (1e-16)
+POISSON_MEAN, POISSON_MAX = 16, 60
 
-    A row is repeated f = n / (k n_c) times: floor(f), and once more where the hash of its key falls below the
-    fraction, so the result does not depend on the partitions.
-    """
+
+def _hash_share(*parts) -> Column:
+    """A number in [0, 1) from the MD5 of the joined parts."""
+    text = F.concat_ws(":", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
+def poisson_cdf(mean) -> Column:
+    """P(X <= k) for k = 0..POISSON_MAX."""
+    start = F.struct(F.exp(-mean).alias("p"), F.array(F.exp(-mean)).alias("cdf"))
+
+    def step(s, k):
+        p = s["p"] * mean / k
+        return F.struct(p.alias("p"), F.concat(s["cdf"], F.array(F.element_at(s["cdf"], -1) + p)).alias("cdf"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(POISSON_MAX)), start, step, lambda s: s["cdf"])
+
+
+def _draws(df: DataFrame, key: str, label: str, seed: int, mean_total: float) -> DataFrame:
+    """(key, draw): independent Poisson numbers of draws, ``mean_total`` on average, classes alike."""
     per = df.groupBy(F.col(label).alias("__label")).agg(F.count(F.lit(1)).alias("__c"))
-    every = Window.partitionBy()
-    share = per.select("__label", (F.sum("__c").over(every) / (F.count(F.lit(1)).over(every) * F.col("__c"))).alias("__f"))
-    u = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
-    times = F.floor("__f") + F.when(u < F.col("__f") - F.floor("__f"), 1).otherwise(0)
-    x = df.join(share, F.col(label).eqNullSafe(F.col("__label"))).withColumn("__n", times.cast("int")).where("__n > 0")
-    return x.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__label", "__f", "__n", "__i")
+    mean = F.lit(mean_total) / (F.count(F.lit(1)).over(Window.partitionBy()) * F.col("__c"))
+    per = per.select("__label", mean.alias("__mean")).withColumn("__pieces", F.ceil(F.col("__mean") / POISSON_MEAN).cast("int"))
+    # one row a class
+    per = per.select("__label", "__pieces", poisson_cdf(F.col("__mean") / F.col("__pieces")).alias("__cdf"))
+    x = df.select(F.col(key).alias("__key"), F.col(label).alias("__l")).where(F.col("__key").isNotNull())
+    x = x.join(F.broadcast(per), F.col("__l").eqNullSafe(F.col("__label")))
+    x = x.select("__key", "__cdf", F.explode(F.sequence(F.lit(1), F.col("__pieces"))).alias("__piece"))
+    x = x.withColumn("__u", _hash_share(seed, F.col("__key").cast("string"), F.col("__piece").cast("string")))
+    n = F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))
+    x = x.select("__key", "__piece", n.alias("__n")).where("__n > 0")
+    x = x.select("__key", "__piece", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__i"))
+    return x.select(F.col("__key").alias("__from"), F.concat_ws(":", F.col("__key").cast("string"), F.col("__piece").cast("string"),
+                                                                F.col("__i").cast("string")).alias("__draw"))
+
+
+def resample_margin(n: int) -> float:
+    """Mean number of draws from which ``n`` are kept: six standard deviations more."""
+    return n + 6 * math.sqrt(n) + 12
+
+
+def weighted_resample(df: DataFrame, key: str = "doc_id", label: str = "label", seed: int = SPLIT_SEED, n: int | None = None) -> DataFrame:
+    """``n`` rows (all if not given) drawn with replacement, a row with weight 1 / rows of its class.
+
+    Every row is drawn a Poisson number of times (inverse CDF of a hash of seed, key and piece; a mean above POISSON_MEAN is the
+    sum of several pieces), somewhat more than ``n`` in all, and the ``n`` draws of the smallest hash stay: given their
+    number, Poisson draws are draws with replacement.  No row meets another one but in the trim, which ranks narrow draws in
+    buckets of their hash.  The result depends on seed and keys only.  Keys are unique; rows without a key are not drawn.
+    """
+    checkpoint_dir(df.sparkSession)
+    n = df.count() if n is None else n
+    mean = resample_margin(n)
+    while True:
+        draws = _draws(df, key, label, seed, mean).checkpoint()
+        total = draws.count()
+        if total >= n or total == 0:
+            break
+        mean += n  # one run in a thousand million
+    kept = M.hash_rank(draws, "__draw", [], seed).where(F.col("__rank") <= n).select("__from")
+    return df.join(kept, F.col(key) == F.col("__from")).drop("__from")
 
 
 def logistic_regression(train_vec: DataFrame, index: DataFrame, classes=CLASSES, reg_param: float = 1e-4,

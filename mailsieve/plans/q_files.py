@@ -3,6 +3,7 @@ G2, H26, H27, M7, M12)."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mailsieve.functions import text as T
@@ -120,12 +121,37 @@ def m07_label_index(spark, sf):
     return TR.with_label_index(t)
 
 
-@register("m12_weighted_resample", f"""WITH {CORPUS_VIEW}, {TRAIN_VIEW}, c AS (
-  SELECT doc_id, label, count(*) OVER () / ((SELECT count(DISTINCT label) FROM train) * count(*) OVER (PARTITION BY label)) AS f FROM train),
-u AS (SELECT label, floor(f) + CASE WHEN CAST('0x' || substr(md5('42:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0 < f - floor(f)
-  THEN 1 ELSE 0 END AS k FROM c)
-SELECT label, CAST(sum(k) AS BIGINT) AS n FROM u GROUP BY label""")
+@register("m12_weighted_resample", f"""WITH RECURSIVE {CORPUS_VIEW}, {TRAIN_VIEW},
+nn AS (SELECT count(*) AS n, count(*) + 6 * sqrt(count(*)) + 12 AS mean FROM train),
+per AS (SELECT label, mean / ((SELECT count(DISTINCT label) FROM train) * count(*)) AS m FROM train, nn GROUP BY label, mean),
+lam AS (SELECT label, CAST(ceil(m / 16) AS INTEGER) AS pieces, m / ceil(m / 16) AS l FROM per),
+pk AS (SELECT label, l, 0 AS k, exp(-l) AS p, exp(-l) AS cdf FROM lam
+  UNION ALL SELECT label, l, k + 1, p * l / (k + 1), cdf + p * l / (k + 1) FROM pk WHERE k < 60),
+cdfs AS (SELECT label, list(cdf ORDER BY k) AS cdf FROM pk GROUP BY label),
+u AS (SELECT doc_id, t.label AS label, piece, cdf,
+    CAST('0x' || md5('42:' || CAST(doc_id AS VARCHAR) || ':' || CAST(piece AS VARCHAR))[1:13] AS BIGINT) / 4503599627370496.0 AS u
+  FROM train t JOIN lam USING (label) JOIN cdfs USING (label), LATERAL (SELECT unnest(range(1, pieces + 1)) AS piece) x),
+d AS (SELECT doc_id, label, CAST(doc_id AS VARCHAR) || ':' || CAST(piece AS VARCHAR) || ':' || CAST(i AS VARCHAR) AS draw
+  FROM (SELECT doc_id, label, piece, unnest(range(1, len(list_filter(cdf, lambda c: c <= u)) + 1)) AS i FROM u)),
+kept AS (SELECT doc_id, label FROM (SELECT *, row_number() OVER (ORDER BY md5('42:' || draw), draw) AS r FROM d), nn WHERE r <= n)
+SELECT doc_id, label, count(*) AS copies FROM kept GROUP BY doc_id, label""")
 def m12_weighted_resample(spark, sf):
-    """Resampled training rows per label."""
-    t = C.training_rows(corpus_view(spark, sf)).select("doc_id", "label")
-    return TR.weighted_resample(t, "doc_id").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    """How often every training row is drawn; rows that are not drawn have no row."""
+    t = C.training_rows(corpus_view(spark, sf)).select("doc_id", "label").checkpoint()
+    return TR.weighted_resample(t, "doc_id").groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("copies"))
+
+
+@register("m12_resample_shares", f"""WITH {CORPUS_VIEW}, {TRAIN_VIEW}, c AS (SELECT label, count(*) AS nc FROM train GROUP BY label)
+SELECT label, (SELECT count(*) FROM train) AS n_drawn, TRUE AS total_as_expected, TRUE AS distinct_as_expected FROM c""")
+def m12_resample_shares(spark, sf):
+    """M12 against what drawing with replacement must give: a class's draws and its distinct rows, each within five standard deviations."""
+    t = C.training_rows(corpus_view(spark, sf)).select("doc_id", "label").checkpoint()
+    drawn = TR.weighted_resample(t, "doc_id").groupBy("label").agg(F.count(F.lit(1)).alias("draws"), F.countDistinct("doc_id").alias("seen"))
+    sizes = t.groupBy("label").agg(F.count(F.lit(1)).alias("nc"))
+    every = Window.partitionBy()
+    x = sizes.join(drawn, "label", "left").fillna(0).select(
+        "*", F.sum("nc").over(every).alias("n"), F.count(F.lit(1)).over(every).alias("k"), F.sum("draws").over(every).alias("n_drawn"))
+    mean = F.col("n") / F.col("k")
+    missed = F.col("nc") * F.exp(-mean / F.col("nc"))  # rows that no draw hits
+    return x.select("label", F.col("n_drawn"), (F.abs(F.col("draws") - mean) <= 5 * F.sqrt(mean) + 1).alias("total_as_expected"),
+                    (F.abs(F.col("nc") - F.col("seen") - missed) <= 5 * F.sqrt(missed) + 1).alias("distinct_as_expected"))

@@ -224,6 +224,19 @@ def m13_temperature_grid(spark, sf):
     return g.select("T", r6("nll").alias("nll"))
 
 
+@register("m13_fitted_temperature", "WITH RECURSIVE " + EVAL_SQL[len("WITH "):] + """,
+bis AS (SELECT 0 AS i, ln(1e-6) AS lo, ln(1e12) AS hi
+  UNION ALL SELECT i + 1, CASE WHEN d > 0 THEN (lo + hi) / 2 ELSE lo END, CASE WHEN d > 0 THEN hi ELSE (lo + hi) / 2 END FROM (
+    SELECT i, lo, hi, sum(list_sum(list_transform(list_zip(logits, e), lambda x: x[1] * x[2])) / list_sum(e) - logits[label_idx + 1]) AS d FROM (
+      SELECT i, lo, hi, logits, label_idx, list_transform(logits, lambda z: exp((z - list_max(logits)) * exp(-(lo + hi) / 2))) AS e FROM bis, ev)
+    GROUP BY i, lo, hi) WHERE i < 70)
+SELECT round(exp((lo + hi) / 2), 6) AS temperature FROM bis WHERE i = 70""")
+def m13_fitted_temperature(spark, sf):
+    """The fitted temperature (Newton steps; the SQL bisects the same slope)."""
+    ev = eval_view(spark, sf).select("logits", "label_idx").checkpoint()
+    return spark.createDataFrame([(round(M.fit_temperature(ev, "logits", "label_idx"), 6),)], "temperature double")
+
+
 @register("e03_best_candidate", _TGRID_SQL + " SELECT T, round(nll, 6) AS nll FROM g ORDER BY -nll DESC, T ASC LIMIT 1")
 def e03_best_candidate(spark, sf):
     g = M.temperature_grid_nll(eval_view(spark, sf), "logits", "label_idx", TEMPS).withColumn("neg_nll", -F.col("nll"))

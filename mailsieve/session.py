@@ -41,15 +41,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     A cluster names it in ``spark.checkpoint.dir`` and must do so; a folder of our
     own is picked only for a local master (tests), where all tasks share the machine.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    # the setting is static: a folder of our own is known to the context only
+    d = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not d:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="mailsieve-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(d)
     return d
 
 

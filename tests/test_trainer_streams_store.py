@@ -221,3 +221,65 @@ def test_buckets_are_even(spark, kind):
     assert all(a["high"] < b["low"] for a, b in zip(rows, rows[1:]) if a["high"] is not None)
     top = M.cumulative_counts(df, "s", "y", buckets).agg(F.max("tp"), F.max("fp")).first()
     assert tuple(top) == (n // 2, n // 2)
+
+
+# --- resampling (M12), temperature (M13), session ------------------------------------------------------------------
+
+def test_draws_with_replacement(spark):
+    from mailsieve.operators.train import weighted_resample
+
+    df = spark.range(2000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 1900, "safe").when(F.col("id") < 1999, "spam").otherwise("phishing").alias("label"),
+                                  F.lit("x").alias("__n"))
+    drawn = weighted_resample(df.repartition(5))
+    assert drawn.columns == df.columns and drawn.count() == 2000
+    per = {r["label"]: (r["n"], r["k"]) for r in drawn.groupBy("label").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("k")).collect()}
+    assert all(abs(n - 2000 / 3) < 5 * math.sqrt(2000 / 3) for n, _ in per.values())
+    expected = {"safe": 1900 * (1 - math.exp(-2000 / 3 / 1900)), "spam": 99, "phishing": 1}
+    assert all(abs(k - expected[c]) <= 60 for c, (_, k) in per.items()) and per["phishing"][1] == 1
+    assert sorted(weighted_resample(df.repartition(3)).collect()) == sorted(drawn.collect())  # whatever the partitions
+    assert sorted(weighted_resample(df, seed=7).collect()) != sorted(drawn.collect())
+    assert weighted_resample(df, n=10).count() == 10 and weighted_resample(df.limit(0)).count() == 0
+    with_null = df.unionByName(df.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    assert weighted_resample(with_null).where("doc_id IS NULL").count() == 0
+
+
+def test_poisson_cdf(spark):
+    from mailsieve.operators.train import poisson_cdf
+
+    for mean in (0.01, 1.0, 16.0):
+        cdf = spark.range(1).select(poisson_cdf(F.lit(mean))).first()[0]
+        exact = [sum(math.exp(-mean) * mean ** j / math.factorial(j) for j in range(k + 1)) for k in range(61)]
+        assert cdf == pytest.approx(exact, abs=1e-12)
+
+
+def test_temperature_by_newton_steps(spark):
+    r = random.Random(2)
+    rows = []
+    for _ in range(400):
+        z = [r.gauss(0, 3) for _ in range(3)]
+        weights = [math.exp(x / 2.5) for x in z]
+        rows.append((z, r.choices(range(3), weights)[0]))
+
+    def nll(t):
+        return sum(math.log(sum(math.exp(x / t) for x in z)) - z[y] / t for z, y in rows) / len(rows)
+
+    df = spark.createDataFrame(rows, "logits array<double>, y int").checkpoint()
+    t = M.fit_temperature(df, "logits", "y")
+    assert 1.5 < t < 4 and nll(t) <= min(nll(t * 1.001), nll(t / 1.001))
+    assert M.fit_temperature(df.limit(0), "logits", "y") == 1.0
+    sure = spark.createDataFrame([([5.0, 0.0], 0), ([0.0, 3.0], 1)], "logits array<double>, y int")
+    assert M.fit_temperature(sure, "logits", "y") < 0.2  # the sharper the better, until the slope is 0 in doubles
+    wrong = spark.createDataFrame([([5.0, 0.0], 1), ([0.0, 3.0], 0)], "logits array<double>, y int")
+    assert M.fit_temperature(wrong, "logits", "y") > 1e6
+
+
+def test_checkpoint_folder_without_a_preset(tmpdir_path):
+    import os
+    import subprocess
+    import sys
+
+    code = ("from mailsieve.session import checkpoint_dir, get_spark; s = get_spark('t', cpus=1); d = checkpoint_dir(s); "
+            "assert d and checkpoint_dir(s) and s.range(3).checkpoint().count() == 3; print('fine')")
+    env = {**os.environ, "SPARK_CONF_DIR": tmpdir_path, "PYTHONPATH": os.path.dirname(os.path.dirname(os.path.abspath(__file__)))}
+    done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
+    assert "fine" in done.stdout, done.stderr[-2000:]
