@@ -1,16 +1,17 @@
-"""Near-duplicate removal (X2): MinHash signatures, LSH bands, components by star contraction.
+"""Near-duplicate removal (X2): MinHash bands find candidates, exact Jaccard decides, components by star contraction.
 
-* Signatures are computed inside each row: for each of ``num_hashes`` salts,
-  the minimum 64-bit hash over the document's shingles (no explode).
-* Banding turns a signature into ``bands`` keys; documents sharing a key are
-  candidates.  Candidate *pairs* are never formed: each document of a band is linked
-  to the band's smallest document, one row per document and band, and the components of
-  these links are found by star contraction until nothing changes (no round limit).
-* The smallest document per band is a combinable aggregate; it is written before the
-  join back, so both sides of that join are shuffled and AQE can split a hot band.
+* A document is the set of its shingles (SHINGLE words), as 60-bit hashes from MD5, which other engines have, too.
+  Its signature is, for each of ``bands * rows`` linear functions, the minimum over the set (no explode).
+* Documents that share a band are candidates.  Candidate *pairs* within a band are never formed: each document is compared with the band's
+  smallest one; those that are alike (Jaccard of at least THRESHOLD) are linked to it, the others go on among
+  themselves with the smallest of them, until no band has two documents left.  There is no limit to the rounds.
+* The smallest document per band is a combinable aggregate; pairs are written before the
+  joins that fetch the two sets, so both sides are shuffled and AQE can split a hot representative.
 
 Clusters are transitive (A~B, B~C puts A and C together), the usual choice for
 near-duplicate removal.  The reference documents this step but has no code.
+
+Null text is empty; empty texts are alike.  Rows without a key are kept and compared with nothing.
 """
 
 from __future__ import annotations
@@ -23,21 +24,34 @@ from mailsieve.operators.components import connected_components
 from mailsieve.session import checkpoint_dir
 
 
-def shingles(text, n: int = 3):
-    """Word n-gram shingles of the normalised text (whole text, linear)."""
+SHINGLE, THRESHOLD = 5, 0.8
+#: the linear functions are modulo a prime, with factors from this one's powers
+PRIME, ROOT = 2_147_483_647, 48_271
+
+
+def shingles(text, n: int = SHINGLE):
+    """Word n-gram shingles of the normalised text (whole text, linear); a shorter text is its words."""
     words = F.split(normalize_text(text), " ")
     return F.array_distinct(F.when(F.size(words) >= n, shifted_ngrams(words, n, " ")).otherwise(words))
 
 
-def _salted(i: int):
-    # a one-argument lambda: PySpark reads the arity from the signature, so a
-    # default argument would turn it into the (element, index) form
-    return lambda s: F.xxhash64(F.lit(i), s)
+def shingle_set(text, n: int = SHINGLE):
+    """The distinct shingles as 60-bit numbers."""
+    return F.array_distinct(F.transform(shingles(text, n), lambda s: F.conv(F.substring(F.md5(s), 1, 15), 16, 10).cast("long")))
+
 
+def factors(num_hashes: int) -> list[tuple[int, int]]:
+    """(a, b) of the functions (a * h + b) mod PRIME: consecutive powers of a root."""
+    powers = [pow(ROOT, k + 1, PRIME) for k in range(2 * num_hashes)]
+    return list(zip(powers[::2], powers[1::2]))
 
-def minhash_signature(sh, num_hashes: int = 64):
-    """Array of ``num_hashes`` minima of salted xxhash64 over the shingles."""
-    return F.array(*[F.array_min(F.transform(sh, _salted(i))) for i in range(num_hashes)])
+
+def minhash_signature(hashes, num_hashes: int = 64):
+    """Array of ``num_hashes`` minima of (a * h + b) mod PRIME over the set."""
+    def least(a: int, b: int):
+        return F.array_min(F.transform(hashes, lambda h: (F.lit(a).cast("long") * (h % PRIME) + b) % PRIME))
+
+    return F.array(*[least(a, b) for a, b in factors(num_hashes)])
 
 
 def band_keys(sig, bands: int = 16, rows: int = 4):
@@ -45,15 +59,34 @@ def band_keys(sig, bands: int = 16, rows: int = 4):
     return F.array(*[F.xxhash64(F.lit(b), *[sig[b * rows + r] for r in range(rows)]) for b in range(bands)])
 
 
-def near_duplicate_clusters(df: DataFrame, key: str = "doc_id", text: str = "body_text", shingle_n: int = 3,
-                            bands: int = 16, rows: int = 4) -> DataFrame:
-    """(key, cluster) where cluster = smallest key connected through a shared LSH band."""
+def verified_links(sets: DataFrame, banded: DataFrame, key: str, threshold: float = THRESHOLD) -> DataFrame:
+    """(first, key): every document with the representatives of its bands that it is like."""
+    a, b = (sets.select(F.col(key).alias(k), F.col("__set").alias(f"set_{k}")) for k in ("one", "two"))
+    rest, links = banded, None
+    while True:
+        first = rest.groupBy("band").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        pairs = rest.join(first, "band").where(F.col(key) != F.col("first")).select("band", "first", key).checkpoint()
+        if pairs.isEmpty():
+            return links if links is not None else pairs.select("first", key)
+        shared = F.size(F.array_intersect("set_one", "set_two"))
+        judged = pairs.select("first", key).distinct().join(a, F.col("first") == F.col("one")).join(b, F.col(key) == F.col("two")).select(
+            "first", key, (shared / (F.size("set_one") + F.size("set_two") - shared) >= threshold).alias("like")).checkpoint()
+        found = judged.where("like").select("first", key)
+        links = found if links is None else links.unionByName(found)
+        rest = pairs.join(judged.where("NOT like"), ["first", key]).select(key, "band")
+
+
+def near_duplicate_clusters(df: DataFrame, key: str = "doc_id", text: str = "body_text", shingle_n: int = SHINGLE,
+                            bands: int = 16, rows: int = 4, threshold: float = THRESHOLD) -> DataFrame:
+    """(key, cluster) where cluster = smallest key connected through documents that are alike."""
     checkpoint_dir(df.sparkSession)
-    # shingles are projected once; the signature's transforms read the column
-    sh = df.select(key, shingles(F.col(text), shingle_n).alias("__sh"))
-    sig = sh.select(key, minhash_signature(F.col("__sh"), bands * rows).alias("__sig"))
+    sets = df.where(F.col(key).isNotNull()).select(key, shingle_set(F.coalesce(F.col(text), F.lit("")), shingle_n).alias("__set")).checkpoint()
+    sig = sets.select(key, minhash_signature(F.col("__set"), bands * rows).alias("__sig"))
     banded = sig.select(key, F.explode(band_keys(F.col("__sig"), bands, rows)).alias("band")).checkpoint()
-    return clusters_of_bands(banded, key)
+    links = verified_links(sets, banded, key, threshold).distinct().checkpoint()
+    roots = connected_components(links, "first", key)
+    return sets.select(key).distinct().join(roots.withColumnRenamed("node", key), key, "left").select(
+        key, F.coalesce("root", key).alias("cluster"))
 
 
 def clusters_of_bands(banded: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -66,7 +99,7 @@ def clusters_of_bands(banded: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "body_text", **kw) -> DataFrame:
-    """Keep one row per near-duplicate cluster (the smallest key)."""
+    """Keep the rows of the smallest key of each near-duplicate cluster."""
     c = near_duplicate_clusters(df, key, text, **kw)
-    keep = c.where(F.col(key) == F.col("cluster")).select(key)
-    return df.join(keep, key, "left_semi")
+    gone = c.where(F.col(key) != F.col("cluster")).select(key)
+    return df.join(gone, key, "left_anti")

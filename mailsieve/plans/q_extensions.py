@@ -11,7 +11,7 @@ from mailsieve.operators.score import priority_decision
 from mailsieve.plans.q_metrics import EVAL_SQL, _SOFTMAX_SQL, THRESHOLDS, eval_view
 from mailsieve.plans.q_scans import _scans, scans_sql
 from mailsieve.plans.registry import register
-from mailsieve.plans.sqlviews import CORPUS_VIEW, EMAIL_VIEW, TRAIN_VIEW, sql_canonical
+from mailsieve.plans.sqlviews import CORPUS_VIEW, EMAIL_VIEW, TRAIN_VIEW, sql_canonical, sql_normalize
 from mailsieve.sources.tables import corpus_view, email_view, labelled_email_view
 
 RETENTION_CUTOFF = "2024-01-20 00:00:00"
@@ -73,10 +73,40 @@ def x07_history_filters(spark, sf):
                         sender_domain="host1.example.com")
     return s.select("id", "label")
 
-@register("x02_near_duplicates")
+def _x02_sql() -> str:
+    """X2 restated: sets, signatures and bands; in every band the smallest document left is compared with the others."""
+    from mailsieve.operators.neardup import PRIME, SHINGLE, THRESHOLD, factors
+
+    bands, rows = 16, 4
+    pairs = factors(bands * rows)
+    minima = ", ".join(f"list_min(list_transform(hs, lambda h: ({a}::BIGINT * (h % {PRIME}) + {b}) % {PRIME}))" for a, b in pairs)
+    keys = ", ".join("concat_ws('_', {}, {})".format(b, ", ".join(f"sig[{b * rows + r + 1}]" for r in range(rows))) for b in range(bands))
+    return f"""WITH RECURSIVE {CORPUS_VIEW},
+w AS (SELECT doc_id, string_split({sql_normalize("coalesce(body_text, '')")}, ' ') AS w FROM corpus),
+s AS (SELECT doc_id, list_distinct(list_transform(CASE WHEN len(w) >= {SHINGLE} THEN list_transform(range(1, len(w) - {SHINGLE} + 2),
+  lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' ')) ELSE w END, lambda x: CAST('0x' || md5(x)[1:15] AS BIGINT))) AS hs FROM w),
+sg AS (SELECT doc_id, [{minima}] AS sig FROM s),
+bd AS (SELECT doc_id, unnest([{keys}]) AS band FROM sg),
+many AS (SELECT * FROM bd WHERE band IN (SELECT band FROM bd GROUP BY band HAVING count(*) > 1)),
+jac AS MATERIALIZED (SELECT p.a AS a, p.b AS b, len(list_intersect(x.hs, y.hs)) / (len(x.hs) + len(y.hs) - len(list_intersect(x.hs, y.hs))) AS j
+  FROM (SELECT DISTINCT m.doc_id AS a, n.doc_id AS b FROM many m JOIN many n ON m.band = n.band AND m.doc_id < n.doc_id) p
+  JOIN s x ON x.doc_id = p.a JOIN s y ON y.doc_id = p.b),
+rest AS (SELECT band, doc_id FROM many
+  UNION ALL SELECT r.band, r.doc_id FROM (SELECT band, doc_id, min(doc_id) OVER (PARTITION BY band) AS first FROM rest) r
+    JOIN jac ON a = first AND b = doc_id WHERE j < {THRESHOLD}),
+firsts AS (SELECT band, doc_id, count(*) AS turns FROM rest GROUP BY band, doc_id),
+links AS (SELECT DISTINCT first AS a, doc_id AS b FROM (
+    SELECT x.band, x.doc_id, y.doc_id AS first FROM firsts x JOIN firsts y ON x.band = y.band AND y.doc_id < x.doc_id
+    WHERE y.turns <= x.turns AND NOT EXISTS (SELECT 1 FROM firsts z WHERE z.band = x.band AND z.turns >= y.turns AND z.doc_id < y.doc_id)) q
+  JOIN jac ON jac.a = q.first AND jac.b = q.doc_id WHERE j >= {THRESHOLD}),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a AS doc, a AS root FROM both_ways UNION SELECT t.b, r.root FROM reach r JOIN both_ways t ON t.a = r.doc)
+SELECT doc_id FROM corpus WHERE doc_id NOT IN (SELECT doc FROM reach GROUP BY doc HAVING min(root) < doc)"""
+
+
+@register("x02_near_duplicates", _x02_sql())
 def x02_near_duplicates(spark, sf):
-    """Documents kept after near-duplicate removal (MinHash LSH and components); its MinHash has no SQL form,
-    its clustering is compared in x02_band_clusters."""
+    """Documents kept after near-duplicate removal (MinHash bands, exact Jaccard, components)."""
     from mailsieve.operators.neardup import drop_near_duplicates
 
     kept = drop_near_duplicates(corpus_view(spark, sf).select("doc_id", "body_text"))
