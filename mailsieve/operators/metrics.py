@@ -115,6 +115,40 @@ def macro_recall(df: DataFrame, label: str, pred: str, classes) -> DataFrame:
     return s.agg((F.sum(_safe_div(F.col("tp"), F.col("support"))) / len(classes)).alias("macro_recall"))
 
 
+# --- the record of a training run (M18, A18) ---------------------------------------
+
+def content_fingerprint(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One row: ``rows:sum``, the sum of 32-bit row hashes (MD5 of the values as text), whatever the order and the files."""
+    one = F.concat_ws("\u001f", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns or df.columns])
+    h = F.conv(F.substring(F.md5(one), 1, 8), 16, 10).cast("decimal(38,0)")
+    total = F.coalesce(F.sum(h), F.lit(0).cast("decimal(38,0)"))
+    return df.agg(F.concat_ws(":", F.count(F.lit(1)).cast("string"), total.cast("string")).alias("fingerprint"))
+
+
+def run_record(evaluated: DataFrame, label: str, pred: str, classes, *, class_counts: DataFrame | None = None,
+               inputs: dict[str, DataFrame] | None = None, params: dict | None = None, temperature: float | None = None,
+               tuned_threshold: float | None = None, best_score: float | None = None) -> DataFrame:
+    """One row that tells a run: classes, class counts, report, confusion matrix, accuracy, T, threshold, input fingerprints, params.
+
+    Every part is a small aggregate (a row a class) that enters as a scalar.
+    """
+    spark = evaluated.sparkSession
+    report = classification_report(evaluated, label, pred, classes).agg(F.collect_list(F.struct("class", "precision", "recall", "f1", "support")).alias("x"))
+    matrix = confusion_matrix(evaluated, label, pred, classes).select("label", F.array(*[F.col(f"`{c}`") for c in classes]).alias("predicted"))
+    counts = (evaluated if class_counts is None else class_counts).where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(label).alias("label"), "n")))).alias("x"))
+    prints = [x for name, df in (inputs or {}).items() for x in (F.lit(name), content_fingerprint(df).scalar())]
+    settings = [x for name, v in (params or {}).items() for x in (F.lit(name), F.lit(str(v)))]
+    text_map = "map<string,string>"
+    number = [F.lit(v).cast("double").alias(n) for n, v in (("temperature", temperature), ("tuned_threshold", tuned_threshold), ("best_score", best_score))]
+    return spark.range(1).select(
+        F.array(*[F.lit(c) for c in classes]).alias("classes"), counts.scalar().alias("class_counts"), report.scalar().alias("report"),
+        matrix.agg(F.collect_list(F.struct("label", "predicted")).alias("x")).scalar().alias("confusion_matrix"),
+        accuracy(evaluated, label, pred).scalar().alias("accuracy"), *number,
+        (F.create_map(*prints) if prints else F.create_map().cast(text_map)).alias("inputs"),
+        (F.create_map(*settings) if settings else F.create_map().cast(text_map)).alias("params"), F.current_timestamp().alias("trained_at"))
+
+
 # --- class weights ---------------------------------------------------------------
 
 def class_weights(df: DataFrame, label: str = "label", mode: str = "balanced") -> DataFrame:

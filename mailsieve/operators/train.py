@@ -205,8 +205,13 @@ def train_job(corpus: DataFrame, *, binary: bool = False, use_char: bool = False
         report_classes = ["safe", "not_safe"]
     else:
         report_classes = classes
+    record = M.run_record(
+        ev, "label", "pred", report_classes, class_counts=rows, inputs={"corpus": rows.select(key, text, "label")}, temperature=temperature,
+        tuned_threshold=tuned, best_score=best.get("selection_score"),
+        params={"model": model, "binary": binary, "use_char": use_char, "val_size": val_size, "seed": seed, "calibrate": calibrate,
+                "reg_param": best["reg_param"], "max_features": json.dumps(max_features)})
     return {
-        "classes": classes, "vocab": vocab, "weights": weights, "intercepts": intercepts,
+        "record": record, "classes": classes, "vocab": vocab, "weights": weights, "intercepts": intercepts,
         "temperature": temperature, "tuned_threshold": tuned, "best": best,
         "report": M.classification_report(ev, "label", "pred", report_classes),
         "confusion": M.confusion_matrix(ev, "label", "pred", report_classes),
@@ -229,6 +234,8 @@ def save_model(result: dict, path: str, version: str = "model") -> None:
     spark.createDataFrame([(json.dumps(meta),)], "meta string").write.mode("overwrite").json(f"{path}/meta")
     result["report"].write.mode("overwrite").json(f"{path}/report")
     result["confusion"].write.mode("overwrite").json(f"{path}/confusion")
+    if "record" in result:
+        result["record"].write.mode("overwrite").json(f"{path}/record")
 
 
 def load_model(spark, path: str) -> dict:

@@ -347,7 +347,49 @@ def m18_eval_report(spark, sf):
                   r6(ap).alias("average_precision"), r6(auc).alias("roc_auc"))
 
 
-
+def _print_sql(table: str, columns: list[str]) -> str:
+    one = ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(0))" for c in columns)
+    return (f"(SELECT CAST(count(*) AS VARCHAR) || ':' || CAST(coalesce(sum(CAST('0x' || md5(concat_ws(chr(31), {one}))[1:8] AS BIGINT)), 0) AS VARCHAR) "
+            f"FROM {table})")
+
+
+_RECORD_SQL = _REPORT_SQL[:_REPORT_SQL.rindex("SELECT class, round(precision")] + f""", long AS (
+  SELECT 'report' AS section, class AS name, 'precision' AS field, precision AS value, '' AS text FROM al
+  UNION ALL SELECT 'report', class, 'recall', recall, '' FROM al UNION ALL SELECT 'report', class, 'f1', f1, '' FROM al
+  UNION ALL SELECT 'report', class, 'support', support, '' FROM al
+  UNION ALL SELECT 'confusion', a.class, b.class, (SELECT count_if(label = a.class AND pred = b.class) FROM ev), '' FROM cls a, cls b
+  UNION ALL SELECT 'class_counts', label, 'n', count(*), '' FROM ev GROUP BY label
+  UNION ALL SELECT 'run', 'accuracy', '', (SELECT n_correct / n FROM tot), ''
+  UNION ALL SELECT 'run', 'tuned_threshold', '', 0.5, ''
+  UNION ALL SELECT 'inputs', 'documents', '', NULL, {_print_sql('documents', ['doc_id', 'text'])}
+  UNION ALL SELECT 'inputs', 'labels', '', NULL, {_print_sql('labels', ['doc_id', 'quality', 'toxic'])}
+  UNION ALL SELECT 'params', 'seed', '', NULL, '42')
+SELECT section, name, field, round(CAST(value AS DOUBLE), 6) AS value, text FROM long"""
+
+
+@register("m18_run_record", _RECORD_SQL)
+def m18_run_record(spark, sf):
+    """The one row of a run, laid out in lines."""
+    from mailsieve.session import read_table
+
+    ev = eval_view(spark, sf).select("label", "pred").checkpoint()
+    inputs = {"documents": read_table(spark, sf, "documents").select("doc_id", "text"),
+              "labels": read_table(spark, sf, "labels").select("doc_id", "quality", "toxic")}
+    one = M.run_record(ev, "label", "pred", CLASSES, inputs=inputs, params={"seed": 42}, tuned_threshold=0.5)
+
+    def line(section, name, field, value=None, text=F.lit("")):
+        value = F.lit(None) if value is None else value
+        return F.struct(F.lit(section).alias("section"), name.alias("name"), field.alias("field"), value.cast("double").alias("value"), text.alias("text"))
+
+    none = F.lit("")
+    report = F.flatten(F.transform("report", lambda r: F.array(*[line("report", r["class"], F.lit(c), r[c]) for c in ("precision", "recall", "f1", "support")])))
+    matrix = F.flatten(F.transform("confusion_matrix", lambda r: F.array(*[line("confusion", r["label"], F.lit(c), r["predicted"][i]) for i, c in enumerate(CLASSES)])))
+    counts = F.transform(F.map_entries("class_counts"), lambda e: line("class_counts", e["key"], F.lit("n"), e["value"]))
+    run = F.array(*[line("run", F.lit(c), none, F.col(c)) for c in ("accuracy", "tuned_threshold")])
+    texts = [F.transform(F.map_entries("inputs"), lambda e: line("inputs", e["key"], none, None, e["value"])),
+             F.transform(F.map_entries("params"), lambda e: line("params", e["key"], none, None, e["value"]))]
+    lines = one.select(F.explode(F.concat(report, matrix, counts, run, *texts)).alias("l")).select("l.*")
+    return lines.select("section", "name", "field", r6("value").alias("value"), "text")
 
 
 _SAT_SQL = EVAL_SQL + """, sat AS (SELECT doc_id, y, CASE WHEN doc_id % 2 = 0 THEN pow(10.0, -(doc_id % 300)) / (1 + doc_id)
