@@ -5,7 +5,7 @@ Layout: ``(doc_id, ns, term, value)`` with ``ns`` in {word, char}; a
 
 Plan shape for scale
 * Term counts of a document are made where its text is read (an Arrow task
-  counts the n-grams of one text at a time), so neither the text nor n-gram
+  counts the n-grams of some texts at once, as sorted integer codes), so neither the text nor n-gram
   occurrences are shuffled or persisted; rows are one per distinct term of a document.
 * Only in-vocabulary rows are shuffled, once, by key: the norm and everything that is
   gathered per document afterwards use that partitioning.
@@ -17,9 +17,11 @@ Plan shape for scale
 
 from __future__ import annotations
 
-from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,35 +36,88 @@ from mailsieve.functions.text import WORD_TOKEN, char_prepare
 from mailsieve.session import checkpoint_dir
 
 
+#: code points (or tokens) of the texts that are counted at once; a longer text is counted alone
+SLICE = 1 << 20
+
+
+def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Neighbouring rows with about SLICE units in all."""
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    at = 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(total, total[at] + SLICE, "right")) - 1)
+        yield at, end
+        at = end
+
+
+def _counted_ngrams(units: np.ndarray, row: np.ndarray, n_units: int, limits: tuple[int, int]):
+    """Per order n of the limits: (n, row, gram, tf, first place of every gram), from the units of all rows side by side.
+
+    The code of an n-gram is the number of its first n-1 units among the distinct ones, and its last unit, so it
+    fits 64 bits whatever the alphabet.
+    """
+    ids = units
+    for n in range(1, limits[1] + 1):
+        if n > 1:
+            ids = ids[:-1].astype(np.int64) * n_units + units[n - 1:]
+        if n == 1 and limits[0] > 1:
+            continue
+        grams, place, ids = np.unique(ids, return_index=True, return_inverse=True)
+        if n >= limits[0]:
+            start = row[:len(ids)]
+            inside = start == row[n - 1:]
+            key, tf = np.unique(start[inside] * len(grams) + ids[inside], return_counts=True)
+            yield n, key // max(len(grams), 1), key % max(len(grams), 1), tf, place
+
+
+def _word_rows(texts: list, limits, token, stop):
+    """(row, term, tf) of the word n-grams of some texts."""
+    tokens = [[t for t in token.findall(x or "") if t not in stop] for x in texts]
+    row = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+    flat = pa.array([t for ts in tokens for t in ts], pa.string()).dictionary_encode()
+    units, names = flat.indices.to_numpy().astype(np.int64), flat.dictionary.to_pylist()
+    for n, at, gram, tf, place in _counted_ngrams(units, row, max(len(names), 1), limits):
+        wanted = np.unique(gram)
+        terms = np.empty(len(place), object)
+        for g, p in zip(wanted.tolist(), place[wanted].tolist()):
+            terms[g] = " ".join([names[u] for u in units[p:p + n]])
+        yield at, pa.array(terms[gram], pa.string()), tf
+
+
+def _char_rows(texts: list, limits):
+    """(row, term, tf) of the character n-grams of some texts."""
+    row = np.repeat(np.arange(len(texts)), [len(t or "") for t in texts])
+    points = np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    alphabet, units = np.unique(points, return_inverse=True)
+    for n, at, gram, tf, place in _counted_ngrams(units.astype(np.int64), row, max(len(alphabet), 1), limits):
+        # only distinct grams become text
+        wanted, which = np.unique(gram, return_inverse=True)
+        spread = points[np.minimum(place[wanted][:, None] + np.arange(n), max(len(points) - 1, 0))] if len(wanted) else points[:0]
+        text = np.ascontiguousarray(spread, np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+        terms = pa.array([text[i:i + n] for i in range(0, len(text), n)], pa.string())
+        yield at, terms.take(pa.array(which)), tf
+
+
 def _count_terms(word_range, char_range, stop_words):
-    """Arrow task: (key, words text, chars text) -> (key, ns, term, tf)."""
+    """Arrow task: (key, words text, chars text) -> (key, ns, term, tf), counted on arrays of many texts at once."""
     def run(batches):
         import regex
 
         token = regex.compile(WORD_TOKEN)
         stop = frozenset(stop_words or ())
         for batch in batches:
-            at, names, terms, counts = [], [], [], []
-            for i in range(batch.num_rows):
-                for ns, column, limits in (("word", 1, word_range), ("char", 2, char_range)):
-                    if limits is None:
-                        continue
-                    items = batch.column(column)[i].as_py() or ""
-                    found: Counter = Counter()
-                    if ns == "word":
-                        items = [t for t in token.findall(items) if t not in stop]
-                    for n in range(limits[0], limits[1] + 1):
-                        windows = zip(*(items[k:] for k in range(n))) if n > 1 else ((x,) for x in items)
-                        found.update(map((" " if ns == "word" else "").join, windows))
-                    at += [i] * len(found)
-                    names += [ns] * len(found)
-                    terms += found.keys()
-                    counts += found.values()
-                if len(at) >= 200_000 or i + 1 == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(pa.array(at, pa.int64())), pa.array(names, pa.string()), pa.array(terms, pa.string()),
-                         pa.array(counts, pa.int64())], ["key", "ns", "term", "tf"])
-                    at, names, terms, counts = [], [], [], []
+            for ns, column, limits in (("word", 1, word_range), ("char", 2, char_range)):
+                if limits is None:
+                    continue
+                values = batch.column(column)
+                sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                for first, end in _slices(sizes):
+                    texts = values.slice(first, end - first).to_pylist()
+                    rows = _word_rows(texts, limits, token, stop) if ns == "word" else _char_rows(texts, limits)
+                    for at, terms, tf in rows:
+                        if len(at):
+                            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at + first)), pa.repeat(pa.scalar(ns), len(at)), terms,
+                                                              pa.array(tf.astype(np.int64))], ["key", "ns", "term", "tf"])
 
     return run
 

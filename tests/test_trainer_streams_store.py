@@ -283,3 +283,27 @@ def test_checkpoint_folder_without_a_preset(tmpdir_path):
     env = {**os.environ, "SPARK_CONF_DIR": tmpdir_path, "PYTHONPATH": os.path.dirname(os.path.dirname(os.path.abspath(__file__)))}
     done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
     assert "fine" in done.stdout, done.stderr[-2000:]
+
+
+def test_ngrams_match_plain_counting(monkeypatch):
+    import pyarrow as pa
+    import regex
+
+    from mailsieve.functions.text import WORD_TOKEN
+    from mailsieve.operators import features as FE
+
+    r = random.Random(1)
+    texts = ["".join(r.choice("ab cé中\0𝒳 the and xx yy") for _ in range(r.randrange(60))) for _ in range(300)] + ["", None, "a", "ab", "the", "abcdef"]
+    token, stop = regex.compile(WORD_TOKEN), {"the", "and"}
+    expected = {}
+    for i, x in enumerate(t or "" for t in texts):
+        words = [t for t in token.findall(x) if t not in stop]
+        grams = [("word", " ".join(words[j:j + n])) for n in (1, 2) for j in range(len(words) - n + 1)]
+        for one in grams + [("char", x[j:j + n]) for n in (3, 4, 5) for j in range(len(x) - n + 1)]:
+            expected[i, *one] = expected.get((i, *one), 0) + 1
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array(texts)], ["key", "w", "c"])
+    for size in (1 << 20, 50):  # texts of one slice, and slices of a few texts
+        monkeypatch.setattr(FE, "SLICE", size)
+        rows = [x for out in FE._count_terms((1, 2), (3, 5), stop)([batch]) for x in zip(*(c.to_pylist() for c in out.columns))]
+        assert len(rows) == len(expected) and {tuple(x[:3]): x[3] for x in rows} == expected
+    assert list(FE._count_terms((1, 2), (3, 5), stop)([batch.slice(0, 0)])) == []
