@@ -147,13 +147,19 @@ def scan_emails(parsed: DataFrame, scorer=None, existing_emails: DataFrame | Non
     p = with_header_flags(with_email_id(with_parsed_defaults(parsed)))
     emails = email_rows(p, source, F.col(order).alias("__ord"))
     new_emails, current = insert_if_absent(emails, existing_emails, "__ord")
-    em = current.select(F.col("id").alias("email_id"), "body_text", F.col("subject").alias("e_subject"),
-                        F.col("sender").alias("e_sender"), preview("body_text").alias("body_preview"))
-    if scorer is rules_scorer:
-        # a projection over the survivors: no join back to the same aggregate
-        per_email = rules_scorer(em)
+    shown = ["subject", "sender"]
+    if scorer is rules_scorer and existing_emails is None:
+        # every row is scored where it is read; what is shuffled is the first one's result, not its body
+        scored = rules_scorer(p.select(F.col(order).alias("__ord"), "email_id", "body_text", *[F.col(c).alias(f"e_{c}") for c in shown],
+                                       preview("body_text").alias("body_preview")))
+        result = F.struct(*[c for c in scored.columns if c not in ("__ord", "email_id")])
+        per_email = scored.groupBy("email_id").agg(F.min_by(result, "__ord").alias("r")).select("email_id", "r.*")
     else:
-        per_email = em.drop("body_text").join(scorer(em.select("email_id", "body_text")), "email_id")
+        em = current.select(F.col("id").alias("email_id"), "body_text", *[F.col(c).alias(f"e_{c}") for c in shown],
+                            preview("body_text").alias("body_preview"))
+        # the rules are a projection over the survivors: no join back to the same aggregate
+        per_email = rules_scorer(em) if scorer is rules_scorer else em.drop("body_text").join(
+            scorer(em.select("email_id", "body_text")), "email_id")
     reasons_list = F.col("reasons_list")
     scans = p.select(
         (F.col(scan_id) if scan_id else F.col(order) + 1).cast("long").alias("id"),
