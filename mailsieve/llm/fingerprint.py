@@ -14,8 +14,8 @@ Two texts without words are alike (1), one without words is like no other (0).
 
 ``with_next`` gives every document its successor without a window over the whole
 table: narrow (key, hash) rows are ranged, the greatest of each range bounds it,
-and a text goes to the range of its key (binary search in at most as many bounds as there are
-shuffle partitions).  The document that bounds a range goes to the following range, too, where
+and a text goes to the range of its key (binary search in at most RANGES + 1 bounds a
+shuffle partition).  The document that bounds a range goes to the following range, too, where
 it is the successor of the first.  So texts are shuffled once, in ranges of equal numbers of rows.
 
 Null text is empty, a null key comes last.  Rows of one key are ordered by their
@@ -33,6 +33,8 @@ from mailsieve.session import checkpoint_dir
 
 K = 64
 WORDS = 5
+#: ranges of documents per shuffle partition, so that their distribution by hash is even
+RANGES = 4
 #: hex digits of a hash
 DIGITS = 16
 WORD = r"[\x20\x09-\x0D]+"
@@ -112,8 +114,12 @@ def with_next(docs: DataFrame, key: str, text: str, carry: list[str]) -> DataFra
     checkpoint_dir(docs.sparkSession)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     place = F.struct(F.col(key).alias("k"), F.xxhash64(text).alias("h")).alias("o")
-    ranged = docs.select(place).repartitionByRange(n, "o").select(F.spark_partition_id().alias("part"), "o")
-    ends = ranged.groupBy("part").agg(F.max("o").alias("end")).checkpoint()
+    # every so many rows of a sorted partition end a range, the last one too
+    rows = max(1, math.ceil(docs.count() / (RANGES * n)))
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = docs.select(place).repartitionByRange(n, "o").sortWithinPartitions("o").select(
+        F.spark_partition_id().alias("part"), F.floor(row / rows).alias("k"), "o")
+    ends = ranged.groupBy("part", "k").agg(F.max("o").alias("end")).checkpoint()
     bounds = ends.agg(F.sort_array(F.collect_list("end")).alias("ends")).scalar()
 
     def part(x: Column) -> Column:
@@ -122,7 +128,7 @@ def with_next(docs: DataFrame, key: str, text: str, carry: list[str]) -> DataFra
             before = F.get(x["ends"], mid) < x["o"]
             return F.struct(F.when(before, mid + 1).otherwise(at["lo"]).alias("lo"), F.when(before, at["hi"]).otherwise(mid).alias("hi"))
 
-        steps = F.sequence(F.lit(0), F.lit(math.ceil(math.log2(max(n, 2))) + 1))
+        steps = F.sequence(F.lit(0), F.lit(math.ceil(math.log2((RANGES + 1) * n)) + 1))
         found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), (F.size(x["ends"]) - 1).alias("hi")), halve)["lo"]
         own = F.array(F.struct(found.alias("part"), F.lit(False).alias("again")))
         more = F.array(F.struct(F.pmod(found + 1, F.size(x["ends"])).alias("part"), F.lit(True).alias("again")))
