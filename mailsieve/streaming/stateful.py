@@ -31,15 +31,23 @@ from mailsieve.operators.classify import with_header_flags
 from mailsieve.operators.scans import reason_string, rules_scorer, with_email_id, with_parsed_defaults
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: for the counts, whose state is a row a label and open day
+IN_MEMORY = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
 #: what a later message of an id takes over from the first one
 RESULT = ("subject", "sender", "body_preview", "label", "confidence", "reasons", "fallback_reason")
 RESULT_SCHEMA = "subject string, sender string, body_preview string, label string, confidence double, reasons string, fallback_reason string"
 
 
-def use_state_store(spark: SparkSession) -> None:
-    """State in RocksDB: off the heap, with a changelog in the stream's checkpoint."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+#: off-heap memory that all state stores of an executor share
+STORE_MB = 256
+
+
+def use_state_store(spark: SparkSession, provider: str = ROCKSDB) -> None:
+    """State of the streams started next: RocksDB is off the heap within STORE_MB an executor, with a changelog in the stream's checkpoint."""
+    store = "spark.sql.streaming.stateStore"
+    for key, value in ((f"{store}.providerClass", provider), (f"{store}.rocksdb.changelogCheckpointing.enabled", "true"),
+                       (f"{store}.rocksdb.boundedMemoryUsage", "true"), (f"{store}.rocksdb.maxMemoryUsageMB", str(STORE_MB))):
+        spark.conf.set(key, value)
 
 
 class FirstWins(StatefulProcessor):
@@ -112,7 +120,7 @@ def start_counts(scans: DataFrame, path: str, checkpoint: str, delay: str = "1 d
 
         return write
 
-    use_state_store(scans.sparkSession)
+    use_state_store(scans.sparkSession, IN_MEMORY)
     streams = ((windowed_counts(scans, delay), "windows", lambda b: b), (scans.select("created_at", "label"), "arrivals", arrival_counts))
     return [s.writeStream.outputMode("update" if kind == "windows" else "append").foreachBatch(writer(kind, narrow)).option(
         "checkpointLocation", f"{checkpoint}/{kind}").trigger(availableNow=True).start() for s, kind, narrow in streams]
