@@ -49,6 +49,67 @@ def test_csv_corpora_fingerprints_and_sinks(spark, tmpdir_path):
         assert "body_text" in str(e)
 
 
+def test_many_csv_files_are_one_scan(spark, tmpdir_path):
+    heads = (["label", "body_text"], ["body_text", "extra x", "label"], ["id", "label", "body_text", "id"], ["label", "body_text", ""])
+    names = []
+    for i in range(1000):
+        values = [f"{n or 'none'} {i}" for n in heads[i % 4]]
+        names.append(_w(tmpdir_path, f"in/{i % 7} a+[b]%/{i:04}.csv", (",".join(heads[i % 4]) + "\n" + ",".join(values) + "\n").encode()))
+    df = ML.read_csv_corpora(spark, names)
+    assert df.columns == ["label", "body_text", "_c2", "id", "extra x", "source_file"]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan csv") == 1
+    got = {r["body_text"]: r for r in df.collect()}
+    assert len(got) == 1000
+    for i in range(1000):
+        r = got[f"body_text {i}"]
+        assert r["label"] == f"label {i}" and r["source_file"].endswith(f"/{i:04}.csv")
+        assert (r["extra x"], r["id"], r["_c2"]) == (f"extra x {i}" if i % 4 == 1 else None, f"id {i}" if i % 4 == 2 else None,
+                                                     f"none {i}" if i % 4 == 3 else None)
+    assert ML.read_csv_corpora(spark, [os.path.join(tmpdir_path, "in")]).count() == 1000  # a folder
+    long = _w(tmpdir_path, "big.bin", bytes(range(256)) * 80_000)  # more than one range
+    fp = ML.file_fingerprints(spark, [*names[:50], long, os.path.join(tmpdir_path, "none.csv")])
+    got = {r["path"]: r["sha256"] for r in fp.collect()}
+    assert got == {n: hashlib.sha256(open(n, "rb").read()).hexdigest() for n in [*names[:50], long]} | {os.path.join(tmpdir_path, "none.csv"): "NA"}
+
+
+def test_mail_tree_lists_packs_and_streams(spark, tmpdir_path):
+    from mailsieve.sources import mail_tree as MT
+
+    sizes = {f"{i % 3}/{i:03}.eml": i * 37 for i in range(300)} | {".hidden": 4, "a.ZIP": 9, "0/big.eml": 50_000}
+    for name, n in sizes.items():
+        _w(tmpdir_path, "tree/" + name, b"x" * n)
+    root = os.path.join(tmpdir_path, "tree")
+    listed = ML.list_files(spark, root)
+    assert {r["path"]: r["length"] for r in listed.collect()} == {f"file:{root}/{k}": v for k, v in sizes.items()}
+    assert listed.columns == ["path", "length", "modificationTime"]
+    read = ML.read_messages(spark, root, max_bytes=20_000)
+    assert {r["path"]: r["content"] for r in read.collect()} == {
+        f"file:{root}/{k}": bytearray(b"x" * v) for k, v in sizes.items() if v <= 20_000 and not k.endswith("ZIP")}
+    parts = MT.pack(MT.files(root), 20_000, 100)
+    assert [f for p in parts for f in p.listed] == MT.files(root)  # none lost, none twice
+    assert all(len(p.listed) == 1 or sum(f[1] + 100 for f in p.listed) <= 20_000 for p in parts)
+    empty = os.path.join(tmpdir_path, "nothing")
+    os.makedirs(empty)
+    assert ML.read_messages(spark, empty).count() == 0
+
+    def step(to):
+        stream = spark.readStream.format("mail_tree").option("log", os.path.join(tmpdir_path, "log")).load(root)
+        q = stream.select("path", "length").writeStream.format("parquet").option("path", to).option(
+            "checkpointLocation", os.path.join(tmpdir_path, "ck")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+        return {(r["path"], r["length"]) for r in spark.read.parquet(to).collect()}, spark.read.parquet(to).count()
+
+    out = os.path.join(tmpdir_path, "out")
+    rows, n = step(out)
+    assert n == len(sizes) and rows == {(f"file:{root}/{k}", v) for k, v in sizes.items()}
+    _w(tmpdir_path, "tree/1/new.eml", b"")
+    os.utime(os.path.join(root, "1/new.eml"), (1, 1))  # older than all others, and yet read
+    rows, n = step(out)
+    assert n == len(sizes) + 1 and (f"file:{root}/1/new.eml", 0) in rows
+
+
 def test_candidate_cap_per_folder(spark, tmpdir_path):
     for i in range(5):
         _w(tmpdir_path, f"spam/{i}.eml", b"From: a@b\r\n\r\nthis body is certainly long enough to keep " + bytes([48 + i]))
