@@ -8,8 +8,8 @@ offsets.  Only texts that contain a pattern at all are split.
 Ownership: the value of every candidate (the base values and any further token
 of MIN_TOKEN or more base64 characters that mixes digits and letters) is
 hashed; per hash the distinct repositories (documents) and owners (sources) are
-counted.  A value in fewer than ``copied_owners`` owners' documents looks live and
-owner-specific, one in more is a widely copied example.  Owner-specific tokens
+counted.  A value is a widely copied example if ``copied_owners`` owners or more have it, or if its
+owners have it in ``copied_repos`` repositories or more each, on average; any other looks live and owner-specific.  Owner-specific tokens
 outside the base spans are added as spans of kind ``owned``.
 
 Scale: texts are read once and never shuffled; what is written and shuffled is
@@ -37,6 +37,7 @@ HEX_LONG = "[0-9a-f]{%d,}" % MIN_HEX
 #: a possible further token, bounded by characters outside the alphabet
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{%d,}={0,2}(?![A-Za-z0-9+/_=-])" % MIN_TOKEN
 COPIED_OWNERS = 3
+COPIED_REPOS = 10
 KINDS = ("assign", "access", "hex", "owned")
 
 
@@ -75,7 +76,7 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def scan(docs: DataFrame, text: str = "text", repository: str = "doc_id", owner: str = "source",
-         copied_owners: int = COPIED_OWNERS) -> DataFrame:
+         copied_owners: int = COPIED_OWNERS, copied_repos: int = COPIED_REPOS) -> DataFrame:
     """One row per document: repository key, ``base`` (spans by start and kind) and ``spans`` (base and owned).
 
     A span: start, kind (index in KINDS), end, match, and in ``spans`` also n_repos, n_owners, live.
@@ -92,7 +93,8 @@ def scan(docs: DataFrame, text: str = "text", repository: str = "doc_id", owner:
     repos = each.select("h", "repo").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n_repos"))
     owners = each.select("h", "owner").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n_owners"))
     counted = repos.join(owners, "h").checkpoint()
-    judged = each.join(counted, "h").withColumn("live", F.col("n_owners") < copied_owners)
+    owned = (F.col("n_owners") < copied_owners) & (F.col("n_repos") < copied_repos * F.col("n_owners"))
+    judged = each.join(counted, "h").withColumn("live", owned)
     kept = judged.where((F.col("s.kind") < 3) | F.col("live"))
     one = F.struct(*[F.col(f"s.{x}").alias(x) for x in ("start", "kind", "end", "match")], "n_repos", "n_owners", "live")
     spans = kept.groupBy("row").agg(F.sort_array(F.collect_list(one)).alias("spans"))
