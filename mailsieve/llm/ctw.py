@@ -173,7 +173,7 @@ def lm_scores(docs: DataFrame, text: str = "text", key: str = "doc_id", depth: i
     kind = docs.schema[key].dataType.simpleString()
     flat = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), held_out(key).alias("held_out"))
     flat = flat.withColumn("train", ~F.col("held_out"))
-    rows, n_chunks, shards, merged = G.prepare(flat, "text", "train", depth, lower=True, with_words=True, chunk_bytes=CHUNK_BYTES)
+    rows, asked, shards, merged = G.prepare(flat, "text", "train", depth, lower=True, with_words=True, chunk_bytes=CHUNK_BYTES)
 
     def shallow(batches):
         for batch in batches:
@@ -204,7 +204,7 @@ def lm_scores(docs: DataFrame, text: str = "text", key: str = "doc_id", depth: i
                                                  ["shard", "payload"])
 
     model = merged.mapInArrow(values, "shard int, payload binary").checkpoint()
-    answers = G.answer(rows, model, n_chunks)
+    answers = G.answer(rows, model, asked)
     return G.scored(rows, answers, "text", "train", depth, shards, True, True,
                     lambda d, c, grams, words: _score(d, c, grams, words, depth, n, v),
                     f"key {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "

@@ -34,6 +34,8 @@ START, END = 0xFE, 0xFF
 CHUNK_BYTES = 24 << 20
 SHARD_BYTES = 16 << 20
 FAN = 64
+#: requests that one copy of a shard's model answers, at least
+ANSWER_BYTES = 32 << 20
 ROWS = "chunk long, shard int, salt int, payload binary"
 DOCS = -1
 #: key of the end token among the words
@@ -209,12 +211,23 @@ def merge(rows: DataFrame, n_chunks: int) -> DataFrame:
         now = now.withColumn("part", F.pmod("part", F.lit(parts)).cast("int"))
 
 
-def answer(rows: DataFrame, model: DataFrame, n_chunks: int) -> DataFrame:
-    """ROWS: the values of every request, in the request's order; ``model``: (shard, payload of keys and values)."""
-    salts = max(1, math.ceil(n_chunks / FAN))
-    salt = F.pmod(F.xxhash64("chunk"), F.lit(salts)).cast("int")
-    asked = rows.where(F.col("shard") != DOCS).withColumn("salt", salt)
-    spread = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+def copies(asked: int, model: int) -> int:
+    """Copies of a shard's model: one, and more only while their bytes together are at most those of the shard's requests."""
+    return max(1, asked // max(model, ANSWER_BYTES, 1))
+
+
+def answer(rows: DataFrame, model: DataFrame, asked_bytes: dict[int, int]) -> DataFrame:
+    """ROWS: the values of every request, in the request's order; ``model``: (shard, payload of keys and values).
+
+    A shard's requests are salted by their own bytes (``asked_bytes``): a task holds one model and at
+    most about twice max(model, ANSWER_BYTES) of requests, and copied models never exceed the requests they answer.
+    """
+    sizes = model.select("shard", F.octet_length("payload").alias("n")).collect()  # one row per shard
+    made = [(x.shard, copies(asked_bytes.get(x.shard, 0), x.n)) for x in sizes]
+    salts = F.broadcast(model.sparkSession.createDataFrame(made, "shard int, salts int"))
+    asked = rows.where(F.col("shard") != DOCS).drop("salt").join(salts, "shard").select(
+        "chunk", "shard", F.pmod(F.xxhash64("chunk"), F.col("salts")).cast("int").alias("salt"), "payload")
+    spread = model.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
 
     def run(left, right):
         if not left.num_rows:
@@ -293,9 +306,11 @@ def scored(rows: DataFrame, answers: DataFrame, text: str, train: str, depth: in
 
 
 def prepare(docs: DataFrame, text: str, train: str, depth: int, lower: bool, with_words: bool, chunk_bytes: int = CHUNK_BYTES):
-    """(rows, number of chunks, number of shards, merged counts)."""
+    """(rows, bytes of requests per shard, number of shards, merged counts)."""
     checkpoint_dir(docs.sparkSession)
     shards = shard_count(docs, text)
     rows = chunks(docs, text, train, depth, shards, lower, with_words, chunk_bytes)
-    n_chunks = rows.where(F.col("shard") == DOCS).count()
-    return rows, n_chunks, shards, merge(rows, n_chunks)
+    # one row per shard
+    found = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("k"), F.sum(F.octet_length("payload").cast("long")).alias("n")).collect()
+    n_chunks = sum(x.k for x in found if x.shard == DOCS)
+    return rows, {x.shard: x.n for x in found if x.shard != DOCS}, shards, merge(rows, n_chunks)

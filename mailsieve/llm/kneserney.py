@@ -4,19 +4,20 @@ An interpolated modified Kneser-Ney model of characters (UTF-8 bytes, ORDER of
 them) is trained on the trusted documents: counts at the highest order, continuation counts
 (number of different preceding bytes) below, three discounts an order from the counts of counts.
 The perplexity per byte of every document is compared with a threshold of its
-language, from the trusted documents that were held out of the training: their
-median in the language times the QUANTILE of perplexity / median over the held-out
-documents of all languages.  A document above it is rejected.  A few odd trusted
-documents neither move a median nor the quantile, of which SPARE held-out documents at least
-lie outside however few there are.
+language: the QUANTILE of the language's trusted documents that were held out of the training.
+With few of them it is shrunk, in logarithms, towards what all languages say: of n held-out
+documents the language's own quantile weighs n / (n + QUANTILE_PRIOR), the rest is its centre times the QUANTILE of
+perplexity / centre over the held-out documents of all languages; the centre is the language's median, which weighs
+n / (n + CENTRE_PRIOR) against the median of all.  So a few odd trusted documents move a threshold little, and no
+number of documents makes a jump.  A document above its threshold is rejected.
 
 Counts are kept, merged and looked up in shards (see gramtables); the two
 lowest orders have at most 256 * 256 entries, which are summed by Spark,
 finished on the driver and broadcast.  The trusted keys are joined to the documents: by broadcast
 while they are at most BROADCAST_KEYS, else by a shuffle join.
 
-Null text is empty: only its end is scored.  A null or unseen language, or one
-with fewer than MIN_CALIBRATION held-out trusted documents, has the median of all languages.  Without trusted documents nothing is
+Null text is empty: only its end is scored.  Null is a language; one
+without held-out trusted documents has the threshold that all languages give.  Without trusted documents nothing is
 rejected (the threshold is null).  Repeated rows are scored each; repeated labels count once.
 """
 
@@ -32,10 +33,9 @@ from mailsieve.llm.textbytes import slices
 
 ORDER = 5
 #: chosen on labelled rows outside the training, see README
-QUANTILE = 0.985
-SPARE = 2
+QUANTILE = 0.97
+CENTRE_PRIOR, QUANTILE_PRIOR = 20, 200
 FOLDS, FOLD = 5, 0
-MIN_CALIBRATION = 20
 BROADCAST_KEYS = 1_000_000
 
 
@@ -125,7 +125,7 @@ def perplexity(docs: DataFrame, train: Column, text: str = "text", keep: tuple[s
     depth = order - 1
     flat = docs.select(*[F.col(k).alias(f"c{i}") for i, k in enumerate(keep)], F.coalesce(F.col(text), F.lit("")).alias("text"),
                        F.coalesce(train, F.lit(False)).alias("train"))
-    rows, n_chunks, shards, merged = G.prepare(flat, "text", "train", depth, lower=False, with_words=False)
+    rows, asked, shards, merged = G.prepare(flat, "text", "train", depth, lower=False, with_words=False)
 
     def shared(batches):
         """Per shard the counts of counts of each order (key -4 * d - k) and the continuation counts of pairs."""
@@ -152,7 +152,7 @@ def perplexity(docs: DataFrame, train: Column, text: str = "text", keep: tuple[s
                 yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([G.pack(code, value.astype(np.float32))], pa.binary())],
                                                  ["shard", "payload"])
 
-    answers = G.answer(rows, merged.mapInArrow(values, "shard int, payload binary").checkpoint(), n_chunks)
+    answers = G.answer(rows, merged.mapInArrow(values, "shard int, payload binary").checkpoint(), asked)
 
     def score(table, column, grams, _):
         out = []
@@ -171,6 +171,24 @@ def perplexity(docs: DataFrame, train: Column, text: str = "text", keep: tuple[s
     return done.select(*[F.col(f"c{i}").alias(k) for i, k in enumerate(keep)], "train", "n_bytes", "log10_prob", "perplexity")
 
 
+def language_thresholds(held: DataFrame, quantile: float) -> tuple[DataFrame, float | None]:
+    """(__lang, own: the language's threshold) and the threshold of a language without held-out documents."""
+    def at(x, share):
+        return F.percentile_approx(x, share, 100_000)
+
+    def shrunk(own, n, prior, towards):
+        return F.exp((n * F.ln(own) + prior * F.ln(towards)) / (n + prior))
+
+    overall = held.agg(at("perplexity", 0.5)).first()[0]  # one row
+    per = held.groupBy(F.col("lang").alias("__lang")).agg(
+        at("perplexity", 0.5).alias("middle"), at("perplexity", quantile).alias("high"), F.count(F.lit(1)).alias("n"))
+    per = per.withColumn("centre", shrunk(F.col("middle"), F.col("n"), CENTRE_PRIOR, F.lit(overall).cast("double")))
+    spread = held.join(per, F.col("lang").eqNullSafe(F.col("__lang"))).agg(
+        at(F.col("perplexity") / F.col("centre"), quantile)).first()[0]  # one row
+    own = shrunk(F.col("high"), F.col("n"), QUANTILE_PRIOR, F.col("centre") * F.lit(spread).cast("double"))
+    return per.select("__lang", own.alias("own")), None if overall is None else overall * spread
+
+
 def classify(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", lang: str = "lang",
              quantile: float = QUANTILE) -> DataFrame:
     """key, lang, trusted, n_bytes, log10_prob, perplexity, threshold, keep for every document.
@@ -184,18 +202,9 @@ def classify(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str =
     marked = flat.join(keys, F.col("key") == F.col("__trusted"), "left").withColumn("trusted", F.col("__trusted").isNotNull())
     fold = F.coalesce(F.crc32(F.col("key").cast("string")) % FOLDS == FOLD, F.lit(False))
     found = perplexity(marked, F.col("trusted") & ~fold, "text", ("key", "lang", "trusted")).checkpoint()
-    held = found.where(F.col("trusted") & ~F.col("train"))
-    middle = F.percentile_approx("perplexity", 0.5, 100_000)
-    overall, n = held.agg(middle, F.count(F.lit(1))).first()  # one row
-    by_lang = held.groupBy(F.col("lang").alias("__lang")).agg(middle.alias("own"), F.count(F.lit(1)).alias("n")).where(
-        F.col("n") >= MIN_CALIBRATION).drop("n")
-    centre = F.coalesce(F.col("own"), F.lit(overall).cast("double"))
-    same_lang = F.col("lang").eqNullSafe(F.col("__lang"))
-    share = min(quantile, max(0.5, 1 - SPARE / n)) if n else quantile
-    spread = held.join(by_lang, same_lang, "left").agg(
-        F.percentile_approx(F.col("perplexity") / centre, share, 100_000).alias("x")).first().x  # one row
-    judged = found.join(by_lang, same_lang, "left")
-    threshold = centre * F.lit(spread).cast("double")
+    thresholds, everywhere = language_thresholds(found.where(F.col("trusted") & ~F.col("train")), quantile)
+    judged = found.join(thresholds, F.col("lang").eqNullSafe(F.col("__lang")), "left")
+    threshold = F.coalesce(F.col("own"), F.lit(everywhere).cast("double"))
     return judged.select(F.col("key").alias(key), F.col("lang").alias(lang), "trusted", "n_bytes", "log10_prob", "perplexity",
                          threshold.alias("threshold"),
                          F.coalesce(F.col("perplexity") <= threshold, F.lit(True)).alias("keep"))
