@@ -24,6 +24,8 @@ from mailsieve.operators.scans import _day, filter_scans
 
 RANGE = 1 << 16
 BLOCK = 1 << 12
+#: sizes of bloom filter that a file chooses from, each half of the one before, from 1 MB on
+BLOOM_SIZES = 15
 RANKS = "range long, n long, below long, first_day date, last_day date"
 
 
@@ -61,6 +63,8 @@ class ScanStore:
                 raise ValueError(f"ids up to {top[1]} are stored; the new ones begin at {lowest}")
         for column in ("id", "email_id"):
             writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        # as large as the rows of a file ask for: a filter without this has the greatest size, 1 MB, in every day's file
+        writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.bloom.filter.candidates.number", str(BLOOM_SIZES))
         writer.parquet(f"{self.path}/rows")
         stored = 0 if top is None else top[0]
         # what was stored before is counted again only in the range that is continued
