@@ -86,10 +86,10 @@ def start_view_stream(spark: SparkSession, sf_dir: str, emails_path: str, scans_
     from mailsieve.operators.classify import parsed_from_view
     from mailsieve.sources import tables
 
-    # a file stream source watches a directory; the table's files are selected by name
-    docs = (spark.readStream.schema(spark.read.parquet(f"{sf_dir}/documents.parquet").schema)
-            .option("pathGlobFilter", "documents*.parquet")
-            .option("maxFilesPerTrigger", max_files_per_trigger).parquet(sf_dir))
+    # the table is one file, or a folder of files; a glob path finds both
+    table = f"{sf_dir.rstrip('/')}/documents*.parquet"
+    docs = (spark.readStream.schema(spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet").schema)
+            .option("maxFilesPerTrigger", max_files_per_trigger).parquet(table))
     view = parsed_from_view(tables.email_view_of(docs))
     name = f"view-{uuid.uuid4().hex}"
     ck = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/view_stream"
