@@ -112,7 +112,7 @@ def weight_arrays(weights: DataFrame, classes) -> DataFrame:
 
 def class_scores(features: DataFrame, weights: DataFrame, key: str = "doc_id", classes=CLASSES) -> DataFrame:
     """Per (doc, label) sum of value x weight, one joined row per feature."""
-    j = features.join(weight_arrays(weights, classes), ["ns", "term"])
+    j = features.join(F.broadcast(weight_arrays(weights, classes)), ["ns", "term"])
     per = j.groupBy(key).agg(*[F.sum(F.col("value") * F.col("w")[i]).alias(f"__{i}") for i in range(len(classes))])
     return per.select(key, F.inline(F.array(*[F.struct(F.lit(c).alias("label"), F.col(f"__{i}").alias("dot"))
                                              for i, c in enumerate(classes)])))
@@ -121,7 +121,7 @@ def class_scores(features: DataFrame, weights: DataFrame, key: str = "doc_id", c
 def logits(docs: DataFrame, features: DataFrame, weights: DataFrame, intercepts: dict, classes,
            key: str = "doc_id") -> DataFrame:
     """M10 step 1: logits array (class order) per document, docs without known terms included."""
-    j = features.join(weight_arrays(weights, classes), ["ns", "term"])
+    j = features.join(F.broadcast(weight_arrays(weights, classes)), ["ns", "term"])
     per = j.groupBy(key).agg(*[F.sum(F.col("value") * F.col("w")[i]).alias(f"__{i}") for i in range(len(classes))])
     arr = F.array(*[F.coalesce(F.col(f"__{i}"), F.lit(0.0)) + F.lit(float(intercepts.get(c, 0.0))) for i, c in enumerate(classes)])
     return docs.select(key).join(per, key, "left").select(key, arr.alias("logits"))
@@ -134,7 +134,7 @@ def predict_explained(docs: DataFrame, features: DataFrame, weights: DataFrame,
 
     A document's in-vocabulary terms meet in one row, with their contributions to every class.
     """
-    j = features.join(weight_arrays(weights, classes), ["ns", "term"])
+    j = features.join(F.broadcast(weight_arrays(weights, classes)), ["ns", "term"])
     one = F.struct("ns", "term", F.transform("w", lambda x: x * F.col("value")).alias("c"))
     per = j.groupBy(key).agg(F.collect_list(one).alias("__t"))
 
@@ -206,7 +206,7 @@ def model_scorer(vocab: DataFrame, weights: DataFrame, intercepts: dict, classes
     def score(emails: DataFrame) -> DataFrame:
         docs = emails.select(F.col("email_id"), F.col("body_text"))
         use_char = not vocab.where(F.col("ns") == "char").isEmpty()
-        feats = FE.transform(FE.terms(docs, "email_id", "body_text", use_char), vocab, "email_id")
+        feats = FE.transform_texts(docs, vocab, "email_id", "body_text", use_char)
         p = predict_explained(docs.select("email_id"), feats, weights, intercepts, classes, thresholds, temperature, "email_id", k)
         return p.select("email_id", "label", F.col("confidence").cast("double").alias("confidence"),
                         F.transform("reasons", lambda s: F.struct(s["token"].alias("token"), s["weight"].alias("weight"))).alias("reasons_list"),
