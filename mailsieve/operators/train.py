@@ -173,7 +173,9 @@ def train_job(corpus: DataFrame, *, binary: bool = False, use_char: bool = False
     else:
         index = FE.feature_index(vocab).cache()
         size = index.count()
-        vec_tr = FE.to_vectors(f_tr, index, size, key).join(M.with_sample_weight(tr, cw), key)
+        # every fit and every candidate's scores read what is written here once: the texts are not counted again
+        vec_tr = FE.to_vectors(f_tr, index, size, key).join(M.with_sample_weight(tr, cw), key).select("label", "features", "weight").checkpoint()
+        f_va = f_va.checkpoint()
         candidates = []
         for rp in reg_params:
             _, wt, ic = logistic_regression(vec_tr, index, classes, rp)
@@ -196,7 +198,7 @@ def train_job(corpus: DataFrame, *, binary: bool = False, use_char: bool = False
         cal = pv.join(va.select(key, "label"), key).withColumn("label_idx", lab_idx[F.col("label")])
         temperature = M.fit_temperature(cal, "logits", "label_idx")
         pv = predict(va.select(key), f_va, weights, intercepts, classes, temperature=temperature, key=key)
-    ev = pv.select(key, F.col("label").alias("pred"), "prob_map").join(va.select(key, "label"), key)
+    ev = pv.select(key, F.col("label").alias("pred"), "prob_map").join(va.select(key, "label"), key).checkpoint()
     tuned = None
     if binary:
         b = ev.select((F.col("label") == "not_safe").cast("int").alias("y"), F.col("prob_map")["not_safe"].alias("p"))
