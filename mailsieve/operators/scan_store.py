@@ -62,9 +62,9 @@ class ScanStore:
             if lowest is not None and lowest <= top[1]:
                 raise ValueError(f"ids up to {top[1]} are stored; the new ones begin at {lowest}")
         for column in ("id", "email_id"):
-            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true").option(f"parquet.bloom.filter.candidates.number#{column}", str(BLOOM_SIZES))
         # as large as the rows of a file ask for: a filter without this has the greatest size, 1 MB, in every day's file
-        writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.bloom.filter.candidates.number", str(BLOOM_SIZES))
+        writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true")
         writer.parquet(f"{self.path}/rows")
         stored = 0 if top is None else top[0]
         # what was stored before is counted again only in the range that is continued
