@@ -40,7 +40,7 @@ from mailsieve.session import checkpoint_dir
 SLICE = 1 << 20
 
 
-def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+def slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
     """Neighbouring rows with about SLICE units in all."""
     total = np.concatenate([[0], np.cumsum(sizes)])
     at = 0
@@ -126,7 +126,7 @@ def _grams_of(words, chars, word_range, char_range, token, stop):
         if limits is None:
             continue
         sizes = pc.fill_null(pc.binary_length(values), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        for first, end in _slices(sizes):
+        for first, end in slices(sizes):
             texts = values.slice(first, end - first).to_pylist()
             for found in _word_grams(texts, limits, token, stop) if ns == "word" else _char_grams(texts, limits):
                 yield ns, first, *found
@@ -258,7 +258,7 @@ def _weigh_texts(vocabulary, word_range, char_range, stop_words):
             sizes = [pc.fill_null(pc.binary_length(batch.column(c).flatten()), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (1, 2)]
             total, ends = np.concatenate([[0], np.cumsum(sizes[0] + sizes[1])]), np.cumsum(lengths)
             # keys with about SLICE bytes in all
-            for first, end in _slices(total[ends] - total[ends - lengths]):
+            for first, end in slices(total[ends] - total[ends - lengths]):
                 keys, words, chars = batch.slice(first, end - first).columns
                 yield from _weighed(keys, words, chars, known, word_range, char_range, token, stop)
 
