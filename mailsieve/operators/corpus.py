@@ -51,8 +51,9 @@ def training_rows(df: DataFrame, text: str = "body_text", label: str = "label")
 
     Null text is dropped (the pandas path would have kept the string 'nan').
     """
-    out = df.withColumn(label, canonical_label(label)).withColumn(text, strip(F.col(text)))
-    return out.where(F.col(text).isNotNull() & (F.col(text) != "") & F.col(label).isin(*CLASSES))
+    # a text that is not only white space; the rows that stay are stripped, not every row for the filter
+    out = df.withColumn(label, canonical_label(label)).where(F.col(text).rlike(r"(?U)\S") & F.col(label).isin(*CLASSES))
+    return out.withColumn(text, strip(F.col(text)))
 
 
 def training_rows_report(df: DataFrame, text: str = "body_text", label: str = "label") -> DataFrame:

@@ -386,16 +386,16 @@ def fit_temperature(df: DataFrame, logits: str, label_idx: str, tolerance: float
 
 # --- split ----------------------------------------------------------------------------
 
-def hash_rank(df: DataFrame, key: str, group: list[str], seed: int = SEED_DEFAULT) -> DataFrame:
+def hash_rank(df: DataFrame, key: str, group: list[str], seed: int = SEED_DEFAULT, narrow: DataFrame | None = None) -> DataFrame:
     """Rank rows inside ``group`` by md5("seed:key") (ties by key), plus the group size.
 
     Narrow rows (group, key) are ranked bucket by bucket: counts per (group, first 3 hex
     digits) give each bucket's offset, a window ranks inside it, so a group holding most
     rows is spread over 4,096 buckets.  Rows join their rank by key; null labels are a group.
-    Adds ``__rank`` and ``__n``.  ``key`` is unique and not null.
+    Adds ``__rank`` and ``__n``.  ``key`` is unique and not null.  ``narrow``: key and group of the same rows, if written before.
     """
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
-    x = df.select(F.col(key).alias("__key"), *[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], h.alias("__h"))
+    x = (df if narrow is None else narrow).select(F.col(key).alias("__key"), *[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], h.alias("__h"))
     x = x.withColumn("__b", F.conv(F.substring("__h", 1, 3), 16, 10).cast("int"))
     by = [f"__g{i}" for i in range(len(group))]
     cnt = x.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__nb"))
@@ -418,23 +418,27 @@ def stratified_split(df: DataFrame, key: str, label: str = "label", val_size: fl
     Rows are ranked inside their label by md5("seed:key"); the first are validation:
     floor(n_c * val_size) of each label, and one more of the labels with the largest remainders (ties: the smaller
     label) until there are ceil(n * val_size) in all.  When a class has fewer than two rows
-    (D9) the rank runs over all rows instead.  See ``hash_rank`` for the plan.
+    (D9) the rank runs over all rows instead.  See ``hash_rank`` for the plan.  Keys and labels are written once,
+    as ranks, bucket and label counts all read them: ``df`` itself, with its texts, is read for the result only.
     """
+    checkpoint_dir(df.sparkSession)
+    narrow = df.select(key, label).checkpoint()
     if stratify is None:
-        m = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("m")).first()["m"]
+        m = narrow.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("m")).first()["m"]
         stratify = (m or 0) >= 2
-    r = hash_rank(df, key, [label] if stratify else [], seed)
+    r = hash_rank(df, key, [label] if stratify else [], seed, narrow)
     if not stratify:
         n_val = F.ceil(F.col("__n") * F.lit(float(val_size)))
         return r.withColumn("split", F.when(F.col("__rank") <= n_val, F.lit("val")).otherwise(F.lit("train"))).drop("__rank", "__n")
     # one row per label
-    per = df.groupBy(F.col(label).alias("__label")).agg(F.count(F.lit(1)).alias("__c"))
+    per = narrow.groupBy(F.col(label).alias("__label")).agg(F.count(F.lit(1)).alias("__c"))
     share = F.col("__c") * F.lit(float(val_size))
     every = Window.partitionBy()
     order = Window.orderBy(F.desc(F.round(share - F.floor(share), 9)), F.asc_nulls_first("__label"))
     left = F.ceil(F.round(F.sum("__c").over(every) * F.lit(float(val_size)), 9)) - F.sum(F.floor(share)).over(every)
     quota = per.select("__label", (F.floor(share) + F.when(F.row_number().over(order) <= left, 1).otherwise(0)).alias("__quota"))
-    j = r.join(quota, F.col(label).eqNullSafe(F.col("__label")))
+    # a row a class: the texts are not shuffled by label
+    j = r.join(F.broadcast(quota), F.col(label).eqNullSafe(F.col("__label")))
     return j.withColumn("split", F.when(F.col("__rank") <= F.col("__quota"), F.lit("val")).otherwise(F.lit("train"))) \
         .drop("__rank", "__n", "__label", "__quota")
 

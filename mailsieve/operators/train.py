@@ -33,11 +33,16 @@ def label_index(classes) -> dict:
 
 
 def naive_bayes(features: DataFrame, labels: DataFrame, vocab: DataFrame, classes=CLASSES, alpha: float = 1.0,
-                key: str = "doc_id") -> tuple[DataFrame, dict]:
-    """Multinomial NB on TF-IDF values -> (centred weights, intercepts)."""
-    f = features.join(labels.select(key, "label"), key)
-    sums = f.groupBy("ns", "term", "label").agg(F.sum("value").alias("s"))
-    tot = f.groupBy("label").agg(F.sum("value").alias("t"))
+                key: str = "doc_id", tasks: int | None = None) -> tuple[DataFrame, dict]:
+    """Multinomial NB on TF-IDF values -> (centred weights, intercepts).
+
+    ``tasks``: of the join with the labels, so that the features a task sorts do not grow with the table (see ``features.size_of``).
+    The sums, one row per term and class at most, are written once: the features are made for them only.
+    """
+    checkpoint_dir(features.sparkSession)
+    f = (features.repartition(tasks, key) if tasks else features).join(labels.select(key, "label"), key)
+    sums = f.groupBy("ns", "term", "label").agg(F.sum("value").alias("s")).checkpoint()
+    tot = sums.groupBy("label").agg(F.sum("s").alias("t"))
     v_size = vocab.count()
     grid = vocab.select("ns", "term", F.explode(F.array(*[F.lit(c) for c in classes])).alias("label"))
     # `tot` has one row per class: a proven bound for the broadcast.
@@ -168,7 +173,7 @@ def train_job(corpus: DataFrame, *, binary: bool = False, use_char: bool = False
     vocab = vocab.cache()
     cw = M.class_weights(tr, "label", "balanced")
     if model == "nb":
-        weights, intercepts = naive_bayes(f_tr, tr, vocab, classes, key=key)
+        weights, intercepts = naive_bayes(f_tr, tr, vocab, classes, key=key, tasks=FE.size_of(tr, text)[1])
         best = {"reg_param": None}
     else:
         index = FE.feature_index(vocab).cache()

@@ -17,7 +17,7 @@ from mailsieve.operators import metrics as M
 from mailsieve.operators.corpus import training_rows
 from mailsieve.plans.registry import register
 from mailsieve.plans.sqlviews import CORPUS_VIEW, TRAIN_VIEW
-from mailsieve.session import read_table
+from mailsieve.session import checkpoint_dir, read_table
 from mailsieve.sources.tables import corpus_view
 
 STOP_SQL = "[" + ", ".join(f"'{w}'" for w in ENGLISH_STOP_WORDS) + "]"
@@ -26,6 +26,7 @@ SMALL_CAPS = {"word": 20000, "char": 10000}
 
 
 def split_rows(spark, sf):
+    checkpoint_dir(spark)
     rows = training_rows(corpus_view(spark, sf))
     return M.stratified_split(rows.select("doc_id", "body_text", "label"), "doc_id", "label", 0.2, 42, stratify=True)
 
@@ -72,7 +73,7 @@ FROM feat WHERE split = '{split}' GROUP BY doc_id, ns"""
 
 
 def _fit(spark, sf, use_char):
-    s = split_rows(spark, sf)
+    s = split_rows(spark, sf).checkpoint()  # the texts are read again for every count
     tr = s.where(F.col("split") == "train")
     va = s.where(F.col("split") == "val")
     caps = SMALL_CAPS if use_char else {"word": SMALL_CAPS["word"]}

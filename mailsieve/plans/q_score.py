@@ -26,7 +26,7 @@ def _nb(spark, sf):
     tr = s.where(F.col("split") == "train")
     va = s.where(F.col("split") == "val")
     vocab, f_tr, f_va = FE.fit_transform(tr, va, max_features={"word": SMALL_CAPS["word"]})
-    weights, intercepts = naive_bayes(f_tr, tr, vocab, CLASSES)
+    weights, intercepts = naive_bayes(f_tr, tr, vocab, CLASSES, tasks=FE.size_of(tr)[1])
     weights = weights.checkpoint()  # bounded by the vocabulary; scoring and explaining do not fit again
     return va, f_va, weights, intercepts
 
@@ -249,10 +249,10 @@ def m05_scan_with_model(spark, sf):
     from mailsieve.operators.scans import scan_emails
     from mailsieve.sources.tables import email_view
 
-    s = split_rows(spark, sf)
+    s = split_rows(spark, sf).checkpoint()
     tr = s.where(F.col("split") == "train")
     vocab, f_tr, _ = FE.fit_transform(tr, None, max_features={"word": SMALL_CAPS["word"]})
-    w, ic = naive_bayes(f_tr, tr, vocab, CLASSES)
+    w, ic = naive_bayes(f_tr, tr, vocab, CLASSES, tasks=FE.size_of(tr)[1])
     w = w.checkpoint()
     scorer = SC.model_scorer(vocab, w, ic, CLASSES, THRESHOLDS)
     scans, _ = scan_emails(parsed_from_view(email_view(spark, sf)), scorer=scorer, model_version="nb-word")
